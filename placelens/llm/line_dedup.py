@@ -20,6 +20,8 @@ from .storage import cut
 
 #: A chunk ends after a line where the rolling hash of the last WINDOW lines is 0 modulo DIVISOR, with at least LEAST and at most MOST lines.
 WINDOW, DIVISOR, LEAST, MOST = 2, 2, 2, 32
+#: Lists of chunks by document are broadcast up to this size; beyond it the texts are shuffled to them.
+BROADCAST_BYTES = 64_000_000
 
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
@@ -98,23 +100,33 @@ def _versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
+def _side(table: DataFrame, parts: str) -> DataFrame:
+    """A written table of ids and small arrays, to be broadcast if it has been measured to be small."""
+    size = table.select(F.sum(40 + 24 * F.size(parts))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, version, drop: array of first_line and n_lines) of the texts that lose chunks."""
+    """(near, near_version, drop: array of first_line and n_lines) of the texts that lose chunks."""
+    place = F.struct("id", "version", "first_line")
     found = cut(chunks(docs, id_col, text_col), "chunks")
-    places = found.groupBy("chunk", "n_lines").agg(F.count("*").alias("copies")).where("copies > 1").select("chunk", "n_lines")
-    several = cut(found.join(places, ["chunk", "n_lines"]), "repeated-chunks")
+    places = found.groupBy("chunk", "n_lines").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    several = found.join(places.where("first <> last").select("chunk", "n_lines"), ["chunk", "n_lines"])
+    wanted = several.groupBy("id", "version").agg(F.collect_set(F.struct("first_line", "n_lines", "chunk")).alias("parts"))
+    near = _side(cut(wanted.withColumnsRenamed({"id": "near", "version": "near_version"}), "repeated-chunks"), "parts")
     # the bytes of those chunks only
-    wanted = several.groupBy("id", "version").agg(F.collect_list(F.struct("first_line", "n_lines", "chunk")).alias("parts"))
-    near = wanted.select(F.col("id").alias("near"), F.col("version").alias("near_version"), "parts")
     own = _versioned(docs, id_col, text_col)
-    own = own.join(near, own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"])).dropDuplicates(["id", "version"])
+    own = own.join(near, own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"]))
     lines = own.select("id", "version", F.split("text", "\n").alias("lines"), F.explode("parts").alias("part"))
     body = F.array_join(F.slice("lines", F.col("part.first_line") + 1, F.col("part.n_lines")), "\n")
     lines = cut(lines.select("id", "version", "part.first_line", "part.n_lines", "part.chunk", body.alias("body")), "chunk-bytes")
-    first = lines.groupBy("chunk", "body").agg(F.min(F.struct("id", "version", "first_line")).alias("first"), F.count("*").alias("copies"))
-    first = first.where("copies > 1")
-    later = lines.join(first, ["chunk", "body"]).where(~F.struct("id", "version", "first_line").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("drop"))
+    # groups of equal bytes; a digest then stands for the bytes of a group
+    groups = lines.groupBy("chunk", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    groups = groups.select("chunk", F.sha2("body", 256).alias("digest"), "first")
+    members = lines.select("id", "version", "first_line", "n_lines", "chunk", F.sha2("body", 256).alias("digest"))
+    later = members.join(groups, ["chunk", "digest"]).where(~place.eqNullSafe(F.col("first")))
+    drop = later.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("drop"))
+    return drop.withColumnsRenamed({"id": "near", "version": "near_version"})
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +138,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null; single lines and chunks without a word are never removed; a text may
     become empty.  A column n_lines_removed of ``docs`` is replaced.
     """
-    drop = cut(repeated_chunks(docs, id_col, text_col), "dropped-chunks")
-    drop = drop.select(F.col("id").alias("_near"), F.col("version").alias("_near_version"), F.col("drop").alias("_drop"))
+    drop = repeated_chunks(docs, id_col, text_col).toDF("_near", "_near_version", "_drop")
+    drop = _side(cut(drop, "dropped-chunks"), "_drop")
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn("_version", version)
     rows = rows.join(drop, rows[id_col].eqNullSafe(drop["_near"]) & (rows["_version"] == drop["_near_version"]), "left")
