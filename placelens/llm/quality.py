@@ -71,10 +71,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     own = own.select(*k, *counts, F.when(again, F.array_sort(windows)).alias("s"))
     same = lambda x, i: F.coalesce(F.get("s", i)["words"] == x["words"], F.lit(False))
     twice = F.filter("s", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    own = own.select(*k, *counts, F.array_sort(F.transform(twice, lambda x: x["at"])).alias("p"))
+    # a filter on the result can't be moved below the row number, and so doesn't copy all of these expressions into itself
+    own = own.select(*k, *counts, F.array_sort(F.transform(twice, lambda x: x["at"])).alias("p"), F.monotonically_increasing_id().alias("row"))
     covered = F.transform("p", lambda x, i: F.least(F.lit(SPAN), F.coalesce(F.get("p", i + 1) - x, F.lit(SPAN))))
     total = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    return own.select(*[F.col(a).alias(c) for a, c in zip(k, dict.fromkeys([id_col, *(keep or [])]))], *counts, total.alias("n_repeat_words"))
+    return own.select(*[F.col(a).alias(c) for a, c in zip(k, dict.fromkeys([id_col, *(keep or [])]))], *counts, F.when(F.col("row") >= 0, total).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -105,3 +106,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     """
     out = measures(docs, id_col, text_col, keep).withColumn("base_failed", base_failed()).withColumn("failed_rules", failed_rules())
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    judged = quality(docs.toDF(*names), id_at, text_at, keep=names)
+    return judged.where("kept").select(*names).toDF(*docs.columns)
