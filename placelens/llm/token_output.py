@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,6 +36,8 @@ REMEMBERED = 300_000
 LONG = 64
 #: Bytes of text that a shard is planned to hold.
 SHARD_BYTES = 32_000_000
+#: Marks that are a piece of their own behind letters.
+MARKS = frozenset(".,;:!?")
 #: White space to Python's split() but not to the tokenizer's pattern, or the other way round.
 UNSURE = "\x1c\x1d\x1e\x1f᠎"
 
@@ -43,7 +46,8 @@ class LibraryEncoder:
     """The tokenizers library with a memory of the stretches between white space.
 
     For a vocabulary whose pieces never hold white space and which drops it,
-    the ids of a text are those of its stretches one after the other.
+    the ids of a text are those of its stretches one after the other.  Letters
+    and a mark behind them are two pieces; case does not count.
     """
 
     def __init__(self, path: str):
@@ -54,24 +58,59 @@ class LibraryEncoder:
         self.library.no_padding()
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.wide = max(vocabulary.values()) >= 1 << 16
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def learn(self, batch: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(batch, add_special_tokens=False)]
+        code = "I" if self.wide else "H"
+        return [array(code, x.ids).tobytes() for x in self.library.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def learn_letters(self, batch: list[str]) -> list[bytes]:
+        """Ids of strings of letters, each of which is one piece: the library takes them as one text, and ids that end a word part them."""
+        if not batch:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+        if len(ends) != len(batch) or not len(ends) or ends[-1] != ids.nbytes:
+            return self.learn(batch)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def remember(self, new: list[str]) -> None:
+        words = self.words
+        parts: dict[str, tuple[str, str]] = {}
+        for x in new:
+            core, mark = (x, "") if x[-1] not in MARKS else (x[:-1], x[-1])
+            if core.isalpha() and "Σ" not in core and "İ" not in core:
+                parts[x] = core.lower(), mark
+        plain = [x for x in new if x not in parts]
+        words.update(zip(plain, self.learn(plain)))
+        cores = [x for x in {core for core, _ in parts.values()} if x not in words]
+        words.update(zip(cores, self.learn_letters(cores)))
+        marks = [x for x in {mark for _, mark in parts.values()} if x and x not in words]
+        words.update(zip(marks, self.learn(marks)))
+        words.update((x, words[core] + words[mark] if mark else words[core]) for x, (core, mark) in parts.items())
+        for x in [*new, *cores]:
+            if len(x) > LONG:
+                self.forgotten.append(x)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words, self.old = {}, self.words
         words, old = self.words, self.old
+        self.forgotten: list[str] = []
         plain = [None if any(x in text for x in UNSURE) else text.split() for text in batch]
         new = [x for x in set(chain.from_iterable(filter(None, plain))) if x not in words]
-        words.update((x, old[x]) for x in new if x in old)
-        new = [x for x in new if x not in words]
-        words.update(zip(new, self.learn(new)))
+        if old:
+            words.update((x, old[x]) for x in new if x in old)
+            new = [x for x in new if x not in words]
+        self.remember(new)
         out = [self.learn([text])[0] if own is None else b"".join(map(words.__getitem__, own)) for text, own in zip(batch, plain)]
-        for x in new:
-            if len(x) > LONG:
-                del words[x]
+        for x in self.forgotten:
+            words.pop(x, None)
         return out
 
 
