@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from test_operators import brute_components, brute_contamination, brute_fingerprint, brute_line_dedup, noise
+from test_training_operators import brute_components, brute_contamination, brute_fingerprint, brute_line_dedup, noise
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 
