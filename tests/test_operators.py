@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelens.operators import articles, classify, eventlog, graph, matching, nearest, records, state, stats, vectors
 
-NONE = F.lit(None).cast("string")
+
 
 
 def sites(spark, rows):
@@ -44,13 +44,13 @@ def test_guarded_reference_table(spark):
 
 def site_columns(df):
     empty = F.array().cast("array<string>")
-    return df.withColumns({"names": F.array("name"), "aliases": empty, "prefecture": F.lit("p"), "municipality": NONE, "url": NONE})
+    return df.withColumns({"names": F.array("name"), "aliases": empty, "prefecture": F.lit("p"), "municipality": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
 
 
 def item_rows(spark, rows):
     df = spark.createDataFrame(rows, "qid string, item_lon double, item_lat double, label string")
     empty = F.array().cast("array<string>")
-    return df.withColumns({"item_names": F.array("label"), "item_aliases": empty, "admin": F.lit("p"), "item_url": NONE})
+    return df.withColumns({"item_names": F.array("label"), "item_aliases": empty, "admin": F.lit("p"), "item_url": F.lit(None).cast("string")})
 
 
 def test_scores_and_best_match(spark):
