@@ -58,7 +58,8 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     """Rank correlation of two columns, 0 where a side does not vary; rows with a null in either are left out."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rows.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
-    return ranked.groupBy(*(by or [])).agg(F.round(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)), 4).alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return ranked.groupBy(*(by or [])).agg(F.round(F.coalesce(rho, F.lit(0.0)), 4).alias("rho"), F.count("*").alias("n"))
 
 
 def rank_share(value: str, tie: str, partition: list[str] | None = None) -> Column:

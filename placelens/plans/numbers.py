@@ -113,10 +113,9 @@ def w8_top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIMILAR = f"WITH {_LONG}, dots AS (SELECT x.vec_id, y.vec_id AS other, round(sum(x.v * y.v), 9) AS score FROM long x JOIN long y ON x.pos = y.pos AND x.vec_id <> y.vec_id GROUP BY ALL), top AS (SELECT vec_id, other, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM dots QUALIFY rank <= 20)"
 
 
-@query(f"{_SIMILAR} SELECT vec_id, other, round(score, 6) AS score, rank FROM top")
+@query(f"{_SIMILAR} SELECT vec_id, other, score, rank FROM top")
 def m4_w6_top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
-    return found.withColumn("score", F.round("score", 6))
+    return vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
 
 
 @query(f"{_SIMILAR} SELECT vec_id, count(*) FILTER (a.label = b.label AND a.label <> -1) AS same_cluster, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rank) AS others FROM top JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = other GROUP BY 1")

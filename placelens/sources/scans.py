@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements of a map extract: nodes carry lat and lon, ways and relations a centre.
-ELEMENTS = T.StructType.fromDDL(
-    "elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
-)
+ELEMENTS = "elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 
 
 def elements(spark: SparkSession, glob: str) -> DataFrame:
@@ -39,7 +37,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) with line numbers as in the file; empty lines are left out."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value"))
     return files.select("file", (F.col("place") + 1).alias("line"), "value").where(F.btrim("value") != "")
 
 
