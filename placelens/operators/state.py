@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
@@ -42,16 +42,22 @@ def unseen(texts: DataFrame, text: str, cache: DataFrame, model: str) -> DataFra
 
 def last_written(shards: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of a key the one of the last shard."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return shards.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    last = F.max_by(F.struct(*shards.columns), F.col(order)).alias("_last")
+    return shards.groupBy(key).agg(last).select("_last.*")
 
 
-def fingerprint(texts: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
-    """SHA-256 over a prefix and the digest of each text in order of the key, digests of partitions first.
+def fingerprint(texts: DataFrame, group: str, key: str, text: str, prefix: str, block: int = 1000) -> DataFrame:
+    """(group, n, fingerprint): SHA-256 over a prefix and what stands for all texts of a group in order of an integer key.
 
-    The digest of all is taken over one digest for each text, 64 characters
-    each; at scale give groups of keys to keep lists short.
+    The digests of ``block`` neighbouring keys are digested together, the
+    digests of ``block`` such blocks again, and those of a group at last, so
+    that a list has one entry for a million keys.
     """
-    each = texts.select(key, F.sha2(F.col(text), 256).alias("d"))
-    ordered = F.array_sort(F.collect_list(F.struct(key, "d")))
-    return each.agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit(prefix), F.array_join(F.transform(ordered, lambda x: x["d"]), "")), 256).alias("fingerprint"))
+    level = texts.select(group, F.col(key).alias("_k"), F.lit(1).alias("n"), F.sha2(F.col(text), 256).alias("_d"))
+
+    def joined():
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), "")
+
+    for _ in range(2):
+        level = level.groupBy(group, F.floor(F.col("_k") / block).alias("_b")).agg(F.sum("n").alias("n"), F.sha2(joined(), 256).alias("_d")).withColumnRenamed("_b", "_k")
+    return level.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.concat(F.lit(prefix), joined()), 256).alias("fingerprint"))

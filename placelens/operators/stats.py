@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def lift(mentions: DataFrame) -> DataFrame:
     """(id, region, n, expected, lift) of mentions (site_id, region, id), one row for each site and id.
@@ -36,16 +38,34 @@ def floor_quantile(values: Column, p: float) -> Column:
     return F.get(values, F.least(n - 1, F.floor(n * F.lit(p)).cast("int")))
 
 
+def running_counts(rows: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
+    """Adds _upto and _all: sums of ``count`` over the rows of the same ``keys`` up to this one in ``order``, and over all of them.
+
+    Rows are dealt by ranges of keys and order and written; sums of whole parts
+    come from a table of one row for each part and key, so that a group of any
+    size is spread over tasks.  Each combination of keys and order stands once.
+    """
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum(count).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), before.alias("_before"), F.sum("_sum").over(whole).alias("_all"))
+    met = dealt["_part"] == parts["_of_part"]
+    for k in keys:
+        met = met & dealt[k].eqNullSafe(parts[f"_of_{k}"])
+    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("_own", F.sum(count).over(own)).join(parts, met)
+    return out.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("_upto"), "_all")
+
+
 def quantiles(rows: DataFrame, key: str | list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Floor-index quantiles of each group, exact and without gathering a group: ranks, counts and a filter."""
+    """Floor-index quantiles of each group, exact and without gathering a group: counts of values and running sums."""
     keys = [key] if isinstance(key, str) else key
     own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    counted = own.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    counted = counted.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
-    at = {name: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) for name, p in ps.items()}
+    counted = running_counts(own.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), keys, ["_v"], "_c")
+    at = {name: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p))) for name, p in ps.items()}
     picks = [F.min(F.when(F.col("_upto") > i, F.col("_v"))).alias(name) for name, i in at.items()]
-    return counted.groupBy(*keys).agg(*picks, F.min("_v").alias("min"), F.max("_v").alias("max"), F.first("_n").alias("n"))
+    return counted.groupBy(*keys).agg(*picks, F.min("_v").alias("min"), F.max("_v").alias("max"), F.first("_all").alias("n"))
 
 
 def average_rank(value: str, partition: list[str] | None = None) -> Column:
@@ -54,18 +74,30 @@ def average_rank(value: str, partition: list[str] | None = None) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(partition or []), value)) - 1) / 2
 
 
+def with_average_rank(rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``average_rank`` of a column without nulls as ``name``; groups of any size are spread over tasks."""
+    by = by or []
+    ranks = running_counts(rows.groupBy(*by, value).agg(F.count("*").alias("_c")), by, [value], "_c")
+    ranks = ranks.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, value]], (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    met = rows[value] == ranks[f"_of_{value}"]
+    for c in by:
+        met = met & rows[c].eqNullSafe(ranks[f"_of_{c}"])
+    return rows.join(ranks, met).select(*rows.columns, name)
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Rank correlation of two columns, 0 where a side does not vary; rows with a null in either are left out."""
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or []), x, y)
+    ranked = with_average_rank(with_average_rank(rows, x, "_x", by), y, "_y", by)
     rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
     return ranked.groupBy(*(by or [])).agg(F.round(F.coalesce(rho, F.lit(0.0)), 4).alias("rho"), F.count("*").alias("n"))
 
 
-def rank_share(value: str, tie: str, partition: list[str] | None = None) -> Column:
-    """Place of a value among all, 0 to 1; equal values are told apart by ``tie``."""
-    w = Window.partitionBy(*(partition or [F.lit(1)]))
-    return F.coalesce(F.try_divide(F.row_number().over(w.orderBy(value, tie)) - 1, F.count("*").over(w) - 1), F.lit(0.0))
+def rank_share(rows: DataFrame, value: str, tie: str, by: list[str] | None = None) -> DataFrame:
+    """Adds share: the place of a value among all, 0 to 1; equal values are told apart by ``tie``, which names a row."""
+    out = running_counts(rows.withColumn("_one", F.lit(1)), by or [], [value, tie], "_one")
+    share = F.coalesce(F.try_divide(F.col("_upto") - 1, F.col("_all") - 1), F.lit(0.0))
+    return out.select(*rows.columns, share.alias("share"))
 
 
 def at_thresholds(rows: DataFrame, thresholds: list[float], score: str = "score", correct: str = "correct") -> DataFrame:

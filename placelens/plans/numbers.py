@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats, vectors
@@ -56,13 +56,9 @@ def a15_a16_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, round((row_number() OVER (ORDER BY n, doc_id) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE), 9) AS share FROM s")
 def w7_rank_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each document among all by length, 0 to 1, from a distributed rank: counts of smaller lengths plus the place among equals."""
+    """Place of each document among all by length, 0 to 1."""
     own = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length("text").alias("n"))
-    counts = own.groupBy("n").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(F.lit(1)).orderBy("n")
-    below = counts.withColumns({"below": F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("c").over(Window.partitionBy(F.lit(1)))})
-    place = F.row_number().over(Window.partitionBy("n").orderBy("doc_id")) - 1
-    return own.join(below, "n").select("doc_id", F.round((F.col("below") + place) / (F.col("all") - 1), 9).alias("share"))
+    return stats.rank_share(own, "n", "doc_id").select("doc_id", F.round("share", 9).alias("share"))
 
 
 _RANKS = "r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2e0 AS ry FROM t)"

@@ -63,11 +63,14 @@ def m8_unseen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.unseen(own, "text", cache, "m1").select("key")
 
 
-@query("SELECT lang, count(*) AS n, sha256('m1' || string_agg(sha256(text), '' ORDER BY doc_id)) AS fingerprint FROM documents WHERE doc_id % 10 = 0 AND text IS NOT NULL GROUP BY lang")
+@query(
+    "WITH b AS (SELECT lang, doc_id // 1000 AS block, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS d FROM documents WHERE text IS NOT NULL GROUP BY ALL), "
+    "c AS (SELECT lang, block // 1000 AS block, sum(n) AS n, sha256(string_agg(d, '' ORDER BY block)) AS d FROM b GROUP BY lang, block // 1000) "
+    "SELECT lang, CAST(sum(n) AS BIGINT) AS n, sha256('m1' || string_agg(d, '' ORDER BY block)) AS fingerprint FROM c GROUP BY lang"
+)
 def m9_g24_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").where("doc_id % 10 = 0 and text is not null").select("lang", "doc_id", F.sha2("text", 256).alias("d"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: x["d"]), "")
-    return own.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("m1"), ordered), 256).alias("fingerprint"))
+    own = table(spark, sf_dir, "documents").where("text is not null").select("lang", "doc_id", "text")
+    return state.fingerprint(own, "lang", "doc_id", "text", "m1")
 
 
 @query("SELECT lang, min(length(text)) AS least, max(length(text)) AS most, list_sort(list(length(text)))[count(*) // 2 + 1] AS middle FROM documents WHERE text IS NOT NULL GROUP BY lang")

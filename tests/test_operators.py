@@ -170,6 +170,13 @@ def test_floor_quantiles_and_ranks(spark):
     own = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (2.0, 30.0), (4.0, 40.0)], "x double, y double")
     assert stats.spearman(own, "x", "y").first().rho == 0.9487
     assert stats.spearman(own.withColumn("x", F.lit(1.0)), "x", "y").first().rho == 0.0
+    tied = spark.createDataFrame([(None, i, i % 3, i * 7 % 5) for i in range(40)] + [("h", i, 1, i) for i in range(40, 55)], "g string, id int, v int, w int").repartition(5)
+    places = {(r.g, r.id): r.share for r in stats.rank_share(tied, "v", "id", ["g"]).collect()}
+    for g, ids in ((None, range(40)), ("h", range(40, 55))):
+        order = sorted(ids, key=lambda i: (i % 3 if g is None else 1, i))
+        assert all(places[g, i] == n / (len(order) - 1) for n, i in enumerate(order))
+    ranks = {(r.g, r.v): r.rank for r in stats.with_average_rank(tied, "v", "rank", ["g"]).collect()}
+    assert ranks == {(None, 0): 7.5, (None, 1): 21.0, (None, 2): 34.0, ("h", 1): 8.0}
 
 
 def test_permutation_does_not_depend_on_partitions(spark):
