@@ -1,9 +1,10 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by a rolling hash over lines.
 
-A rolling hash over line hashes chooses where chunks end, so that a passage
-that moves within a text still falls into the same chunks.  Chunks of two or
-more lines that repeat anywhere in the table are compared byte by byte; all
-but the first copy go.
+A rolling hash over line hashes is taken at every line, so that each passage of
+two or more lines is found wherever it lies and whatever stands around it: a
+repeated passage is a run of repeated windows of two lines.  Windows that
+repeat anywhere in the table are compared byte by byte; all but the first copy
+go.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mix, run_hashes, slices, text_bytes
+from .batches import mix, run_hashes, slices, text_bytes, texts
 from .storage import cut
 
-#: A chunk ends after a line where the rolling hash of the last WINDOW lines is 0 modulo DIVISOR, with at least LEAST and at most MOST lines.
-WINDOW, DIVISOR, LEAST, MOST = 2, 2, 2, 32
-#: Lists of chunks by document are broadcast up to this size; beyond it the texts are shuffled to them.
+#: Lines of a window; a shorter passage never goes.
+WINDOW = 2
+#: Lists of windows by document are broadcast up to this size; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 64_000_000
 
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -50,49 +52,49 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def chunk_ends(hashes: np.ndarray) -> list[int]:
-    """Ends (exclusive line numbers) of the chunks of one text."""
-    if not len(hashes):
-        return []
-    roll = hashes.copy()
-    for i in range(1, WINDOW):
-        roll[i:] = mix(roll[i:] + hashes[:-i] * np.uint64(2 * i + 1))
-    wanted = np.flatnonzero(roll % np.uint64(DIVISOR) == 0) + 1
-    ends, start = [], 0
-    for end in [*wanted.tolist(), len(hashes)]:
-        while end - start > MOST:
-            start += MOST
-            ends.append(start)
-        if end - start >= LEAST or end == len(hashes) and end > start:
-            ends.append(end)
-            start = end
-    return ends
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, version, first_line, n_lines, chunk) of each chunk of two or more lines with a word."""
+    """The windows of one text as a walk over exclusive line numbers: one runs from each entry, at first 0, to the next.
+
+    A step back begins the next window, which overlaps the one before: 2, 1, 3, 2, 4 are the windows of four lines.
+    """
+    n = len(hashes)
+    return [x for start in range(n - WINDOW + 1) for x in (start, start + WINDOW)][1:]
+
+
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, version, first_line, value) of each window of lines with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, worded, before = line_table(*text_bytes(part.column("text")))
-                out: list[tuple[int, int, int, int]] = []
-                for row, (a, b) in enumerate(zip(before, before[1:])):
-                    if b - a < LEAST:
-                        continue
-                    start = a
-                    for end in chunk_ends(hashes[a:b]):
-                        end += a
-                        if end - start >= LEAST and worded[start:end].any():
-                            own = hashes[start:end]
-                            powers = np.cumprod(np.full(len(own), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-                            out.append((row, start - a, end - start, int(np.sum(own * powers + own, dtype=np.uint64).view(np.int64))))
-                        start = end
-                rows, first, n, value = zip(*out) if out else ((), (), (), ())
+                text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
+                n = max(len(hashes) - WINDOW + 1, 0)
+                value, word = np.zeros(n, np.uint64), np.zeros(n, bool)
+                for i in range(WINDOW):
+                    value = mix(value + hashes[i : i + n] * np.uint64(2 * i + 1))
+                    word |= worded[i : i + n]
+                at = np.flatnonzero(word & (text_of[:n] == text_of[WINDOW - 1 : WINDOW - 1 + n]))
+                rows = text_of[at]
                 taken = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(value, pa.int64())], ["id", "version", "first_line", "n_lines", "chunk"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), pa.array(at - before[rows], pa.int32()), pa.array(value[at].view(np.int64))], ["id", "version", "first_line", "value"])
 
     rows = _versioned(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, n_lines int, chunk long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, value long")
+
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """(id, version, first_line, body) of the windows ``starts`` of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                starts = part.column("starts")
+                taken, first = pc.list_parent_indices(starts), starts.flatten()
+                lines = [x.split("\n") for x in texts(part.column("text"))]
+                body = ["\n".join(lines[row][at : at + WINDOW]) for row, at in zip(taken.to_pylist(), first.to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), first, pa.array(body, pa.string())], ["id", "version", "first_line", "body"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, body string")
 
 
 def _versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,48 +108,50 @@ def _side(table: DataFrame, parts: str) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(near, near_version, drop: array of first_line and n_lines) of the texts that lose chunks."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(near, near_version, drop: array of line numbers) of the texts that lose lines."""
     place = F.struct("id", "version", "first_line")
-    found = cut(chunks(docs, id_col, text_col), "chunks")
-    places = found.groupBy("chunk", "n_lines").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    several = found.join(places.where("first <> last").select("chunk", "n_lines"), ["chunk", "n_lines"])
-    wanted = several.groupBy("id", "version").agg(F.collect_set(F.struct("first_line", "n_lines", "chunk")).alias("parts"))
-    near = _side(cut(wanted.withColumnsRenamed({"id": "near", "version": "near_version"}), "repeated-chunks"), "parts")
-    # the bytes of those chunks only
+    found = cut(windows(docs, id_col, text_col), "windows")
+    places = found.groupBy("value").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # written apart, so that the join with a value of many windows can be split
+    several = found.join(cut(places.where("first <> last").select("value"), "repeated-values"), "value")
+    wanted = several.groupBy("id", "version").agg(F.collect_set("first_line").alias("starts"))
+    near = _side(cut(wanted.withColumnsRenamed({"id": "near", "version": "near_version"}), "repeated-windows"), "starts")
+    # the bytes of those windows only
     own = _versioned(docs, id_col, text_col)
     own = own.join(near, own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"]))
-    lines = own.select("id", "version", F.split("text", "\n").alias("lines"), F.explode("parts").alias("part"))
-    body = F.array_join(F.slice("lines", F.col("part.first_line") + 1, F.col("part.n_lines")), "\n")
-    lines = cut(lines.select("id", "version", "part.first_line", "part.n_lines", "part.chunk", body.alias("body")), "chunk-bytes")
+    lines = cut(_bodies(own.select("id", "version", "text", "starts")), "window-bytes")
     # groups of equal bytes; a digest then stands for the bytes of a group
-    groups = lines.groupBy("chunk", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    groups = groups.select("chunk", F.sha2("body", 256).alias("digest"), "first")
-    members = lines.select("id", "version", "first_line", "n_lines", "chunk", F.sha2("body", 256).alias("digest"))
-    later = members.join(groups, ["chunk", "digest"]).where(~place.eqNullSafe(F.col("first")))
-    drop = later.groupBy("id", "version").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("drop"))
+    groups = lines.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    groups = cut(groups.select(F.sha2("body", 256).alias("digest"), "first"), "repeated-bodies")
+    members = lines.select("id", "version", "first_line", F.sha2("body", 256).alias("digest"))
+    later = members.join(groups, "digest").where(~place.eqNullSafe(F.col("first")))
+    starts = F.collect_set("first_line")
+    drop = later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.transform(starts, lambda x: F.sequence(x, x + WINDOW - 1)))).alias("drop"))
     return drop.withColumnsRenamed({"id": "near", "version": "near_version"})
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks of lines taken out of ``text_col``, and n_lines_removed added.
+    """``docs`` with the repeated passages of lines taken out of ``text_col``, and n_lines_removed added.
 
     The first copy stays: that of the smallest id, then the smallest text
     hash, then the first line; a null id counts as smallest.  Rows with equal
-    id and text are one document and lose the same lines.  A null text stays
-    null; single lines and chunks without a word are never removed; a text may
-    become empty.  A column n_lines_removed of ``docs`` is replaced.
+    id and text are one document and lose the same lines.  A line goes if it
+    and a neighbour stand together at an earlier place too, so of a line in
+    several passages one copy stays somewhere.  A null text stays null; single
+    lines, and lines that have no word and none beside them, are never removed;
+    a text may become empty.  A column n_lines_removed of ``docs`` is replaced.
     """
-    drop = repeated_chunks(docs, id_col, text_col).toDF("_near", "_near_version", "_drop")
-    drop = _side(cut(drop, "dropped-chunks"), "_drop")
+    drop = repeated_lines(docs, id_col, text_col).toDF("_near", "_near_version", "_drop")
+    drop = _side(cut(drop, "dropped-lines"), "_drop")
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn("_version", version)
     rows = rows.join(drop, rows[id_col].eqNullSafe(drop["_near"]) & (rows["_version"] == drop["_near_version"]), "left")
-    removed = F.coalesce(F.aggregate("_drop", F.lit(0), lambda n, x: n + x["n_lines"]), F.lit(0)).cast("long")
-    # the lines between dropped chunks, chunk by chunk
-    lines = F.split(F.col(text_col), "\n")
-    gone = F.flatten(F.transform("_drop", lambda x: F.sequence(x["first_line"], x["first_line"] + x["n_lines"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.array_size(lines) - 1), gone)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    removed = F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long")
+    # an array of the one array of lines names it, so that a text is split once
+    lines = F.array(F.split(F.col(text_col), "\n"))
+    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.array_size(x) - 1), F.col("_drop"))
+    left = F.transform(lines, lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
     order = [c for c in docs.columns if c != "n_lines_removed"]
     return rows.withColumns({"n_lines_removed": removed, text_col: text}).select(*order, "n_lines_removed")

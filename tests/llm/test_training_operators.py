@@ -242,6 +242,30 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(n for n, _ in want) > 50
 
 
+def test_line_dedup_finds_passages_of_any_length_anywhere(spark):
+    """Against runs of lines compared as strings, without windows, hashes or cuts."""
+    passages = {n: [[f"passage {n} {i} line {j}" for j in range(n)] for i in range(8)] for n in (2, 3, 4, 5, 9)}
+    r, texts = random.Random(81), []
+    for copy in range(3):
+        for of_size in passages.values():
+            for i, passage in enumerate(of_size):
+                before, after = ([f"{side} {copy} {passage[0]} {j}" for j in range(r.randint(0, 4))] for side in ("before", "after"))
+                texts.append("\n".join(before + passage + after))
+    texts += ["one line twice\nwith this", "and once\none line twice", "same\nsame\nsame"]
+    seen, want = set(), []
+    for x in texts:
+        lines, gone = x.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if tuple(lines[a:b]) in seen:
+                    gone |= set(range(a, b))
+                seen.add(tuple(lines[a:b]))
+        want.append((len(gone), "\n".join(l for n, l in enumerate(lines) if n not in gone)))
+    got = [(x["n_lines_removed"], x["text"]) for x in rows(line_dedup.dedup_lines(table(spark, texts)))]
+    assert got == want
+    assert sum(n for n, _ in want) == 2 * 8 * (2 + 3 + 4 + 5 + 9) + 2
+
+
 def test_line_table_splits_like_python():
     texts = noise(9, 40, 30) + ["", "\n", "a\n", "\nb", "\n\n", " \n\tx"]
     data = "".join(texts).encode()
