@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import cut
 
@@ -145,28 +147,92 @@ def head_agreement(tops: DataFrame, heads: DataFrame) -> DataFrame:
     return met.agg(F.count_if(F.col("head") == F.col("region")).alias("hits"), F.count("*").alias("n"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64 on unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def dealt_places(places: np.ndarray, n: int, draw: int, seed: int) -> np.ndarray:
+    """Where each of ``places`` goes when the numbers below ``n`` are dealt anew: one permutation for each seed and draw.
+
+    Eight Feistel rounds on the next power of four; what falls beyond ``n`` goes through them again.
+    """
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = _mix(np.uint64(seed) + _mix(np.arange(8, dtype=np.uint64) + np.uint64(draw * 8 + 1)))
+    out, open_ = places.astype(np.uint64), np.arange(len(places))
+    while len(open_):
+        high, low = out[open_] >> half, out[open_] & mask
+        for key in keys:
+            high, low = low, high ^ (_mix(low + key) & mask)
+        out[open_] = (high << half) | low
+        open_ = open_[out[open_] >= n]
+    return out.astype(np.int64)
+
+
+def _placed(sites: DataFrame) -> DataFrame:
+    """(site_id, region, place, sites): sites numbered from 0 by id, written."""
+    numbered = running_counts(sites.select("site_id", "region", F.lit(1).alias("_one")), [], ["site_id"], "_one")
+    return cut(numbered.select("site_id", "region", (F.col("_upto") - 1).alias("place"), F.col("_all").alias("sites")), "places")
+
+
+def _dealt(rows: DataFrame, placed: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``rows`` (any columns, place, sites) once for each draw, with draw and the region that their place is dealt."""
+    others = [c for c in rows.columns if c not in ("place", "sites")]
+    rows = rows.select(*others, "place", "sites")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                places, n = batch.column("place").to_numpy(), batch.column("sites")[0].as_py()
+                for draw in range(draws):
+                    made = [pa.array(dealt_places(places, n, draw, seed)), pa.array(np.full(len(places), draw, np.int64))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], [*others, "place", "draw"])
+
+    fields = [*rows.schema.fields[: len(others)], StructField("place", LongType()), StructField("draw", LongType())]
+    moved = rows.mapInArrow(run, StructType(fields))
+    return moved.join(placed.select("place", "region"), "place").select("draw", *others, "region")
+
+
 def shuffled_regions(sites: DataFrame, draws: int, seed: int) -> DataFrame:
     """(draw, site_id, region): the regions of the sites dealt anew for each draw.
 
-    Sites and regions are each numbered within a draw, the regions in an order
-    that a hash of (seed, draw, site) gives, and joined on the number.
+    Sites are numbered once; each draw is a permutation of the numbers that is
+    computed row by row, so nothing is sorted for a draw.
     """
-    numbers = sites.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    own = sites.select("site_id", "region").crossJoin(F.broadcast(numbers))
-    mixed = F.xxhash64(F.lit(seed), F.col("draw"), F.col("site_id"))
-    fixed = own.select("draw", "site_id", F.row_number().over(Window.partitionBy("draw").orderBy("site_id")).alias("place"))
-    dealt = own.select("draw", "region", F.row_number().over(Window.partitionBy("draw").orderBy(mixed, "site_id")).alias("place"))
-    return fixed.join(dealt, ["draw", "place"]).select("draw", "site_id", "region")
+    placed = _placed(sites)
+    return _dealt(placed.select("site_id", "place", "sites"), placed, draws, seed)
 
 
 def null_hits(mentions: DataFrame, heads: DataFrame, draws: int, seed: int, floor: int = 3) -> DataFrame:
-    """(draw, hits) of the head agreement with shuffled regions."""
-    dealt = shuffled_regions(mentions.select("site_id", "region").distinct(), draws, seed)
-    rows = mentions.select("site_id", "id").join(dealt, "site_id")
-    base = dealt.groupBy("draw", "region").agg(F.count("*").alias("base"))
-    counts = rows.groupBy("draw", "id", "region").agg(F.count("*").alias("n"))
-    counts = counts.join(base, ["draw", "region"]).where(F.col("n") >= floor)
-    order = Window.partitionBy("draw", "id").orderBy(F.desc(F.round(F.col("n") / F.col("base"), 9)), "region")
+    """(draw, hits) of the head agreement with shuffled regions.
+
+    Dealing keeps how many sites a region has, so only sites of the heads' ids
+    are counted anew; lifts are rounded as in ``lift``.
+    """
+    placed = _placed(mentions.select("site_id", "region").distinct())
+    base = placed.groupBy("region").agg(F.count("*").alias("base"), F.first("sites").alias("total"))
+    own = mentions.join(F.broadcast(heads.select("id").distinct()), "id", "left_semi").select("site_id", "id")
+    own = cut(own.join(placed, "site_id").select("id", "place", "sites"), "sites-of-heads")
+    counts = _dealt(own, placed, draws, seed).groupBy("draw", "id", "region").agg(F.count("*").alias("n"))
+    counts = counts.join(own.groupBy("id").agg(F.count("*").alias("all")), "id").join(base, "region").where(F.col("n") >= floor)
+    order = Window.partitionBy("draw", "id").orderBy(F.desc(F.round(F.col("n") / (F.col("all") * F.col("base") / F.col("total")), 3)), "region")
     tops = counts.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("draw", "id", "region")
     hits = tops.join(heads.withColumnRenamed("region", "head"), "id").groupBy("draw").agg(F.count_if(F.col("region") == F.col("head")).alias("hits"))
     return mentions.sparkSession.range(draws).select(F.col("id").alias("draw")).join(hits, "draw", "left").na.fill(0, ["hits"])
+
+
+def null_summary(hits: DataFrame, observed: DataFrame) -> DataFrame:
+    """(trials, observed, mean, p95, max, p_value, pass) of the hits of each draw against the one row of ``observed`` (hits).
+
+    p95 is the element int(.95 n) of the sorted hits; a pass lies above it.
+    """
+    met = hits.crossJoin(F.broadcast(observed.select(F.col("hits").alias("observed"))))
+    drawn = F.array_sort(F.collect_list("hits"))  # one number for each draw
+    out = met.groupBy("observed").agg(
+        F.count("*").alias("trials"), F.round(F.avg("hits"), 3).alias("mean"), floor_quantile(drawn, 0.95).alias("p95"), F.max("hits").alias("max"),
+        F.round((F.count_if(F.col("hits") >= F.col("observed")) + 1) / (F.count("*") + 1), 4).alias("p_value"),
+    )
+    return out.select("trials", "observed", "mean", "p95", "max", "p_value", (F.col("observed") > F.col("p95")).alias("pass"))

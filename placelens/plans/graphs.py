@@ -51,7 +51,8 @@ def m17_head_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m16_null_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = spark.createDataFrame([("Brand#1", 3), ("Brand#2", 7), ("Brand#9", 11)], "id string, region int")
-    return stats.null_hits(mention_rows(spark, sf_dir), heads, 20, 20260908)
+    drawn = stats.null_hits(mention_rows(spark, sf_dir), heads, 200, 20260908)
+    return stats.null_summary(drawn, m17_head_agreement(spark, sf_dir))
 
 
 _JACCARD = f"{TYPED}, j AS (SELECT p.a, p.b, p.w, x.n AS na, y.n AS nb, round(CAST(p.w AS DOUBLE) / (x.n + y.n - p.w), 4) AS jaccard FROM pairs p JOIN counts x ON p.a = x.id JOIN counts y ON p.b = y.id)"

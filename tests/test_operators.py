@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,43 @@ def test_shuffled_regions_keep_how_many_sites_a_region_has(spark):
     assert got.count() == 80
 
 
+def test_dealt_places_are_permutations():
+    for n in (1, 2, 5, 20, 1000):
+        drawn = [stats.dealt_places(np.arange(n), n, d, 3).tolist() for d in range(40)]
+        assert all(sorted(x) == list(range(n)) for x in drawn)
+        assert n < 5 or len(set(map(tuple, drawn))) > 20
+    spots = np.bincount([stats.dealt_places(np.array([3]), 10, d, 3)[0] for d in range(4000)], minlength=10)
+    assert spots.min() > 320 and spots.max() < 480
+
+
+def test_null_hits_against_a_plain_count(spark):
+    r = random.Random(16)
+    rows = [(i, i % 4, q) for i in range(80) for q in {f"q{i % 4}" if r.random() < 0.7 else "q0", f"q{r.randrange(6)}"}]
+    heads = [("q0", 0), ("q1", 1), ("q2", 2), ("q9", 3)]
+    mentions = spark.createDataFrame(rows, "site_id int, region int, id string")
+    table = spark.createDataFrame(heads, "id string, region int")
+    drawn = {}
+    for x in stats.shuffled_regions(mentions.select("site_id", "region").distinct(), 200, 7).collect():
+        drawn.setdefault(x.draw, {})[x.site_id] = x.region
+
+    def agreement(region):
+        base, hits = {g: sum(x == g for x in region.values()) for g in range(4)}, 0
+        for q, head in heads:
+            mine = [region[s] for s, _, other in rows if other == q]
+            lifts = [(-round(mine.count(g) / (len(mine) * base[g] / 80), 3), g) for g in range(4) if mine.count(g) >= 3]
+            hits += bool(lifts) and min(lifts)[1] == head
+        return hits
+
+    observed, want = agreement({s: g for s, g, _ in rows}), [agreement(drawn[d]) for d in range(200)]
+    hits = stats.null_hits(mentions, table, 200, 7)
+    assert [x.hits for x in hits.orderBy("draw").collect()] == want
+    seen = stats.head_agreement(stats.top_region(stats.lift(mentions)), table)
+    got = stats.null_summary(hits, seen).first()
+    want.sort()
+    p = (sum(h >= observed for h in want) + 1) / 201
+    assert tuple(got) == (200, observed, round(sum(want) / 200, 3), want[190], want[-1], round(p, 4), observed > want[190])
+
+
 def test_top_similar_in_blocks(spark):
     r = random.Random(6)
     df = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(60, [0.0] * 5)], "k long, v array<float>")
