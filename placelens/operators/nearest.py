@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, point_segment_m, transverse_mercator, utm_meridian, utm_zone
+from ..sources.shared import cut
 
 #: Cells of segments and half-width of a site's box in degrees, and the largest distance reported.
 SEGMENT_CELL, BOX, FAR_M = 0.15, 0.15, 10_000.0
@@ -17,13 +18,45 @@ def covering_cells(x1: str, y1: str, x2: str, y2: str, size: float):
     return F.flatten(F.transform(span(y1, y2), lambda y: F.transform(span(x1, x2), lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
 
 
+def _reach_m(lat: Column, size: float) -> Column:
+    """Metres that 3 x 3 cells around a site cover for certain; a hundredth is left for the plane's scale."""
+    east = 111_195 * F.cos(F.radians(F.least(F.abs(lat) + size, F.lit(89.0))))
+    return 0.99 * size * F.least(F.lit(110_500.0), east)
+
+
+def _sizes(sites: DataFrame, size: float, most: float) -> list[float]:
+    """Cells to look into one after the other: ``size``, then three times as large, the last ones reaching ``most`` metres."""
+    top = sites.select(F.max(F.abs("lat")).alias("lat")).select("lat", *[_reach_m(F.col("lat"), size * 3**i).alias(f"r{i}") for i in range(12)]).first()
+    sizes = [size]
+    while len(sizes) < 12 and top["lat"] is not None and top[f"r{len(sizes) - 1}"] < most:
+        sizes.append(3 * sizes[-1])
+    return sizes
+
+
 def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT_CELL, most: float = FAR_M) -> DataFrame:
     """(site_id, name, distance_m, note): nearest named segment in the plane of the site's UTM zone.
 
     Segments (name, lon1, lat1, lon2, lat2) are blocked by the cells that they
-    touch, sites look into 3 x 3 cells.  Ties go to the smaller name.  Beyond
-    ``most`` metres, or with nothing near, the distance is null with a note.
+    touch, sites look into 3 x 3 cells; sites that find nothing as near as these
+    cover for certain look into larger ones, until ``most`` metres are covered.
+    Ties go to the smaller name.  Beyond ``most`` metres, or with nothing near,
+    the distance is null with a note.
     """
+    left, best = sites, None
+    sizes = _sizes(sites, size, most)
+    for step in sizes:
+        found = cut(_in_cells(left, segments, step), "nearest")
+        done = found if step == sizes[-1] else found.where("b.d <= reach")
+        best = done if best is None else best.union(done)
+        left = left.join(done.select("site_id"), "site_id", "left_anti")
+    out = sites.select("site_id").join(best, "site_id", "left")
+    d = F.col("b.d")
+    note = F.when(d.isNull(), "nothing in the cells around").when(d > most, "farther than the limit")
+    return out.select("site_id", F.when(note.isNull(), F.col("b.name")).alias("name"), F.when(note.isNull(), F.round(d, 1)).alias("distance_m"), note.alias("note"))
+
+
+def _in_cells(sites: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+    """(site_id, b: distance and name of the nearest segment in 3 x 3 cells, reach: the metres that these cover)."""
     blocks = segments.withColumn("_c", F.explode(covering_cells("lon1", "lat1", "lon2", "lat2", size))).select("*", "_c.cy", "_c.cx").drop("_c")
     steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
     own = sites.select("site_id", "lon", "lat", steps.alias("_s")).select("site_id", "lon", "lat", (cell(F.col("lat"), size) + F.col("_s.y")).alias("cy"), (cell(F.col("lon"), size) + F.col("_s.x")).alias("cx"))
@@ -31,11 +64,7 @@ def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT
     at = lambda lon, lat: transverse_mercator(F.col(lon), F.col(lat), F.col("meridian"), 0.0, 0.9996)
     near = near.withColumns({"p": at("lon", "lat"), "s": at("lon1", "lat1"), "e": at("lon2", "lat2")})
     near = near.withColumn("d", point_segment_m(*[F.col(c) for c in ("p.x", "p.y", "s.x", "s.y", "e.x", "e.y")]))
-    best = near.groupBy("site_id").agg(F.min(F.struct("d", "name")).alias("b"))
-    out = sites.select("site_id").join(best, "site_id", "left")
-    d = F.col("b.d")
-    note = F.when(d.isNull(), "nothing in the cells around").when(d > most, "farther than the limit")
-    return out.select("site_id", F.when(note.isNull(), F.col("b.name")).alias("name"), F.when(note.isNull(), F.round(d, 1)).alias("distance_m"), note.alias("note"))
+    return near.groupBy("site_id").agg(F.min(F.struct("d", "name")).alias("b"), F.min(_reach_m(F.col("lat"), size)).alias("reach"))
 
 
 def overlapping_boxes(sites: DataFrame, boxes: DataFrame, half: float = BOX) -> DataFrame:

@@ -180,6 +180,17 @@ def test_floor_quantiles_and_ranks(spark):
     assert ranks == {(None, 0): 7.5, (None, 1): 21.0, (None, 2): 34.0, ("h", 1): 8.0}
 
 
+def test_nearest_segment_reaches_the_limit_from_small_cells(spark):
+    r = random.Random(61)
+    lines = [(f"r{i:02d}", 139 + i % 5 * 0.17, y + i // 5 * 0.13, 139 + i % 5 * 0.17 + 0.01, y + i // 5 * 0.13 + 0.01) for y in (35.0, 70.0) for i in range(20)]
+    points = [(f"s{y}-{i}", 139 + r.random() * 0.8, y + r.random() * 0.5) for y in (35, 70) for i in range(60)]
+    own = spark.createDataFrame(points, "site_id string, lon double, lat double")
+    segments = spark.createDataFrame(lines, "name string, lon1 double, lat1 double, lon2 double, lat2 double")
+    small, wide = ({x.site_id: (x.name, x.distance_m) for x in nearest.nearest_segment(own, segments, size=s).collect()} for s in (0.02, 1.0))
+    assert small == wide and len(small) == 120
+    assert sum(3000 < (d or 0) <= 10_000 for _, d in wide.values()) > 40
+
+
 def test_permutation_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(12)], "x double, y double")
     first = stats.permutation_p(df, "x", "y", 99, 3).first()
