@@ -53,3 +53,19 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     spark.createDataFrame([(1, "nothing alike")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_null_and_repeated_ids_lose_no_text(spark, tmp_path):
+    import corpus_pipeline
+
+    own = [" ".join(["the", "of"] + noise(900 + i, 1, 150)[0].replace("\n", " ").split() + ["and", "is"]) for i in range(7)]
+    bench = " ".join(noise(990, 1, 60)[0].split()[:30])
+    rows = [(None, own[0]), (None, own[1]), (None, own[0]), (5, own[2]), (5, own[3]), (4, own[3]), (5, own[2]), (None, f"{own[4]} {bench}"), (6, own[5]), (6, f"{own[6]} {bench}"), (None, own[2])]
+    docs = spark.createDataFrame([(i, x, "en", f"s{n}", len(x)) for n, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    texts_of = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    want = [(None, own[0]), (None, own[1]), (5, own[2]), (4, own[3]), (None, rows[7][1]), (6, own[5]), (6, rows[9][1])]
+    assert texts_of(near) == sorted(want, key=str)
+    assert texts_of(corpus_pipeline.decontaminate(spark, near, str(tmp_path))) == sorted([x for x in want if bench not in x[1]], key=str)
