@@ -5,34 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of the edges; root is the smallest node of its component.
 
     Alternating large-star and small-star rounds: each is an aggregate and a
-    join, written out, until a round changes nothing.
+    join, written out, until a round changes nothing; a star of any size is
+    combined early or split.  Self-loops and repeated edges do no harm, an edge
+    with a null end is ignored.
     """
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
     edges = cut(edges.distinct(), "edges")
-    mark = None
+    mark = _mark(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large, "large-star")
         linked = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = linked.select("a", F.col("m").alias("b")).union(linked.select("b", "m")).where("a <> b").distinct()
-        edges = cut(edges, "small-star")
-        now = edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
+        small = cut(linked.select("a", F.col("m").alias("b")).union(linked.select("b", "m")).where("a <> b").distinct(), "small-star")
+        discard(edges, large)
+        edges, before, mark = small, mark, _mark(small)
+        if mark == before:
             break
-        mark = now
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(roots.select("root", "root").distinct())
 
 
+def _mark(edges: DataFrame):
+    """Number of edges and an order-free checksum of them."""
+    return edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+
 def pair_counts(sets: DataFrame, members: str) -> DataFrame:
     """(a, b, w): in how many rows two members of the array column occur together, a < b."""
     own = F.array_sort(F.array_distinct(members))
