@@ -4,13 +4,14 @@ Of each run of ``window`` words only the smallest of its k-gram hashes is kept
 as a fingerprint.  Two texts that share ``window`` consecutive words share all
 k-grams of that stretch and so its smallest hash: every shared stretch of that
 length shows as an equal fingerprint.  Fingerprints of documents and of
-benchmark items meet in a join; each hit is then extended on the words
-themselves, so that hashes never decide.
+benchmark items meet in a join that keeps their places; each hit is then
+extended to both sides on the words themselves, so that hashes never decide.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, discard
 from .batches import mix, run_hashes, slices, text_bytes
-from .storage import cut
 
 #: Words of a k-gram, and words of a window.
 K, WINDOW = 5, 13
@@ -50,15 +51,16 @@ def _word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return letters[inside], lengths, np.searchsorted(at, offsets)
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, lengths: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed fingerprints of the texts: (index of the text, fingerprint).
+def fingerprints(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed fingerprints of the texts: (index of the text, word at which the k-gram begins, fingerprint).
 
     ``lengths``: spans of so many words are guaranteed to show; a fingerprint
-    is only equal to one made for the same length.
+    is only equal to one made for the same length.  Of equal k-grams in a
+    window the last one counts, so that equal windows choose the same place.
     """
     values, sizes, before = _word_runs(data, offsets)
     hashes = run_hashes(values, sizes)
-    owners, prints = [], []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     end_of_word = np.repeat(before[1:], np.diff(before))
     for length in lengths:
         k = min(K, length)
@@ -69,26 +71,29 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, lengths: list[int], wind
         for i in range(k):
             grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(grams)]
         grams = mix(grams + np.uint64(length))
-        least, span = grams, 1
+        least, at, span = grams, np.arange(len(grams)), 1
         while span < length - k + 1:  # the smallest of ``span`` grams from each place
             step = min(span, length - k + 1 - span)
-            least = np.minimum(least[:-step], least[step:])
+            later = least[step:] <= least[:-step]
+            least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
             span += step
         place = np.arange(count)
         whole = place + length <= end_of_word[:count]  # the window lies in one text
-        place, least = place[whole], least[:count][whole]
-        owner = np.searchsorted(before, place, side="right") - 1
-        new = np.ones(len(place), bool)
-        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        owners.append(owner[new])
-        prints.append(least[new])
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(prints)
+        at = at[:count][whole]
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1]
+        at = at[new]
+        owner = np.searchsorted(before, at, side="right") - 1
+        out.append((owner, at - before[owner], grams[at]))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def _fingerprint_rows(rows: DataFrame, lengths: list[int] | None, window: int) -> DataFrame:
-    """(id, print) of a table (id, text); without ``lengths`` each text is cut to windows of its own length, at most ``window``."""
+    """Columns of a table (..., text) but the text, with place and print.
+
+    Without ``lengths`` each text is cut to windows of its own length, at most ``window``.
+    """
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,40 +101,52 @@ def _fingerprint_rows(rows: DataFrame, lengths: list[int] | None, window: int) -
                 data, offsets = text_bytes(part.column("text"))
                 if lengths is None:
                     own = np.minimum(np.diff(_word_runs(data, offsets)[2]), window)
-                    each = [(x, fingerprints(data, offsets, [int(x)], window)) for x in np.unique(own) if x]
-                    each = [(o[own[o] == x], p[own[o] == x]) for x, (o, p) in each]  # a text counts only with its own length
-                    owner, prints = (np.concatenate(x) for x in zip(*each)) if each else fingerprints(data, offsets, [], window)
+                    found = [(x, fingerprints(data, offsets, [int(x)])) for x in np.unique(own) if x]
+                    found = [[y[own[each[0]] == x] for y in each] for x, each in found]  # a text counts only with its own length
+                    owner, place, prints = map(np.concatenate, zip(*found)) if found else fingerprints(data, offsets, [])
                 else:
-                    owner, prints = fingerprints(data, offsets, lengths, window)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(prints.view(np.int64))], ["id", "print"])
+                    owner, place, prints = fingerprints(data, offsets, lengths)
+                kept = [part.column(c).take(pa.array(owner)) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(place.astype(np.int32)), pa.array(prints.view(np.int64))], [*names, "place", "print"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, print long")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, place int, print long")
 
 
-def hit_words(doc: list[bytes], items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> tuple[list[tuple[int, int]], list[str]]:
-    """Spans of words of ``doc`` inside an occurrence of a window of an item, merged, and the items that occur."""
-    places: dict[int, dict[bytes, list[int]]] = {}
-    starts: set[tuple[int, int]] = set()
-    found = []
-    for item, own in items:
-        length = min(window, len(own))
-        if not length:
-            continue
-        if length not in places:
-            grams = places[length] = {}
-            for i in range(len(doc) - length + 1):
-                grams.setdefault(b" ".join(doc[i : i + length]), []).append(i)
-        grams = places[length]
-        hits = {i for j in range(len(own) - length + 1) for i in grams.get(b" ".join(own[j : j + length]), ())}
-        if hits:
-            found.append(item)
-            starts.update((i, length) for i in hits)
+def extended(doc: np.ndarray, item: np.ndarray, hits: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Runs of at least ``length`` equal words around the hits (place in the document, place in the item), end exclusive."""
+    out = []
+    by_shift = defaultdict(list)
+    for at, of in hits.tolist():
+        by_shift[at - of].append(at)
+    for shift, places in by_shift.items():
+        low, high = max(0, shift), min(len(doc), shift + len(item))
+        other = np.flatnonzero(doc[low:high] != item[low - shift : high - shift]) + low
+        bounds = np.concatenate([[low - 1], other, [high]])  # where a run ends on either side
+        right = np.unique(np.searchsorted(bounds, [x for x in places if low <= x < high]))
+        out += [(int(a) + 1, int(b)) for a, b in zip(bounds[right - 1], bounds[right]) if b - a - 1 >= length]
+    return out
+
+
+def hit_words(doc: list[bytes], items: list[tuple[str, list[bytes], np.ndarray]], window: int = WINDOW) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of words of ``doc`` inside an occurrence of a window of an item, merged, and the items that occur.
+
+    ``items``: name, words and hits (place in the document, place in the item).
+    """
+    numbers: dict[bytes, int] = {}
+    own = np.array([numbers.setdefault(x, len(numbers)) for x in doc], np.int64)
+    found, runs = [], []
+    for name, other, hits in items:
+        same = extended(own, np.array([numbers.get(x, -1) for x in other], np.int64), hits, min(window, len(other)))
+        if same:
+            found.append(name)
+            runs += same
     spans: list[tuple[int, int]] = []
-    for i, length in sorted(starts):
-        if spans and i <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], i + length))
+    for a, b in sorted(runs):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
         else:
-            spans.append((i, i + length))
+            spans.append((a, b))
     return spans, found
 
 
@@ -141,28 +158,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     hit_spans (array of word ranges, end exclusive), item_ids (sorted strings
     of the items that occur); one row for each row of ``docs``.
 
-    A null text has no words, a null item id is the empty string.  Rows of one item id count as one item, rows of
-    one document id each get their own row.  Empty tables give no rows or no
-    hits.  Other columns are ignored.
+    A null text has no words, a null item id is the empty string.  Rows of one
+    item id count as one item; rows of one document id, null included, each get
+    their own row.  Repeated rows get equal results.  Empty tables give no rows
+    or no hits.  Other columns are ignored, whatever their names.  Memory holds
+    about a megabyte of texts, or one longer text, and the items that it meets.
 
     Fingerprints of the benchmark are broadcast while they are fewer than
     ``BROADCAST_ROWS``, candidates while their texts take less than
     ``BROADCAST_BYTES``; beyond that the joins shuffle, and a hot fingerprint
-    can be split like any skewed join, since only pairs of ids leave the join.
+    can be split like any skewed join, since only places leave the join.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item_text"))
-    items = cut(items.distinct(), "items")
-    prints = cut(_fingerprint_rows(items.toDF("id", "text"), None, window).distinct().withColumnRenamed("id", "item"), "item-prints")
+    # rows of one item are told apart by their texts
+    items = cut(items.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
+    prints = cut(_fingerprint_rows(items.select("row", F.col("item_text").alias("text")), None, window).withColumnRenamed("place", "of"), "item-prints")
     n_words = F.array_size(F.filter(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != ""))
     lengths = sorted(x[0] for x in items.select(F.least(n_words, F.lit(window))).distinct().collect() if x[0])
-    if prints.count() <= BROADCAST_ROWS:
-        prints = F.broadcast(prints)
-    if (items.select(F.sum(F.octet_length("item_text") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
-        items = F.broadcast(items)
-    pairs = _fingerprint_rows(own, lengths, window).join(prints, "print").select("id", "item").distinct()
-    candidates = cut(pairs.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "item_text")).alias("items")), "candidates")
-    size = candidates.select(F.sum(F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x["item_text"]) + 100))).first()[0] or 0
+    small_prints = F.broadcast(prints) if prints.count() <= BROADCAST_ROWS else prints
+    small_items = F.broadcast(items) if (items.select(F.sum(F.octet_length("item_text") + 100)).first()[0] or 0) <= BROADCAST_BYTES else items
+    met = _fingerprint_rows(own, lengths, window).join(small_prints, "print")
+    met = met.groupBy("id", "version", "row").agg(F.collect_set(F.struct(F.col("place").alias("at"), "of")).alias("hits"))
+    each = F.struct("item", "item_text", "hits")
+    candidates = cut(met.join(small_items, "row").groupBy("id", "version").agg(F.collect_list(each).alias("items")), "candidates")
+    size = candidates.select(F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["item_text"]) + 100 + 8 * F.size(x["hits"])))).first()[0] or 0
+    discard(items, prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,15 +194,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                 found: list[list] = [[] for _ in counts]
                 near = part.column("items")
                 for i in np.flatnonzero(near.is_valid().to_numpy(zero_copy_only=False)):
-                    own = [(x["item"], words(x["item_text"])) for x in near[i].as_py()]
+                    own = [(x["item"], words(x["item_text"]), np.array([(h["at"], h["of"]) for h in x["hits"]])) for x in near[i].as_py()]
                     got, names = hit_words(words(part.column("text")[i].as_py()), own, window)
                     spans[i] = [{"start": a, "end": b} for a, b in got]
-                    found[i] = sorted({x for x in names if x is not None})
+                    found[i] = sorted(set(names))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))], ["id", "n_words", "hit_spans", "item_ids"])
 
-    near = candidates.withColumnRenamed("id", "near")
-    joined = own.join(F.broadcast(near) if size <= BROADCAST_BYTES else near, own["id"].eqNullSafe(near["near"]), "left").select("id", "text", "items")
+    near = candidates.withColumnsRenamed({"id": "near", "version": "near_version"})
+    met = own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"])
+    joined = own.join(F.broadcast(near) if size <= BROADCAST_BYTES else near, met, "left").select("id", "text", "items")
     out = joined.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "hit_spans", "item_ids")
