@@ -2,9 +2,9 @@
 
 A rolling hash over line hashes is taken at every line, so that each passage of
 two or more lines is found wherever it lies and whatever stands around it: a
-repeated passage is a run of repeated windows of two lines.  Windows that
-repeat anywhere in the table are compared byte by byte; all but the first copy
-go.
+repeated passage is a run of repeated windows of two lines.  A single line of
+many words is a window too.  Windows that repeat anywhere in the table are
+compared byte by byte; all but the first copy go.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, discard
 from .batches import mix, run_hashes, slices, text_bytes, texts
-from .storage import cut
 
-#: Lines of a window; a shorter passage never goes.
-WINDOW = 2
+#: Lines of a window; a shorter passage never goes, unless it is one line of more than so many words.
+WINDOW, LONG_LINE = 2, 50
 #: Lists of windows by document are broadcast up to this size; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 64_000_000
 
@@ -29,7 +29,7 @@ _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each line, whether it has a word, and for each text the number of lines before it.
+    """Hash of each line, how many words it has, and for each text the number of lines before it.
 
     Lines are what ``split`` by the line feed gives: an empty text is one empty line.
     """
@@ -47,54 +47,56 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     joined[breaks] = False
     hashes = np.full(len(ends), 0x5BD1E995, np.uint64)
     hashes[filled] = run_hashes(data[joined], sizes[filled])
-    letters = np.concatenate([[0], np.cumsum(~_SPACE[data])])
-    return hashes, letters[ends] > letters[starts], text_of
-
-
-def chunk_ends(hashes: np.ndarray) -> list[int]:
-    """The windows of one text as a walk over exclusive line numbers: one runs from each entry, at first 0, to the next.
-
-    A step back begins the next window, which overlaps the one before: 2, 1, 3, 2, 4 are the windows of four lines.
-    """
-    n = len(hashes)
-    return [x for start in range(n - WINDOW + 1) for x in (start, start + WINDOW)][1:]
+    letter = ~_SPACE[data]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edges] = letter[edges]
+    words = np.concatenate([[0], np.cumsum(begins)])
+    return hashes, words[ends] - words[starts], text_of
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, version, first_line, value) of each window of lines with a word."""
+    """(id, version, first_line, n_lines, value) of each window of lines with a word, and of each line of many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, worded, before = line_table(*text_bytes(part.column("text")))
+                hashes, words, before = line_table(*text_bytes(part.column("text")))
                 text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
                 n = max(len(hashes) - WINDOW + 1, 0)
                 value, word = np.zeros(n, np.uint64), np.zeros(n, bool)
                 for i in range(WINDOW):
                     value = mix(value + hashes[i : i + n] * np.uint64(2 * i + 1))
-                    word |= worded[i : i + n]
+                    word |= words[i : i + n] > 0
                 at = np.flatnonzero(word & (text_of[:n] == text_of[WINDOW - 1 : WINDOW - 1 + n]))
+                alone = np.flatnonzero(words > LONG_LINE)
+                sizes = np.repeat([WINDOW, 1], [len(at), len(alone)]).astype(np.int32)
+                value = np.concatenate([value[at], hashes[alone]])
+                at = np.concatenate([at, alone])
                 rows = text_of[at]
                 taken = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), pa.array(at - before[rows], pa.int32()), pa.array(value[at].view(np.int64))], ["id", "version", "first_line", "value"])
+                columns = [part.column("id").take(taken), part.column("version").take(taken), pa.array(at - before[rows], pa.int32()), pa.array(sizes), pa.array(value.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "first_line", "n_lines", "value"])
 
     rows = _versioned(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, value long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, n_lines int, value long")
 
 
 def _bodies(rows: DataFrame) -> DataFrame:
-    """(id, version, first_line, body) of the windows ``starts`` of each text."""
+    """(id, version, first_line, n_lines, body) of the windows ``starts`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 starts = part.column("starts")
                 taken, first = pc.list_parent_indices(starts), starts.flatten()
+                at, size = first.field("first_line"), first.field("n_lines")
                 lines = [x.split("\n") for x in texts(part.column("text"))]
-                body = ["\n".join(lines[row][at : at + WINDOW]) for row, at in zip(taken.to_pylist(), first.to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), first, pa.array(body, pa.string())], ["id", "version", "first_line", "body"])
+                body = ["\n".join(lines[row][i : i + n]) for row, i, n in zip(taken.to_pylist(), at.to_pylist(), size.to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(taken), part.column("version").take(taken), at, size, pa.array(body, pa.string())], ["id", "version", "first_line", "n_lines", "body"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, body string")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, first_line int, n_lines int, body string")
 
 
 def _versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,23 +114,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(near, near_version, drop: array of line numbers) of the texts that lose lines."""
     place = F.struct("id", "version", "first_line")
     found = cut(windows(docs, id_col, text_col), "windows")
-    places = found.groupBy("value").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    places = found.groupBy("value", "n_lines").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written apart, so that the join with a value of many windows can be split
-    several = found.join(cut(places.where("first <> last").select("value"), "repeated-values"), "value")
-    wanted = several.groupBy("id", "version").agg(F.collect_set("first_line").alias("starts"))
-    near = _side(cut(wanted.withColumnsRenamed({"id": "near", "version": "near_version"}), "repeated-windows"), "starts")
+    values = cut(places.where("first <> last").select("value", "n_lines"), "repeated-values")
+    several = found.join(values, ["value", "n_lines"])
+    wanted = several.groupBy("id", "version").agg(F.collect_set(F.struct("first_line", "n_lines")).alias("starts"))
+    wanted = cut(wanted.withColumnsRenamed({"id": "near", "version": "near_version"}), "repeated-windows")
+    discard(found, values)
+    near = _side(wanted, "starts")
     # the bytes of those windows only
     own = _versioned(docs, id_col, text_col)
     own = own.join(near, own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"]))
     lines = cut(_bodies(own.select("id", "version", "text", "starts")), "window-bytes")
+    discard(wanted)
     # groups of equal bytes; a digest then stands for the bytes of a group
-    groups = lines.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    groups = cut(groups.select(F.sha2("body", 256).alias("digest"), "first"), "repeated-bodies")
-    members = lines.select("id", "version", "first_line", F.sha2("body", 256).alias("digest"))
-    later = members.join(groups, "digest").where(~place.eqNullSafe(F.col("first")))
-    starts = F.collect_set("first_line")
-    drop = later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.transform(starts, lambda x: F.sequence(x, x + WINDOW - 1)))).alias("drop"))
-    return drop.withColumnsRenamed({"id": "near", "version": "near_version"})
+    groups = lines.groupBy("body", "n_lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    groups = cut(groups.select(F.sha2("body", 256).alias("digest"), "n_lines", "first"), "repeated-bodies")
+    members = lines.select("id", "version", "first_line", "n_lines", F.sha2("body", 256).alias("digest"))
+    later = members.join(groups, ["digest", "n_lines"]).where(~place.eqNullSafe(F.col("first")))
+    gone = F.sequence("first_line", F.col("first_line") + F.col("n_lines") - 1)
+    drop = later.groupBy("id", "version").agg(F.array_distinct(F.flatten(F.collect_set(gone))).alias("drop"))
+    drop = cut(drop.withColumnsRenamed({"id": "near", "version": "near_version"}), "dropped-lines")
+    discard(lines, groups)
+    return drop
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,21 +145,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The first copy stays: that of the smallest id, then the smallest text
     hash, then the first line; a null id counts as smallest.  Rows with equal
     id and text are one document and lose the same lines.  A line goes if it
-    and a neighbour stand together at an earlier place too, so of a line in
-    several passages one copy stays somewhere.  A null text stays null; single
-    lines, and lines that have no word and none beside them, are never removed;
-    a text may become empty.  A column n_lines_removed of ``docs`` is replaced.
+    and a neighbour stand together at an earlier place too, or if it has more
+    than ``LONG_LINE`` words and stands at an earlier place too; so of a line
+    in several passages one copy stays somewhere.  A null text stays null;
+    other single lines, and lines that have no word and none beside them, are
+    never removed; a text may become empty.  An empty table gives an empty one.
+    A column n_lines_removed of ``docs`` is replaced; other columns stay,
+    whatever their names.  A task holds about a megabyte of texts, or one
+    longer text.
     """
-    drop = repeated_lines(docs, id_col, text_col).toDF("_near", "_near_version", "_drop")
-    drop = _side(cut(drop, "dropped-lines"), "_drop")
-    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.withColumn("_version", version)
-    rows = rows.join(drop, rows[id_col].eqNullSafe(drop["_near"]) & (rows["_version"] == drop["_near_version"]), "left")
-    removed = F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long")
+    drop = _side(repeated_lines(docs, id_col, text_col), "drop")
+    order = [c for c in docs.columns if c != "n_lines_removed"]
+    rows = docs.select(F.struct(*order).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
+    rows = rows.join(drop, rows["id"].eqNullSafe(drop["near"]) & (rows["version"] == drop["near_version"]), "left")
+    removed = F.coalesce(F.array_size("drop"), F.lit(0)).cast("long")
     # an array of the one array of lines names it, so that a text is split once
-    lines = F.array(F.split(F.col(text_col), "\n"))
-    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.array_size(x) - 1), F.col("_drop"))
+    lines = F.array(F.split("text", "\n"))
+    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.array_size(x) - 1), F.col("drop"))
     left = F.transform(lines, lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
-    order = [c for c in docs.columns if c != "n_lines_removed"]
-    return rows.withColumns({"n_lines_removed": removed, text_col: text}).select(*order, "n_lines_removed")
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.get(left, F.lit(0)))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in order], removed.alias("n_lines_removed"))
