@@ -51,9 +51,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"] != "token")), 256)
-    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
-    return found.select("doc_id", *map(count, ("assign", "access", "hex")), base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), live.alias("n_live"))
+    base = F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS[:3]))), 256)
+    live = F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long")
+    verdicts = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["verdict"], s["n_owners"].cast("string"), s["n_repositories"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), live.alias("n_live"), verdicts.alias("verdicts"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [kind.name for kind in pii.BASE]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     own = F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
-    return found.select("doc_id", *map(count, base), own.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *map(count, base), own.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), scores.alias("scores"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
