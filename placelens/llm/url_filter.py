@@ -1,12 +1,14 @@
 """URL filters by a bit-parallel wildcard automaton.
 
-All glob rules are packed into one row of 64-bit words.  Each character of a
-canonical URL (host and path) moves all rules at once: a shift, a mask of the
-states that the character enters, and a mask of the wildcards that stay.
+All glob rules are packed into one row of 64-bit words.  Each character (code
+point) of a canonical URL, host and path, moves all rules at once: a shift, a
+mask of the states that the character enters, and a mask of the wildcards that
+stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,17 +17,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
+
+#: Steps of a pattern besides plain characters: any one character, any characters, any but a slash.
+ONE, ANY, HOST = -1, -2, -3
+#: Bytes of state that a task holds for a slice of URLs.
+STATE_BYTES = 1 << 22
+#: Rules that a table may hold; they go to every task.
+MOST_RULES = 200_000
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``host/path``: fits the host and its subdomains where the path starts with the rule's."""
+    """``host/path``, read literally: fits the host and its subdomains where the path starts with the rule's."""
 
     verdict: str
     text: str
 
     @property
-    def glob(self) -> str:
-        return f"^*.{self.text}*"  # the URL is written with a dot before its host; ^* stays inside the host
+    def pattern(self) -> list[int]:
+        return [HOST, *map(ord, f".{self.text}"), ANY]  # the URL is written with a dot before its host
+
+
+def glob(text: str) -> list[int]:
+    """The steps of a glob: ``*`` any characters, ``^*`` any but a slash, ``?`` one character."""
+    wild = {"^*": HOST, "*": ANY, "?": ONE}
+    return [wild[x] if x in wild else ord(x) for x in re.findall(r"\^\*|.", text, re.DOTALL)]
+
+
+def rules_of(table: DataFrame, most: int = MOST_RULES) -> list[Rule]:
+    """The rules of a table (verdict, text) in any order; a table of more than ``most`` rows is an error."""
+    rows = table.select("verdict", "text").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [Rule(*x) for x in rows]
 
 
 #: Globs over ``.host/path`` that the method blocks where no rule fits: ``*`` any characters, ``^*`` any but a slash, ``?`` one.
@@ -44,59 +70,66 @@ def canonical(url: str | None) -> tuple[str, str]:
 
 
 class Automaton:
-    """Shift-And over several words for globs."""
+    """Shift-And over several words for patterns; a character that no pattern names is of a class of its own."""
 
-    def __init__(self, globs: list[str]):
-        states: list[tuple[bytes | None, str]] = []  # what leads into a state, and what it stays on
+    def __init__(self, patterns: list[list[int]]):
+        enter: list[int] = []  # what leads into a state
+        stay: list[int] = []  # what it stays on
         first, last = [], []
-        for glob in globs:
-            steps: list[list] = [[None, ""]]  # the start
-            i = 0
-            while i < len(glob):
-                if glob.startswith("^*", i):
-                    steps[-1][1] = steps[-1][1] or "host"
-                    i += 2
-                elif glob[i] == "*":
-                    steps[-1][1] = "any"
-                    i += 1
+        for pattern in patterns:
+            first.append(len(enter))
+            enter.append(0)
+            stay.append(0)
+            for x in pattern:
+                if x in (ANY, HOST):
+                    stay[-1] = ANY if ANY in (x, stay[-1]) else HOST
                 else:
-                    steps += [[b if glob[i] != "?" else -1, ""] for b in glob[i].encode()]
-                    i += 1
-            first.append(len(states))
-            states += map(tuple, steps)
-            last.append(len(states) - 1)
-        words = -(-max(1, len(states)) // 64)
-
-        def mask(places) -> np.ndarray:
-            out = np.zeros(words, np.uint64)
-            for p in places:
-                out[p // 64] |= np.uint64(1) << np.uint64(p % 64)
-            return out
-
-        self.first, self.last, self.words = mask(first), last, words
-        #: By character: states that it enters, and states that it leaves as they are.
-        self.enter = np.stack([mask(i for i, (x, _) in enumerate(states) if i not in set(first) and x in (b, -1)) for b in range(256)])
-        stay = {c: mask(i for i, (_, s) in enumerate(states) if s == "any" or s == "host" and c != 0x2F) for c in (0, 0x2F)}
-        self.stay = np.stack([stay[0x2F if b == 0x2F else 0] for b in range(256)])
-
-    def run(self, strings: list[bytes]) -> np.ndarray:
-        """For each string and glob, whether the glob fits the whole string."""
-        order = np.argsort([-len(x) for x in strings], kind="stable")
-        sizes = np.array([len(strings[i]) for i in order])
+                    enter.append(x)
+                    stay.append(0)
+            last.append(len(enter) - 1)
+        self.words = -(-max(1, len(enter)) // 64)
+        self.last = np.array(last, np.int64)
+        into, held, start = np.array(enter, np.int64), np.array(stay, np.int64), np.zeros(len(enter), bool)
+        start[first] = True
+        self.letters = np.union1d(into[(into > 0) & ~start], [0x2F])
+        one, inside = self._mask((into == ONE) & ~start), self._mask(held < 0)
+        #: By class of character, the last one for all others: states that it enters, and states that it leaves as they are.
+        self.enter, self.stay = (np.tile(x, (len(self.letters) + 1, 1)) for x in (one, inside))
+        named = np.flatnonzero((into > 0) & ~start)
+        np.bitwise_or.at(self.enter, (np.searchsorted(self.letters, into[named]), named // 64), np.uint64(1) << (named % 64).astype(np.uint64))
+        self.stay[np.searchsorted(self.letters, 0x2F)] = self._mask(held == ANY)
+        self.first = self._mask(start)
+
+    def _mask(self, states: np.ndarray) -> np.ndarray:
+        bits = np.zeros(self.words * 64, bool)
+        bits[: len(states)] = states
+        return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
+
+    def run(self, strings: list[str]) -> np.ndarray:
+        """For each string and pattern, whether the pattern fits the whole string."""
+        step = max(1, STATE_BYTES // (8 * self.words))
+        parts = [self._run(strings[i : i + step]) for i in range(0, len(strings), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.last)), bool)
+
+    def _run(self, strings: list[str]) -> np.ndarray:
+        sizes = np.array([len(x) for x in strings])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
         state = np.tile(self.first, (len(strings), 1))
-        live = len(strings)
-        data = np.frombuffer(b"".join(strings[i] for i in order), np.uint8)
+        data = np.frombuffer("".join(strings[i] for i in order).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        place = np.minimum(np.searchsorted(self.letters, data), len(self.letters) - 1)
+        kind = np.where(self.letters[place] == data, place, len(self.letters))
         starts = np.cumsum(sizes) - sizes
+        live = len(strings)
         for at in range(int(sizes.max(initial=0))):
             while sizes[live - 1] <= at:
                 live -= 1
-            own, c = state[:live], data[starts[:live] + at]
+            own, c = state[:live], kind[starts[:live] + at]
             moved = own << np.uint64(1)
             moved[:, 1:] |= own[:, :-1] >> np.uint64(63)
             state[:live] = (moved & self.enter[c]) | (own & self.stay[c])
         out = np.zeros((len(strings), len(self.last)), bool)
-        for g, p in enumerate(self.last):
-            out[order, g] = (state[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+        out[order] = (state[:, self.last // 64] >> (self.last % 64).astype(np.uint64)) & np.uint64(1)
         return out
 
 
@@ -106,24 +139,27 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked: tuple[str, ...] = B
     rule is the longest rule that fits (of equally long ones a block, then the
     smallest text), else null; verdict is the rule's, else block if a glob of
     ``blocked`` fits, else allow.  A null URL, or one without ``://``, has an
-    empty host and path, fits no rule and is allowed.  No shuffle; other
-    columns are ignored.
+    empty host and path, fits no rule and is allowed.  One row for each row,
+    repeated ones too; an empty table gives an empty one.  No shuffle; other
+    columns are ignored, whatever their names.  The state that a task holds is
+    bounded by ``STATE_BYTES``, however many rules there are, but for the one
+    row that a URL needs.
     """
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
-    automaton = Automaton([r.glob for r in ordered] + list(blocked))
+    automaton = Automaton([r.pattern for r in ordered] + [glob(x) for x in blocked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [canonical(x) for x in batch.column("url").to_pylist()]
-            fits = automaton.run([f".{host}{path}".encode() for host, path in parts])
-            out = []
-            for fit in fits:
-                hits = np.flatnonzero(fit)
-                rule = ordered[hits[0]] if len(hits) and hits[0] < len(ordered) else None
-                glob = next((blocked[h - len(ordered)] for h in hits if h >= len(ordered)), None)
-                out.append((rule and rule.text, rule.verdict if rule else "block" if glob else "allow", glob))
-            columns = [pa.array(x, pa.string()) for x in zip(*[(h, p, *o) for (h, p), o in zip(parts, out)])] if parts else [pa.array([], pa.string())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "host", "path", "rule", "verdict", "blocked_by"])
+            for part in slices(batch, "url"):
+                pairs = [canonical(x) for x in part.column("url").to_pylist()]
+                out = []
+                for (host, path), fit in zip(pairs, automaton.run([f".{host}{path}" for host, path in pairs])):
+                    hits = np.flatnonzero(fit)
+                    rule = ordered[hits[0]] if len(hits) and hits[0] < len(ordered) else None
+                    by = next((blocked[h - len(ordered)] for h in hits if h >= len(ordered)), None)
+                    out.append((host, path, rule and rule.text, rule.verdict if rule else "block" if by else "allow", by))
+                columns = [pa.array(x, pa.string()) for x in zip(*out)] if out else [pa.array([], pa.string())] * 5
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "host", "path", "rule", "verdict", "blocked_by"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string, blocked_by string").withColumnRenamed("id", id_col)
