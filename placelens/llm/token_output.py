@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import running_counts
+from ..sources.shared import cut, fresh_path
 from .batches import slices, texts
-from .storage import cut, fresh_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
 
@@ -189,23 +190,26 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_
 
     The manifest (``id_col``, shard, path, at, n_tokens) has a row for each
     document: its place in its shard and its number of ids with the end id.
-    Shards hold ascending ranges of ids; documents of one id are in order of
-    their texts; null ids come first.  A null text is just the end id.
-
-    A task writes its shard under a name of its own and then renames it, so
-    that a task that runs twice leaves one whole file.
+    Shards hold ascending ranges of ids; documents of one id are in order of a
+    hash of their texts, so that any number of them is dealt over shards; null
+    ids come first.  A null text is just the end id.  An empty table writes
+    nothing; other columns are ignored, whatever their names.  A task holds
+    about a megabyte of texts, or one longer text.
+
+    The file of a task has the number of the attempt in its name, and the
+    manifest names the file of the attempt that Spark took.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
         files, inside = pa.fs.FileSystem.from_uri(folder)
-        path, temporary = f"{inside}/shard-{shard:05d}.arrow", f"{inside}/.shard-{shard:05d}-{attempt}"
+        name = f"shard-{shard:05d}-{attempt}.arrow"
         e = encoder(tokenizer)
         end = np.array([end_id], e.kind).tobytes()
         rows = []
         files.create_dir(inside, recursive=True)
-        with files.open_output_stream(temporary) as sink:
+        with files.open_output_stream(f"{inside}/{name}") as sink:
             out = ShardWriter(sink, e.kind, length)
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -218,31 +222,28 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_
                     rows.append((part.column("id"), at, n))
             out.close()
         if not rows:
-            files.delete_file(temporary)
-            return
-        files.move(temporary, path)
+            files.delete_file(f"{inside}/{name}")
         for ids, at, n in rows:
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shard] * len(n), pa.int32()), pa.array([f"{folder}/shard-{shard:05d}.arrow"] * len(n)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["id", "shard", "path", "at", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([shard] * len(n), pa.int32()), pa.array([f"{folder}/{name}"] * len(n)), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["id", "shard", "path", "at", "n_tokens"])
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = own.select(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     spark = docs.sparkSession
     shards = max(1, -(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism if size > SHARD_BYTES else 1)
-    ordered = own.repartitionByRange(int(shards), "id").sortWithinPartitions("id", "text")
-    manifest = ordered.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, shard int, path string, at long, n_tokens long")
+    dealt = own.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = dealt.repartitionByRange(int(shards), "id", "hash", "row").sortWithinPartitions("id", "hash", "row")
+    manifest = ordered.select("id", "text").mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, shard int, path string, at long, n_tokens long")
     return cut(manifest, "manifest").withColumnRenamed("id", id_col)
 
 
 def read_back(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads each document's ids from its shard: ``id_col``, start, n_tokens, ids_crc32.
 
-    start counts the ids of all documents in earlier shards and of those
-    before it in its own shard.
+    start counts the ids of all documents in earlier shards, added up by ranges
+    of shards, and of those before it in its own shard.
     """
-    totals = manifest.groupBy("shard", "path").agg(F.sum("n_tokens").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("shard", "n")))  # one entry for each file
-    before = F.transform("all", lambda x: F.struct(x["shard"].alias("shard"), F.aggregate(F.filter("all", lambda y: y["shard"] < x["shard"]), F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("before")))
-    before = totals.agg(ordered.alias("all")).select(F.inline(before))
+    totals = running_counts(manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")), [], ["shard"], "n")
+    before = totals.select("shard", (F.col("_upto") - F.col("n")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, shard = "", None
@@ -259,7 +260,7 @@ def read_back(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    rows = manifest.join(F.broadcast(before), "shard").select(F.col(id_col).alias("id"), "path", "at", "n_tokens", (F.col("before") + F.col("at")).alias("start"))
+    rows = manifest.join(before, "shard").select(F.col(id_col).alias("id"), "path", "at", "n_tokens", (F.col("before") + F.col("at")).alias("start"))
     rows = rows.repartition("path").sortWithinPartitions("path", "at")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
