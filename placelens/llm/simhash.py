@@ -1,17 +1,21 @@
 """SimHash near-duplicates by a self-join of a binary trie over the fingerprints.
 
-Pairs of trie nodes are traversed together: the bits in which their prefixes
-differ are added up, and a pair is pruned as soon as it exceeds the error
-budget.  The upper levels are traversed as a table of node pairs until the
-fingerprints below each pair fit one task; the rest of each pair's traversal
-runs in that task.
+Pairs of trie nodes are traversed together from the root: the bits in which
+their prefixes differ are added up, and a pair is pruned as soon as it exceeds
+the error budget.  The upper levels are traversed as a table of node pairs
+until the fingerprints below each pair fit one task; the rest of each pair's
+traversal runs in that task.
+
+``near_duplicates`` links 64-bit fingerprints within a few bits, completely.
+Texts of a similarity of 0.8 differ in about a sixth of their bits, beyond what
+a trie can prune, so ``similar_texts`` takes a longer fingerprint and several
+tries, each over its own few bits; texts that meet in one of them are compared
+over many more bits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices, texts
-from .components import components
-from .storage import cut
+from ..operators.graph import connected_components
+from ..sources.shared import cut
+from .batches import mix, run_hashes, slices, text_bytes, texts
 
 SEED = 42
 #: Fingerprints below a pair of nodes that one task takes; pairs with more are split further down the trie.
@@ -33,6 +37,12 @@ DIRECT = 16
 #: Pairs of nodes that a task holds at a time.
 FRONT = 1 << 18
 
+#: Bits of a wide fingerprint, how many tries share them, bits of a code of a trie, bits that it branches on, and bits in which linked codes may differ.
+WIDE, TRIES, CODE, BRANCH, TOTAL = 512, 12, 128, 24, 26
+#: Pairs of nodes with more pairs of codes are walked from text to text.
+PAIRWISE = 1 << 14
+
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -74,11 +84,13 @@ def _halves(prints: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -
     return np.clip(np.searchsorted(prints, (prints[low] & top) | bit), low, high)
 
 
-def near_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller, larger) of sorted distinct fingerprints below two nodes at ``depth`` that differ in at most ``budget`` bits.
+def node_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget: int, bits: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of nodes below two nodes at ``depth`` that are small or ``bits`` deep: (a, b, c, d), arrays of places in ``prints``.
 
-    With one node given twice, pairs inside it.  Works on pieces of the
-    traversal, deepest first, so that memory stays bounded.
+    ``prints``: sorted fingerprints.  Pairs that differ in more than ``budget``
+    bits of their prefixes are pruned.  With one node given twice, pairs inside
+    it.  Works on pieces of the traversal, deepest first, so that memory stays
+    bounded.
     """
     shift = np.uint64(64 - depth)
     ends = [(np.searchsorted(prints, np.uint64(p) << shift), np.searchsorted(prints, (np.uint64(p) << shift) | ((np.uint64(1) << shift) - np.uint64(1)), side="right")) if depth else (0, len(prints)) for p in prefixes]
@@ -92,18 +104,9 @@ def near_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget
             half = len(a) // 2
             stack += [(depth, *(x[half:] for x in (a, b, c, d, off))), (depth, *(x[:half] for x in (a, b, c, d, off)))]
             continue
-        direct = ((b - a) * (d - c) <= DIRECT) | (depth == 64)
+        direct = ((b - a) * (d - c) <= DIRECT) | (depth >= bits)
         if direct.any():
-            w, v = (b - a)[direct], (d - c)[direct]
-            n = w * v
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            v = np.repeat(v, n)
-            x, y = np.repeat(a[direct], n) + place // v, np.repeat(c[direct], n) + place % v
-            keep = x < y
-            x, y = prints[x[keep]], prints[y[keep]]
-            close = np.bitwise_count(x ^ y) <= budget
-            if close.any():
-                yield x[close], y[close]
+            yield a[direct], b[direct], c[direct], d[direct]
         go = ~direct
         if not go.any():
             continue
@@ -120,6 +123,65 @@ def near_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget
             stack.append((depth + 1, *joined))
 
 
+def _all_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of [a, b) with each later one of [c, d), of all node pairs."""
+    w, v = b - a, d - c
+    n = w * v
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    v = np.repeat(v, n)
+    x, y = np.repeat(a, n) + place // v, np.repeat(c, n) + place % v
+    keep = x < y
+    return x[keep], y[keep]
+
+
+def near_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller, larger) of sorted distinct fingerprints below two nodes that differ in at most ``budget`` bits."""
+    for nodes in node_pairs(prints, prefixes, depth, budget):
+        x, y = (prints[i] for i in _all_pairs(*nodes))
+        close = np.bitwise_count(x ^ y) <= budget
+        if close.any():
+            yield x[close], y[close]
+
+
+def _linked(codes: np.ndarray, left: np.ndarray, right: np.ndarray | None, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join the same rows of ``codes`` as all pairs within ``total`` bits, between two lists of places or inside one.
+
+    A walk from text to text: what has been reached is not compared again, so
+    that a group of near copies costs about as many comparisons as it has texts.
+    """
+    rest = [left, left if right is None else right]
+    while len(rest[0]) and len(rest[1]):
+        reached = [(int(rest[0][0]), 0)]
+        rest[0] = rest[0][1:]
+        if right is None:
+            rest[1] = rest[0]
+        while reached:
+            at, side = reached.pop()
+            other = 0 if right is None else 1 - side
+            if not len(rest[other]):
+                continue
+            close = np.bitwise_count(codes[rest[other]] ^ codes[at]).sum(axis=1) <= total
+            found = rest[other][close]
+            if len(found):
+                yield np.full(len(found), at), found
+                rest[other] = rest[other][~close]
+                if right is None:
+                    rest[1] = rest[0]
+                reached += [(x, other) for x in found.tolist()]
+
+
+def similar_pairs(codes: np.ndarray, prefixes: tuple[int, int], depth: int, budget: int, bits: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the rows of ``codes`` (sorted by the first column) below two nodes, within ``total`` bits of all columns."""
+    for a, b, c, d in node_pairs(codes[:, 0].copy(), prefixes, depth, budget, bits):
+        large = (b - a) * (d - c) > PAIRWISE
+        x, y = _all_pairs(*(z[~large] for z in (a, b, c, d)))
+        close = np.bitwise_count(codes[x] ^ codes[y]).sum(axis=1) <= total
+        if close.any():
+            yield x[close], y[close]
+        for i in np.flatnonzero(large):
+            yield from _linked(codes, np.arange(a[i], b[i]), None if a[i] == c[i] else np.arange(c[i], d[i]), total)
+
+
 def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Edges that link what the given edges link: each node to the smallest node of its part."""
     parent: dict[int, int] = {}
@@ -141,35 +203,51 @@ def _prefix(depth: int):
     return F.shiftrightunsigned("fingerprint", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def _node_pairs(prints: DataFrame, budget: int) -> DataFrame:
-    """(depth, a, b): pairs of nodes of one depth within the budget, each small enough for a task, a <= b."""
-    depth = min(20, max(1, math.ceil(math.log2(max(2, prints.count()) / TASK_FINGERPRINTS)) + 2))
-
-    def nodes(depth: int) -> DataFrame:
-        return prints.groupBy(_prefix(depth).alias("node")).agg(F.count("*").alias("n"))
-
-    level = cut(nodes(depth), "nodes")
-    flips = [sum(1 << i for i in bits) for n in range(min(budget, depth) + 1) for bits in combinations(range(depth), n)]
-    steps = F.array(*[F.lit(x).cast("long") for x in flips])
-    other = level.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = level.select(F.col("node").alias("a"), "n", F.explode(F.transform(steps, lambda x: F.col("node").bitwiseXOR(x))).alias("b"))
-    pairs = pairs.where("a <= b").join(other, "b")
-    done = None
+def _node_pairs(prints: DataFrame, budget: int, bits: int) -> DataFrame:
+    """(trie, depth, a, b): pairs of nodes of one depth within the budget, each small enough for a task, a <= b."""
+    root = prints.groupBy("trie").agg(F.count("*").alias("n"))
+    pairs = root.select("trie", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "n", F.col("n").alias("m"))
+    depth, done = 0, None
     while True:
-        pairs = cut(pairs.select(F.lit(depth).alias("depth"), "a", "b", "n", "m"), "node-pairs")
+        pairs = cut(pairs.select("trie", F.lit(depth).alias("depth"), "a", "b", "n", "m"), "node-pairs")
         fits = F.col("n") + F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("m")) <= TASK_FINGERPRINTS
-        small = pairs if depth >= 64 - STEP else pairs.where(fits)
+        small = pairs if depth >= bits - STEP else pairs.where(fits)
         done = small if done is None else done.union(small)
         large = pairs.where(~fits)
-        if depth >= 64 - STEP or large.isEmpty():
-            return done.select("depth", "a", "b")
+        if depth >= bits - STEP or large.isEmpty():
+            return done.select("trie", "depth", "a", "b")
         depth += STEP
-        level = cut(nodes(depth).withColumn("up", F.shiftright("node", STEP)), "nodes")
-        first = level.select(F.col("up").alias("a"), F.col("node").alias("c"), F.col("n").alias("cn"))
-        second = level.select(F.col("up").alias("b"), F.col("node").alias("d"), F.col("n").alias("dn"))
-        pairs = large.select("a", "b").join(first, "a").join(second, "b")
+        nodes = prints.groupBy("trie", _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
+        level = cut(nodes.withColumn("up", F.shiftright("node", STEP)), "nodes")
+        first = level.select("trie", F.col("up").alias("a"), F.col("node").alias("c"), F.col("n").alias("cn"))
+        second = level.select("trie", F.col("up").alias("b"), F.col("node").alias("d"), F.col("n").alias("dn"))
+        pairs = large.select("trie", "a", "b").join(first, ["trie", "a"]).join(second, ["trie", "b"])
         pairs = pairs.where((F.bit_count(F.col("c").bitwiseXOR(F.col("d"))) <= budget) & (F.col("c") <= F.col("d")))
-        pairs = pairs.select(F.col("c").alias("a"), F.col("d").alias("b"), F.col("cn").alias("n"), F.col("dn").alias("m"))
+        pairs = pairs.select("trie", F.col("c").alias("a"), F.col("d").alias("b"), F.col("cn").alias("n"), F.col("dn").alias("m"))
+
+
+def _tasks(prints: DataFrame, budget: int, bits: int, carried: list[str]) -> DataFrame | None:
+    """(trie, depth, a, b, x, y): each small pair of nodes with what is below them; y is null where both are one."""
+    pairs = cut(_node_pairs(prints, budget, bits), "tasks")
+    depths = [x[0] for x in pairs.select("depth").distinct().collect()]  # at most 16
+    if not depths:
+        return None
+    wanted = pairs.select("trie", "depth", F.col("a").alias("head")).union(pairs.select("trie", "depth", F.col("b").alias("head"))).distinct()
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("head")) for d in depths]))
+    below = prints.select("trie", *carried, at.alias("at")).select("trie", *carried, "at.depth", "at.head").join(wanted, ["trie", "depth", "head"], "left_semi")
+    below = cut(below.groupBy("trie", "depth", "head").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("prints")), "nodes-of-tasks")
+    first = below.select("trie", "depth", F.col("head").alias("a"), F.col("prints").alias("x"))
+    second = below.select("trie", "depth", F.col("head").alias("b"), F.col("prints").alias("y"))
+    rows = pairs.join(first, ["trie", "depth", "a"]).join(second, ["trie", "depth", "b"])
+    return rows.select("trie", "depth", "a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
+
+
+def _below(batch: pa.RecordBatch, row: int, carried: list[str]) -> list[np.ndarray]:
+    """The carried columns of the fingerprints below both nodes of a row, in order of the first."""
+    sides = [batch.column(i)[row].values for i in (4, 5) if batch.column(i)[row].is_valid]
+    columns = [np.concatenate([x.field(c).to_numpy(zero_copy_only=False) for x in sides]) for c in carried]
+    order = np.argsort(columns[0].view(np.uint64), kind="stable")
+    return [x[order] for x in columns]
 
 
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
@@ -180,24 +258,16 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     at most 2,080 others within two bits, so the pairs grow with the number of
     distinct fingerprints, not with its square.
     """
-    pairs = cut(_node_pairs(prints, budget), "tasks")
-    depths = [x[0] for x in pairs.select("depth").distinct().collect()]  # at most 16
-    if not depths:
+    rows = _tasks(prints.select(F.lit(0).alias("trie"), "fingerprint"), budget, 64, ["fingerprint"])
+    if rows is None:
         return prints.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
-    wanted = pairs.select("depth", F.col("a").alias("node")).union(pairs.select("depth", F.col("b").alias("node"))).distinct()
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("node")) for d in depths]))
-    below = prints.select("fingerprint", at.alias("at")).select("fingerprint", "at.depth", "at.node").join(wanted, ["depth", "node"], "left_semi")
-    below = cut(below.groupBy("depth", "node").agg(F.array_sort(F.collect_list("fingerprint")).alias("prints")), "nodes-of-tasks")
-    first = below.select("depth", F.col("node").alias("a"), F.col("prints").alias("x"))
-    second = below.select("depth", F.col("node").alias("b"), F.col("prints").alias("y"))
-    rows = pairs.join(first, ["depth", "a"]).join(second, ["depth", "b"]).select("depth", "a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                depth, a, b = (batch.column(i)[row].as_py() for i in range(3))
-                own = [batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (3, 4) if batch.column(i)[row].is_valid]
-                found = list(near_pairs(np.sort(np.concatenate(own).view(np.uint64)), (a, b), depth, budget))
+                depth, a, b = (batch.column(i)[row].as_py() for i in range(1, 4))
+                [own] = _below(batch, row, ["fingerprint"])
+                found = list(near_pairs(own.view(np.uint64), (a, b), depth, budget))
                 if found:
                     edges = np.array(forest(*(np.concatenate(x) for x in zip(*found))), np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
@@ -210,14 +280,148 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, id_col:
 
     Documents whose fingerprints differ in at most ``budget`` bits are linked;
     component_id is the smallest id that links reach.  One row for each row of
-    ``docs``.  A null or empty text has fingerprint zero and links like any
-    other.  A null id is never the smallest, unless all of a component are
-    null.  Equal texts share a fingerprint and never form pairs.
+    ``docs``; an empty table gives an empty one; other columns are ignored,
+    whatever their names.  A null or empty text has fingerprint zero and links
+    like any other.  A null id is never the smallest, unless all of a component
+    are null.  Equal texts share a fingerprint and never form pairs.  A task
+    holds about a megabyte of texts, or one longer text.
     """
     own = cut(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     least = cut(own.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = components(links(least.select("fingerprint"), budget))
+    roots = connected_components(links(least.select("fingerprint"), budget))
     roots = least.join(roots, least["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     first = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.join(first, "root").select("fingerprint", "component_id")
     return own.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def wide_codes(data: np.ndarray, offsets: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """SimHash of ``WIDE`` bits of each text, as bytes; a text of fewer words is one shingle, one of none has no bit set."""
+    letters = np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
+    inside = ~_SPACE[data]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[edges] = inside[edges]
+    at = np.flatnonzero(starts)
+    bytes_before = np.cumsum(inside) - inside
+    hashes = run_hashes(letters[inside], np.diff(np.append(bytes_before[at], int(inside.sum()))))
+    before = np.searchsorted(at, offsets)
+    lanes = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    out = np.zeros((len(offsets) - 1, WIDE // 8), np.uint8)
+    for row, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
+        k = min(shingle, b - a)
+        if not k:
+            continue
+        grams = np.zeros(b - a - k + 1, np.uint64)
+        for i in range(k):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[a + i : a + i + len(grams)]
+        grams = np.unique(grams)  # a shingle counts once, however often it is repeated
+        ones = np.zeros(WIDE, np.int64)
+        for i in range(0, len(grams), 4096):
+            bits = np.unpackbits(mix(grams[i : i + 4096, None] + lanes).view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint16)
+        out[row] = np.packbits(2 * ones > len(grams), bitorder="little")
+    return out
+
+
+def _tries(codes: np.ndarray) -> np.ndarray:
+    """(rows, TRIES, CODE / 64): of each wide code the bits of each trie, those that it branches on first and each of them its own."""
+    bits = np.unpackbits(codes, axis=1)
+    places = (np.arange(TRIES)[:, None] * (WIDE // TRIES) + np.arange(CODE)) % WIDE
+    return np.packbits(bits[:, places], axis=2).view(">u8").astype(np.uint64)
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 2, total: int = TOTAL) -> tuple[DataFrame, DataFrame]:
+    """(``id_col``, code) of each row, and (code, component_id) of each distinct code; both are written tables.
+
+    Texts of a similarity of 0.8 or more on ``shingle`` words are linked where
+    a trie over ``BRANCH`` bits finds them within ``budget`` bits and the
+    ``CODE`` bits of that trie differ in at most ``total``; each of ``TRIES``
+    tries has bits of its own, so that about 19 of 20 such pairs meet in one.
+    component_id is the smallest id that links reach.
+
+    Equal codes are one node.  Of a node of a trie that a task can't hold,
+    parts are linked first and then stand for what they link; a link that only
+    other members of two parts have is left to the other tries.  Nulls, ids,
+    empty tables and other columns are treated as in ``near_duplicates``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                codes = wide_codes(*text_bytes(part.column("text")), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.tobytes() for x in codes], pa.binary())], ["id", "code"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = cut(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, code binary").withColumnRenamed("id", id_col), "codes")
+    least = own.groupBy("code").agg(F.min(id_col).alias("least"))
+    least = cut(least.withColumn("node", F.monotonically_increasing_id()), "distinct-codes")
+    roots = connected_components(_similar_links(least.select("code", "node"), budget, total))
+    roots = least.join(roots, "node", "left").select("code", "least", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own, cut(roots.join(first, "root").select("code", "component_id"), "components-of-codes")
+
+
+def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct codes."""
+
+    def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = _tries(np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").to_pylist()])).view(np.int64)
+                for t in range(TRIES):
+                    columns = [pa.array(np.full(batch.num_rows, t, np.int32)), *(pa.array(parts[:, t, i]) for i in range(2)), batch.column("node")]
+                    yield pa.RecordBatch.from_arrays(columns, ["trie", "fingerprint", "rest", "node"])
+
+    carried = ["fingerprint", "rest", "node"]
+    prints = cut(codes.mapInArrow(branches, "trie int, fingerprint long, rest long, node long"), "tries")
+    edges = None
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each part of a node, and the first of what they link: (trie, fingerprint, rest, node, a, b); an edge or a row for the trie."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [batch.column("prints")[row].values.field(c).to_numpy(zero_copy_only=False) for c in carried]
+                found = list(_linked(np.stack(own[:2], axis=1).view(np.uint64), np.arange(len(own[0])), None, total))
+                found = tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
+                first = np.setdiff1d(np.arange(len(own[0])), found[1])
+                empty, n, m = (lambda k: pa.nulls(k, pa.int64())), len(found[0]), len(first)
+                tries = pa.array(np.full(n + m, batch.column("trie")[row].as_py(), np.int32))
+                keys = [pa.concat_arrays([empty(n), pa.array(x[first])]) for x in own]
+                ends = [pa.concat_arrays([pa.array(own[2][x]), empty(m)]) for x in found]
+                yield pa.RecordBatch.from_arrays([tries, *keys, *ends], ["trie", *carried, "a", "b"])
+
+    while True:
+        counts = prints.groupBy("trie", _prefix(BRANCH).alias("head")).agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS)
+        counts = cut(counts, "large-nodes")
+        before = counts.agg(F.sum("n")).first()[0]
+        if not before:
+            break
+        headed = prints.withColumn("head", _prefix(BRANCH))
+        part = F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("n") / TASK_FINGERPRINTS))
+        lists = headed.join(counts, ["trie", "head"]).groupBy("trie", "head", part.alias("part")).agg(F.collect_list(F.struct(*carried)).alias("prints"))
+        done = cut(lists.select("trie", "prints").mapInArrow(inside, "trie int, fingerprint long, rest long, node long, a long, b long"), "parts-of-nodes")
+        new = done.where("a is not null").select("a", "b")
+        edges = new if edges is None else edges.union(new)
+        kept = headed.join(counts, ["trie", "head"], "left_anti").drop("head").unionByName(done.where("a is null").drop("a", "b"))
+        prints = cut(kept, "tries")
+        if done.where("a is null").count() > 0.9 * before:
+            break  # little is linked inside: these nodes hold texts that are not alike
+    rows = _tasks(prints, budget, BRANCH, carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                depth, a, b = (batch.column(i)[row].as_py() for i in range(1, 4))
+                head, rest, node = _below(batch, row, carried)
+                found = list(similar_pairs(np.stack([head, rest], axis=1).view(np.uint64), (a, b), depth, budget, BRANCH, total))
+                if found:
+                    x, y = (node[np.concatenate(z)] for z in zip(*found))
+                    ends = np.array(forest(x, y), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    if rows is not None:
+        new = rows.mapInArrow(run, "a long, b long")
+        edges = new if edges is None else edges.union(new)
+    return edges if edges is not None else codes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
