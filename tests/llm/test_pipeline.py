@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from test_training_operators import brute_components, brute_contamination, brute_fingerprint, brute_line_dedup, noise
+from test_training_operators import brute_contamination, brute_line_dedup, brute_similar, noise
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 
@@ -18,7 +18,6 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     import corpus_pipeline
     from placelens.llm import quality
 
-    r = random.Random(21)
     clean = [" ".join(["the", "of"] + noise(300 + i, 1, 150)[0].replace("\n", " ").split() + ["and", "is"]) for i in range(25)]
     passage = "\n".join(f"shared line {i} with several words of its own" for i in range(8))
     bench = [(0, " ".join(noise(500, 1, 60)[0].split()[:30])), (1, "x y")]
@@ -31,7 +30,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     kept = {x.doc_id for x in quality.quality(spark.read.parquet(f"{tmp_path}/documents.parquet")).where("kept").collect()}
     docs = [(i, x) for i, x in enumerate(texts) if i in kept]
     docs = [(i, y) for (i, _), (_, y) in zip(docs, brute_line_dedup([x for _, x in docs]))]
-    roots = brute_components([brute_fingerprint(x) for _, x in docs], 2)
+    roots = brute_similar([x for _, x in docs])
     docs = [d for n, d in enumerate(docs) if roots[n] == n]
     hits = brute_contamination([x for _, x in docs], bench)
     docs = [d for d, (words, hit, _) in zip(docs, hits) if not (hit and 20 * hit >= words)]
@@ -42,14 +41,42 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256(x.encode()).hexdigest()
     assert 20 < len(docs) < len(texts) - 10
-    assert r is not None
+
+
+def test_stages_take_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_texts_of_a_similarity_of_four_fifths_are_one(spark, tmp_path):
+    """Every pair of 0.8 and more on five words; texts far apart stay, whatever passage they share."""
+    import corpus_pipeline
+
+    r = random.Random(44)
+    pool = [f"w{i}" for i in range(900)]
+    base = [[r.choice(pool) for _ in range(400)] for _ in range(25)]
+    texts = [" ".join(x) for x in base]
+    for x in base:
+        for edits in (1, 3, 6, 8):
+            y = list(x)
+            for at in r.sample(range(400), edits):
+                y[at] = "edit"
+            texts.append(" ".join(y))
+    alone = [" ".join(base[i][:60] + [r.choice(pool) for _ in range(340)]) for i in range(25)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts + alone)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert {*range(25), *range(len(texts), len(texts) + 25)} <= got
+    assert len(got) - 50 <= 5  # of a hundred copies
 
 
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     import corpus_pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string"
-    docs = spark.createDataFrame([(1, "the cat of it " * 9, "en", "s", 126, "clash")], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, key string, row string, id int, kept int, code int"
+    docs = spark.createDataFrame([(1, "the cat of it " * 9, "en", "s", 126, "clash", "k", "r", 1, 2, 3)], schema)
     spark.createDataFrame([(1, "nothing alike")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
