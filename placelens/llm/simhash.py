@@ -34,11 +34,13 @@ TASK_FINGERPRINTS = 8192
 STEP = 4
 #: Pairs of nodes with at most so many pairs of fingerprints are compared directly.
 DIRECT = 16
-#: Pairs of nodes that a task holds at a time.
-FRONT = 1 << 18
+#: Pairs of nodes, and pairs of fingerprints, that a task holds at a time.
+FRONT, COMPARED = 1 << 15, 1 << 17
 
 #: Bits of a wide fingerprint, how many tries share them, bits of a code of a trie, bits that it branches on, and bits in which linked codes may differ.
 WIDE, TRIES, CODE, BRANCH, TOTAL = 512, 12, 128, 24, 26
+#: Parts of those bits; codes within a budget of fewer bits than there are parts agree in one of them, and a trie is made for each to stand first.
+PARTS = 3
 #: Pairs of nodes with more pairs of codes are walked from text to text.
 PAIRWISE = 1 << 14
 
@@ -123,24 +125,27 @@ def node_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget
             stack.append((depth + 1, *joined))
 
 
-def _all_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each place of [a, b) with each later one of [c, d), of all node pairs."""
-    w, v = b - a, d - c
-    n = w * v
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    v = np.repeat(v, n)
-    x, y = np.repeat(a, n) + place // v, np.repeat(c, n) + place % v
-    keep = x < y
-    return x[keep], y[keep]
+def _all_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place of [a, b) with each later one of [c, d), of all node pairs, about ``COMPARED`` at a time."""
+    n = (b - a) * (d - c)
+    part = np.cumsum(n) // COMPARED
+    for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+        w, v = n[rows], (d - c)[rows]
+        place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        v = np.repeat(v, w)
+        x, y = np.repeat(a[rows], w) + place // v, np.repeat(c[rows], w) + place % v
+        keep = x < y
+        yield x[keep], y[keep]
 
 
 def near_pairs(prints: np.ndarray, prefixes: tuple[int, int], depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (smaller, larger) of sorted distinct fingerprints below two nodes that differ in at most ``budget`` bits."""
     for nodes in node_pairs(prints, prefixes, depth, budget):
-        x, y = (prints[i] for i in _all_pairs(*nodes))
-        close = np.bitwise_count(x ^ y) <= budget
-        if close.any():
-            yield x[close], y[close]
+        for x, y in _all_pairs(*nodes):
+            x, y = prints[x], prints[y]
+            close = np.bitwise_count(x ^ y) <= budget
+            if close.any():
+                yield x[close], y[close]
 
 
 def _linked(codes: np.ndarray, left: np.ndarray, right: np.ndarray | None, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -174,10 +179,10 @@ def similar_pairs(codes: np.ndarray, prefixes: tuple[int, int], depth: int, budg
     """Links between the rows of ``codes`` (sorted by the first column) below two nodes, within ``total`` bits of all columns."""
     for a, b, c, d in node_pairs(codes[:, 0].copy(), prefixes, depth, budget, bits):
         large = (b - a) * (d - c) > PAIRWISE
-        x, y = _all_pairs(*(z[~large] for z in (a, b, c, d)))
-        close = np.bitwise_count(codes[x] ^ codes[y]).sum(axis=1) <= total
-        if close.any():
-            yield x[close], y[close]
+        for x, y in _all_pairs(*(z[~large] for z in (a, b, c, d))):
+            close = np.bitwise_count(codes[x] ^ codes[y]).sum(axis=1) <= total
+            if close.any():
+                yield x[close], y[close]
         for i in np.flatnonzero(large):
             yield from _linked(codes, np.arange(a[i], b[i]), None if a[i] == c[i] else np.arange(c[i], d[i]), total)
 
@@ -203,11 +208,14 @@ def _prefix(depth: int):
     return F.shiftrightunsigned("fingerprint", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def _node_pairs(prints: DataFrame, budget: int, bits: int) -> DataFrame:
-    """(trie, depth, a, b): pairs of nodes of one depth within the budget, each small enough for a task, a <= b."""
-    root = prints.groupBy("trie").agg(F.count("*").alias("n"))
-    pairs = root.select("trie", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "n", F.col("n").alias("m"))
-    depth, done = 0, None
+def _node_pairs(prints: DataFrame, budget: int, bits: int, depth: int) -> DataFrame:
+    """(trie, depth, a, b): pairs of nodes of one depth within the budget, each small enough for a task, a <= b.
+
+    The first pairs are of each node at ``depth`` with itself.
+    """
+    first = prints.groupBy("trie", _prefix(depth).alias("a")).agg(F.count("*").alias("n"))
+    pairs = first.select("trie", "a", F.col("a").alias("b"), "n", F.col("n").alias("m"))
+    done = None
     while True:
         pairs = cut(pairs.select("trie", F.lit(depth).alias("depth"), "a", "b", "n", "m"), "node-pairs")
         fits = F.col("n") + F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("m")) <= TASK_FINGERPRINTS
@@ -226,9 +234,9 @@ def _node_pairs(prints: DataFrame, budget: int, bits: int) -> DataFrame:
         pairs = pairs.select("trie", F.col("c").alias("a"), F.col("d").alias("b"), F.col("cn").alias("n"), F.col("dn").alias("m"))
 
 
-def _tasks(prints: DataFrame, budget: int, bits: int, carried: list[str]) -> DataFrame | None:
+def _tasks(prints: DataFrame, budget: int, bits: int, carried: list[str], depth: int = 0) -> DataFrame | None:
     """(trie, depth, a, b, x, y): each small pair of nodes with what is below them; y is null where both are one."""
-    pairs = cut(_node_pairs(prints, budget, bits), "tasks")
+    pairs = cut(_node_pairs(prints, budget, bits, depth), "tasks")
     depths = [x[0] for x in pairs.select("depth").distinct().collect()]  # at most 16
     if not depths:
         return None
@@ -238,8 +246,9 @@ def _tasks(prints: DataFrame, budget: int, bits: int, carried: list[str]) -> Dat
     below = cut(below.groupBy("trie", "depth", "head").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("prints")), "nodes-of-tasks")
     first = below.select("trie", "depth", F.col("head").alias("a"), F.col("prints").alias("x"))
     second = below.select("trie", "depth", F.col("head").alias("b"), F.col("prints").alias("y"))
-    rows = pairs.join(first, ["trie", "depth", "a"]).join(second, ["trie", "depth", "b"])
-    return rows.select("trie", "depth", "a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
+    one = pairs.where("a = b").join(first, ["trie", "depth", "a"]).select("trie", "depth", "a", "b", "x", F.lit(None).cast(below.schema["prints"].dataType).alias("y"))
+    two = pairs.where("a < b").join(first, ["trie", "depth", "a"]).join(second, ["trie", "depth", "b"])
+    return one.union(two.select("trie", "depth", "a", "b", "x", "y"))
 
 
 def _below(batch: pa.RecordBatch, row: int, carried: list[str]) -> list[np.ndarray]:
@@ -326,9 +335,11 @@ def wide_codes(data: np.ndarray, offsets: np.ndarray, shingle: int = 5) -> np.nd
 
 
 def _tries(codes: np.ndarray) -> np.ndarray:
-    """(rows, TRIES, CODE / 64): of each wide code the bits of each trie, those that it branches on first and each of them its own."""
+    """(rows, TRIES * PARTS, CODE / 64): of each wide code the bits of each trie, first those that it branches on, each of its parts leading once."""
     bits = np.unpackbits(codes, axis=1)
-    places = (np.arange(TRIES)[:, None] * (WIDE // TRIES) + np.arange(CODE)) % WIDE
+    head = np.arange(BRANCH).reshape(PARTS, -1)
+    orders = [np.concatenate([np.roll(head, -r, axis=0).ravel(), np.arange(BRANCH, CODE)]) for r in range(PARTS)]
+    places = np.concatenate([(t * (WIDE // TRIES) + np.stack(orders)) % WIDE for t in range(TRIES)])
     return np.packbits(bits[:, places], axis=2).view(">u8").astype(np.uint64)
 
 
@@ -336,9 +347,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(``id_col``, code) of each row, and (code, component_id) of each distinct code; both are written tables.
 
     Texts of a similarity of 0.8 or more on ``shingle`` words are linked where
-    a trie over ``BRANCH`` bits finds them within ``budget`` bits and the
-    ``CODE`` bits of that trie differ in at most ``total``; each of ``TRIES``
-    tries has bits of its own, so that about 19 of 20 such pairs meet in one.
+    a trie over ``BRANCH`` bits finds them within ``budget`` bits (at most one
+    less than ``PARTS``) and the ``CODE`` bits of that trie differ in at most
+    ``total``; each of ``TRIES`` sets of bits branches on bits of its own, so
+    that about 19 of 20 such pairs meet in one.
     component_id is the smallest id that links reach.
 
     Equal codes are one node.  Of a node of a trie that a task can't hold,
@@ -370,7 +382,7 @@ def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 parts = _tries(np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").to_pylist()])).view(np.int64)
-                for t in range(TRIES):
+                for t in range(TRIES * PARTS):
                     columns = [pa.array(np.full(batch.num_rows, t, np.int32)), *(pa.array(parts[:, t, i]) for i in range(2)), batch.column("node")]
                     yield pa.RecordBatch.from_arrays(columns, ["trie", "fingerprint", "rest", "node"])
 
@@ -393,8 +405,13 @@ def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([tries, *keys, *ends], ["trie", *carried, "a", "b"])
 
     while True:
-        counts = prints.groupBy("trie", _prefix(BRANCH).alias("head")).agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS)
-        counts = cut(counts, "large-nodes")
+        lead = BRANCH // PARTS
+        crowded = prints.groupBy("trie", _prefix(lead).alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS)
+        crowded = cut(crowded.select("trie", "lead"), "crowded-nodes")
+        if crowded.isEmpty():
+            break
+        counts = prints.withColumn("lead", _prefix(lead)).join(crowded, ["trie", "lead"], "left_semi").groupBy("trie", _prefix(BRANCH).alias("head"))
+        counts = cut(counts.agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS), "large-nodes")
         before = counts.agg(F.sum("n")).first()[0]
         if not before:
             break
@@ -408,7 +425,7 @@ def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
         prints = cut(kept, "tries")
         if done.where("a is null").count() > 0.9 * before:
             break  # little is linked inside: these nodes hold texts that are not alike
-    rows = _tasks(prints, budget, BRANCH, carried)
+    rows = _tasks(prints, budget, BRANCH, carried, BRANCH // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
