@@ -53,18 +53,47 @@ def utm_zone(lon: Column) -> Column:
     return (32600 + F.floor((lon + 180.0) / 6.0) + 1).cast("int")
 
 
-def utm_meridian(epsg: Column) -> Column:
-    return (epsg - 32600) * 6.0 - 183.0
-
-
-#: Origins (latitude, longitude) of the twelve plane systems used, and the prefectures of each.
+#: Origins (latitude, longitude) of the twelve plane systems used.
 PLANE_ORIGINS = {
     6669: (33.0, 129.5), 6670: (33.0, 131.0), 6671: (36.0, 132.0 + 1 / 6), 6672: (33.0, 133.5), 6673: (36.0, 134.0 + 1 / 3), 6674: (36.0, 136.0),
     6675: (36.0, 137.0 + 1 / 6), 6676: (36.0, 138.5), 6677: (36.0, 139.0 + 5 / 6), 6678: (40.0, 140.0 + 5 / 6), 6680: (44.0, 142.25), 6683: (26.0, 127.5),
 }
 
 
-def transverse_mercator(lon: Column, lat: Column, lon0: Column | float, lat0: Column | float = 0.0, scale: float = 0.9999, east: float = 0.0) -> Column:
+#: The prefectures of each plane system, and the UTM system (zones 52 to 54 on the same ellipsoid) that checks it.
+PREFECTURES = {
+    6669: ("山口県", "長崎県"), 6670: ("福岡県", "佐賀県", "熊本県", "大分県", "宮崎県", "鹿児島県"), 6671: ("島根県", "広島県"), 6672: ("徳島県", "香川県", "愛媛県", "高知県"),
+    6673: ("兵庫県", "鳥取県", "岡山県"), 6674: ("福井県", "三重県", "滋賀県", "京都府", "大阪府", "奈良県", "和歌山県"), 6675: ("富山県", "石川県", "岐阜県", "愛知県"), 6676: ("山梨県", "長野県", "新潟県", "静岡県"),
+    6677: ("茨城県", "栃木県", "群馬県", "埼玉県", "千葉県", "東京都", "神奈川県"), 6678: ("青森県", "岩手県", "宮城県", "秋田県", "山形県", "福島県"), 6680: ("北海道",), 6683: ("沖縄県",),
+}
+PLANE_UTM = {6669: 6689, 6670: 6689, 6671: 6690, 6672: 6690, 6673: 6690, 6674: 6690, 6675: 6690, 6676: 6691, 6677: 6691, 6678: 6691, 6680: 6691, 6683: 6689}
+
+
+def _looked_up(key: Column, table: dict, kind: str) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(pairs, key).cast(kind)
+
+
+def prefecture_plane(prefecture: Column) -> Column:
+    """EPSG code of a prefecture's plane system; null for an unknown name, never guessed."""
+    return _looked_up(F.btrim(prefecture), {name: epsg for epsg, names in PREFECTURES.items() for name in names}, "int")
+
+
+def plane_utm(epsg: Column) -> Column:
+    """EPSG code of the UTM system in which a plane's distances are checked."""
+    return _looked_up(epsg, PLANE_UTM, "int")
+
+
+def projected(lon: Column, lat: Column, epsg: Column) -> Column:
+    """struct(x, y) in metres in a plane system, in a UTM system of 6689 to 6691, or in a northern UTM zone (32601 to 32660); null for others."""
+    zone = F.when(epsg.between(6689, 6691), epsg - 6637).when(epsg.between(32601, 32660), epsg - 32600)
+    lon0 = F.coalesce(zone * 6.0 - 183.0, _looked_up(epsg, {k: float(v[1]) for k, v in PLANE_ORIGINS.items()}, "double"))
+    lat0 = F.coalesce(F.when(zone.isNotNull(), 0.0), _looked_up(epsg, {k: float(v[0]) for k, v in PLANE_ORIGINS.items()}, "double"))
+    scale, east = F.when(zone.isNotNull(), 0.9996).otherwise(0.9999), F.when(zone.isNotNull(), 500_000.0).otherwise(0.0)
+    return F.when(lon0.isNotNull(), transverse_mercator(lon, lat, lon0, lat0, scale, east))
+
+
+def transverse_mercator(lon: Column, lat: Column, lon0: Column | float, lat0: Column | float = 0.0, scale: Column | float = 0.9999, east: Column | float = 0.0) -> Column:
     """struct(x, y) in metres on the GRS80 ellipsoid (series of third order in n; under a millimetre within a zone)."""
     a, f = 6378137.0, 1 / 298.257222101
     n = f / (2 - f)

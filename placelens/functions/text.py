@@ -28,6 +28,19 @@ def plain_normalised(x: Column) -> Column:
     return F.when(plain, F.btrim(F.regexp_replace(own, r"\s+", " "))).otherwise(normalised(F.when(~plain, own)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_normalised(x: pd.Series) -> pd.Series:
+    return x.map(lambda names: names if names is None else [normalise(y) for y in names])
+
+
+def all_normalised(x: Column) -> Column:
+    """``plain_normalised`` of each element of an array; a null array is empty."""
+    own = F.coalesce(x, F.array().cast("array<string>"))
+    plain = F.forall(own, lambda y: F.octet_length(F.coalesce(y, F.lit(""))) == F.length(F.coalesce(y, F.lit(""))))
+    by_jvm = F.transform(own, lambda y: F.btrim(F.regexp_replace(F.coalesce(y, F.lit("")), r"\s+", " ")))
+    return F.when(plain, by_jvm).otherwise(_all_normalised(F.when(~plain, own)))
+
+
 def name_key(x: Column) -> Column:
     return F.replace(plain_normalised(x), F.lit(" "), F.lit(""))
 
@@ -54,26 +67,14 @@ def similarity(a: str | None, b: str | None) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a, b):
-        pair = tuple(None if x is None or x != x else x for x in pair)
-        if pair not in known:
-            known[pair] = similarity(*pair)
-        out.append(known[pair])
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.DoubleType())
-def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Largest similarity between two lists of names; an empty list gives 0."""
+def _best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Largest similarity between two lists of names; null and empty names don't count, a list without others gives 0."""
     known: dict[tuple[str, str], float] = {}
     out = []
     for left, right in zip(a, b):
         best = 0.0
-        for x in left if left is not None else ():
-            for y in right if right is not None else ():
+        for x in filter(None, left if left is not None else ()):
+            for y in filter(None, right if right is not None else ()):
                 if (x, y) not in known:
                     known[x, y] = similarity(x, y)
                 best = max(best, known[x, y])
@@ -81,6 +82,14 @@ def best_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def best_similarity(a: Column | str, b: Column | str) -> Column:
+    """``_best_similarity``; lists that share a name, or lack one, are settled without leaving the JVM."""
+    a, b = (F.filter(x, lambda y: F.coalesce(y, F.lit("")) != "") for x in (a, b))
+    open_ = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+    found = _best_similarity(F.when(open_, a), F.when(open_, b))
+    return F.when(F.coalesce(open_, F.lit(False)), found).when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), 1.0).otherwise(0.0)
+
+
 #: Words for parts of a site at the end of a name.
 PART_WORDS = (
     "随神門", "随身門", "神門", "楼門", "中門", "手水舎", "拝殿", "本殿", "幣殿", "社務所",

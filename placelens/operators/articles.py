@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_title
+
 #: Shortest article, characters kept, title of what stands before the first heading.
 LEAST, MOST, LEAD = 120, 800, "(導入)"
 #: A heading on a line of its own, between equal runs of the sign.
@@ -40,15 +42,20 @@ def with_rejects(rows: DataFrame, text: str, revision: str, least: int = LEAST)
 
 
 def by_article(rows: DataFrame, article: str, key: str, revision: str, text: str) -> DataFrame:
-    """One row for each article: the document of the largest (revision, key) speaks for it; members sorted; mismatch if its rows differ."""
+    """One row for each article: the document of the largest (revision, key) speaks for it; n_members; mismatch if its rows differ.
+
+    The members themselves stay rows of their own, as an article may have any number of them.
+    """
     version = F.struct(F.col(revision), F.sha2(F.col(text), 256))
-    return rows.groupBy(article).agg(
-        F.max_by(key, F.struct(revision, key)).alias("speaker"), F.array_sort(F.collect_list(key)).alias("members"), (F.count_distinct(version) > 1).alias("mismatch")
-    )
+    return rows.groupBy(article).agg(F.max_by(key, F.struct(revision, key)).alias("speaker"), F.count("*").alias("n_members"), (F.count_distinct(version) > 1).alias("mismatch"))
+
 
+def representative(members: DataFrame, article: str, key: str, name: str, title: str) -> DataFrame:
+    """(article, representative): the member whose name equals the base title, else whose name lies in the title, else the shortest, else the smallest id.
 
-def representative(members: DataFrame, article: str, key: str, name: str, base: str) -> DataFrame:
-    """(article, representative): the member whose name equals the base title, else contains it, else the shortest, else the smallest id."""
-    n, b = F.col(name), F.col(base)
-    order = F.struct((~F.coalesce(n == b, F.lit(False))).alias("x"), (~F.coalesce(F.contains(n, b), F.lit(False))).alias("y"), F.coalesce(F.length(n), F.lit(10**6)).alias("z"), F.col(key).alias("k"))
+    An empty or null name lies in no title and counts as the longest.
+    """
+    n, t = F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(title), F.lit(""))
+    other, outside = n != F.btrim(base_title(t)), (n == "") | ~F.contains(t, n)
+    order = F.struct(other.alias("x"), outside.alias("y"), F.when(n == "", F.lit(10**6)).otherwise(F.length(n)).alias("z"), F.col(key).alias("k"))
     return members.groupBy(article).agg(F.min_by(key, order).alias("representative"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_normalised
+from ..functions.text import all_normalised, plain_normalised
 
 Rules = tuple[tuple[str, str], ...]
 
@@ -97,8 +97,7 @@ def classified(rows: DataFrame, name: str = "name", members: str = "members", gr
     What a higher basis decides is not overruled: groups first, then members,
     then the name.  Nothing found is unknown with confidence 0.
     """
-    clean = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    rows = rows.withColumns({"_m": clean(F.col(members)), "_g": clean(F.col(groups)), "_n": plain_normalised(F.col(name))})
+    rows = rows.withColumns({"_m": all_normalised(F.col(members)), "_g": all_normalised(F.col(groups)), "_n": plain_normalised(F.col(name))})
     rows = rows.withColumns({"_s": family_of_groups(F.col("_g"), book), "_d": families_of_members(F.col("_m"), book), "_w": families_of_name(F.col("_n"), book)})
     none = F.array().cast("array<string>")
     verdict = lambda label, basis, confidence, alternatives: F.struct(label.alias("label"), F.lit(basis).alias("basis"), confidence.cast("double").alias("confidence"), alternatives.alias("alternatives"))
@@ -119,7 +118,6 @@ def classified(rows: DataFrame, name: str = "name", members: str = "members", gr
 
 def two_signals(rows: DataFrame, name: str = "name", members: str = "members", book: RuleBook = STANDARD) -> DataFrame:
     """Adds by_members, by_name and signal: agree, disagree, or null unless both know."""
-    clean = F.coalesce(F.col(members), F.array().cast("array<string>"))
-    rows = rows.withColumn("_n", plain_normalised(F.col(name)))
-    rows = rows.withColumns({"by_members": F.get(families_of_members(clean, book), 0), "by_name": F.get(families_of_name(F.col("_n"), book), 0)}).drop("_n")
+    rows = rows.withColumns({"_m": all_normalised(F.col(members)), "_n": plain_normalised(F.col(name))})
+    rows = rows.withColumns({"by_members": F.get(families_of_members(F.col("_m"), book), 0), "by_name": F.get(families_of_name(F.col("_n"), book), 0)}).drop("_m", "_n")
     return rows.withColumn("signal", F.when(F.col("by_members") == F.col("by_name"), "agree").when(F.col("by_members") != F.col("by_name"), "disagree"))

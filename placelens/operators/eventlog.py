@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,19 +87,89 @@ def out_of_order(events: DataFrame, file: str, line: str, ts: str) -> DataFrame:
     return events.withColumn("_before", before).where(F.col(ts) < F.col("_before")).drop("_before")
 
 
+def file_violations(events: DataFrame, effective: DataFrame) -> DataFrame:
+    """(file, violation) of whole files of events.
+
+    ``events`` (file, line, event, ts, loop_id, project, failure_count) holds
+    all lines, ``effective`` those that stay after corrections.  What stands
+    after the first end may only replace a voided line of the same kind, one
+    for one.
+    """
+    stem = F.regexp_replace(F.element_at(F.split(F.col("file").cast("string"), "/"), -1), r"\.[^.]*$", "")
+    named = events.where(F.col("loop_id") != stem).select("file", F.lit("loop id differs from the file name").alias("violation")).distinct()
+    late = out_of_order(events, "file", "line", "ts").select("file", F.lit("not in order of time").alias("violation")).distinct()
+    none = events.select("file").distinct().join(effective.select("file").distinct(), "file", "left_anti").select("file", F.lit("no record is left").alias("violation"))
+    first = F.min_by("event", "line")
+    ended = F.min(F.when(F.col("event") == "loop_end", F.col("line")))
+    declared = F.min_by("failure_count", F.when(F.col("event") == "loop_end", F.col("line")))
+    ends, failures = (F.count_if(F.col("event") == x) for x in ("loop_end", "failure"))
+    own = effective.groupBy("file").agg(first.alias("first"), ended.alias("ended"), declared.alias("declared"), ends.alias("ends"), failures.alias("failures"), (F.count_distinct("project") > 1).alias("mixed"))
+    after = effective.join(own.select("file", "ended"), "file").where("line > ended").groupBy("file", "event").agg(F.count("*").alias("n"))
+    voided = events.where("event <> 'correction'").join(effective.select("file", "line"), ["file", "line"], "left_anti").groupBy("file", "event").agg(F.count("*").alias("voided"))
+    after = after.join(voided, ["file", "event"], "left").where("n > coalesce(voided, 0)").select("file", F.lit("records after the end").alias("violation")).distinct()
+    checks = {"several projects": F.col("mixed"), "does not begin with loop_start": F.col("first") != "loop_start", "several ends": F.col("ends") > 1, "declares another number of failures": F.col("declared") != F.col("failures")}
+    whole = own.select("file", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))).alias("violation"))
+    return whole.union(named).union(late).union(none).union(after)
+
+
 def rollup_by(events: DataFrame, group: str, line: str, event: str, kinds: list[str], ts: str) -> DataFrame:
     """One row for each group: first and last time, a count of each kind, and the last kind by line."""
     counts = [F.count_if(F.col(event) == k).alias(f"n_{k}") for k in kinds]
     return events.groupBy(group).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), *counts, F.max_by(event, line).alias("last"))
 
 
+def last_of(events: DataFrame, group: str, line: str, event: str, kind: str, columns: list[str]) -> DataFrame:
+    """(group, columns) of the last row of a kind in each group, as of the last test run."""
+    own = events.where(F.col(event) == kind)
+    return own.groupBy(group).agg(F.max_by(F.struct(*columns), line).alias("_last")).select(group, "_last.*")
+
+
+def failures_by_code(failures: DataFrame, code: str, taxonomy: DataFrame) -> DataFrame:
+    """(code, n, name): failures of each code with its name in the taxonomy (code, name), ? for an unknown one."""
+    counts = failures.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
+    return counts.join(taxonomy, "code", "left").select("code", "n", F.coalesce("name", F.lit("?")).alias("name"))
+
+
 def two_strikes(failures: DataFrame, code: str, ref: str) -> DataFrame:
     """(code, n, needs_rule, has_rule): codes that failed twice need a rule."""
     return failures.groupBy(code).agg(F.count("*").alias("n"), (F.count("*") >= 2).alias("needs_rule"), F.coalesce(F.bool_or(F.col(ref).isNotNull()), F.lit(False)).alias("has_rule"))
 
 
+#: Characters that do not belong into the texts, and what blocks or warns in added lines.
+CYRILLIC, HANGUL, CONTROL = r"[\u0400-\u052F]", r"[\uAC00-\uD7AF\u1100-\u11FF\u3130-\u318F]", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+BLOCKED_LINES = {
+    "private key": r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
+    "access key": r"AKIA[0-9A-Z]{16}",
+    "written credential": r"(?i)\b(api[_-]?key|secret|token|password|passwd)\b\s*[=:]\s*['\"][^'\"]{8,}['\"]",
+}
+WARNED_LINES = {
+    "evaluates text": r"\beval\s*\(",
+    "joins text into a statement": r"(?i)(execute|cursor\.execute)\s*\(\s*[\"'].*%s.*[\"']\s*%",
+}
+
+
 def hygiene(rows: DataFrame, key: str, text: str, allow: str = "hygiene-allow") -> DataFrame:
-    """(key, line, cyrillic, hangul, control) of the lines that hold such characters and no allow mark."""
-    each = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value")).where(~F.contains("value", F.lit(allow)))
-    found = {"cyrillic": F.col("value").rlike(r"\p{IsCyrillic}"), "hangul": F.col("value").rlike(r"\p{IsHangul}"), "control": F.col("value").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")}
-    return each.withColumns(found).where("cyrillic or hangul or control").select(key, (F.col("line") + 1).alias("line"), *found)
+    """(key, line, cyrillic, hangul, control, stray_cr) of the lines that hold such characters.
+
+    A line with the allow mark is only looked at for a carriage return without
+    a line feed behind it.
+    """
+    parts = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"), F.size(F.split(text, "\n")).alias("n"))
+    plain = ~F.contains("value", F.lit(allow))
+    stray = F.col("value").rlike(r"(?s)\r.") | ((F.col("line") == F.col("n") - 1) & F.col("value").endswith("\r"))
+    found = {name: plain & F.col("value").rlike(p) for name, p in (("cyrillic", CYRILLIC), ("hangul", HANGUL), ("control", CONTROL))} | {"stray_cr": stray}
+    return parts.withColumns(found).where("cyrillic or hangul or control or stray_cr").select(key, (F.col("line") + 1).alias("line"), *found)
+
+
+def secret_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, level, finding): lines that hold a key or credential (block) or look unsafe (warn), one row for each finding."""
+    parts = rows.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"))
+    found = [F.when(F.col("value").rlike(p), F.struct(F.lit(level).alias("level"), F.lit(name).alias("finding"))) for level, table in (("block", BLOCKED_LINES), ("warn", WARNED_LINES)) for name, p in table.items()]
+    return parts.select(key, (F.col("line") + 1).alias("line"), F.explode(F.array_compact(F.array(*found))).alias("_f")).select(key, "line", "_f.*")
+
+
+def largest_changes(rows: DataFrame, path: str, changed: Column, exempt: tuple[str, ...], k: int = 5) -> DataFrame:
+    """(path, changed): the k files with the most changed lines, without those whose path fits one of the globs (* and ?)."""
+    pattern = "|".join("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) for glob in exempt)
+    own = rows.where(~F.col(path).rlike(f"(?s)^(?:{pattern})$")) if exempt else rows
+    return own.groupBy(path).agg(F.sum(changed).cast("long").alias("changed")).orderBy(F.desc("changed"), path).limit(k)

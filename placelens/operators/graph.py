@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, discard
@@ -94,15 +94,25 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("centre"), F.col("b").alias("other"), "w", "type").union(back)
 
 
-def ring(edges: DataFrame, types: Column, most: int = 14, radius: float = 320.0) -> DataFrame:
-    """Neighbours of each node on a ring: by type order, weight and id, at most ``most`` (the heaviest), with place and position."""
-    by_weight = Window.partitionBy("centre").orderBy(F.desc("w"), "other")
-    near = neighbours(edges).withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= most)
-    place = F.row_number().over(Window.partitionBy("centre").orderBy(types, F.desc("w"), "other")) - 1
-    size = F.count("*").over(Window.partitionBy("centre"))
-    angle = 2 * F.pi() * F.col("place") / F.col("size") - F.pi() / 2
-    near = near.withColumns({"place": place, "size": size})
-    return near.select("centre", "other", "w", "type", "rank", "place", F.round(radius * F.cos(angle), 4).alias("x"), F.round(radius * F.sin(angle), 4).alias("y"))
+#: Types of pairs in the order in which a ring shows them.
+TYPE_ORDER = ("identity", "kin", "partof", "mixed", "other", "unlabeled")
+
+
+def ranked_neighbours(edges: DataFrame, most: int) -> DataFrame:
+    """(centre, other, w, type, rank) of the ``most`` heaviest neighbours of each node, ties by id."""
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("w"), "other"))
+    return neighbours(edges).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def ring(edges: DataFrame, most: int = 14, radius: float = 320.0, types: tuple[str, ...] = TYPE_ORDER) -> DataFrame:
+    """Neighbours of each node on a ring: in order of type, weight and id the first ``most``, with place, position and how many there are in all."""
+    order = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
+    own = neighbours(edges).withColumn("_o", F.when(order > 0, order).otherwise(len(types) + 1))
+    place = F.row_number().over(Window.partitionBy("centre").orderBy("_o", F.desc("w"), "other")) - 1
+    near = own.withColumn("place", place).where(F.col("place") < most)
+    total = own.groupBy("centre").agg(F.count("*").alias("total"))
+    angle = 2 * F.pi() * F.col("place") / F.least("total", F.lit(most).cast("long")) - F.pi() / 2
+    return near.join(total, "centre").select("centre", "other", "w", "type", "place", "total", F.round(radius * F.cos(angle), 4).alias("x"), F.round(radius * F.sin(angle), 4).alias("y"))
 
 
 def induced_edges(ring_rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,3 +121,22 @@ def induced_edges(ring_rows: DataFrame, edges: DataFrame) -> DataFrame:
     first = members.withColumnRenamed("m", "a")
     second = members.withColumnRenamed("m", "b")
     return first.join(edges, "a").join(second, ["centre", "b"]).select("centre", "a", "b", "w", "type")
+
+
+def selected_regions(selected: DataFrame, lifts: DataFrame, most: int, floor: int) -> DataFrame:
+    """(id, region, n, expected, lift, place): of each selected id the regions of the largest lifts; a lift from fewer than ``floor`` sites is null."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lift"), "region"))
+    own = lifts.join(selected, "id", "left_semi").withColumn("place", place).where(F.col("place") <= most)
+    return own.select("id", "region", "n", "expected", F.when(F.col("n") >= floor, F.col("lift")).alias("lift"), "place")
+
+
+def pair_table(typed_pairs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(a, b, type, w, place): labelled pairs in order of weight, then, without a place, the unlabelled ones of at least ``least``.
+
+    Labels are a small frozen table, which is what one window may sort.
+    """
+    own = labels.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "type")
+    met = own.join(typed_pairs.select("a", "b", "w"), ["a", "b"], "left").withColumn("w", F.coalesce("w", F.lit(0).cast("long")))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("w"), "a", "b")).cast("long")
+    rest = typed_pairs.where((F.col("type") == "unlabeled") & (F.col("w") >= least)).select("a", "b", "type", "w", F.lit(None).cast("long").alias("place"))
+    return met.select("a", "b", "type", "w", place.alias("place")).union(rest)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, point_segment_m, transverse_mercator, utm_meridian, utm_zone
+from ..functions.geo import cell, point_segment_m, projected, utm_zone
 from ..sources.shared import cut
 
 #: Cells of segments and half-width of a site's box in degrees, and the largest distance reported.
@@ -34,18 +34,34 @@ def _sizes(sites: DataFrame, size: float, most: float) -> list[float]:
 
 
 def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT_CELL, most: float = FAR_M) -> DataFrame:
-    """(site_id, name, distance_m, note): nearest named segment in the plane of the site's UTM zone.
+    """(site_id, name, distance_m, note): nearest named segment in the plane of the site.
 
     Segments (name, lon1, lat1, lon2, lat2) are blocked by the cells that they
-    touch, sites look into 3 x 3 cells; sites that find nothing as near as these
-    cover for certain look into larger ones, until ``most`` metres are covered.
-    Ties go to the smaller name.  Beyond ``most`` metres, or with nothing near,
-    the distance is null with a note.
+    touch, sites (site_id, lon, lat) look into 3 x 3 cells; sites that find
+    nothing as near as these cover for certain look into larger ones, until
+    ``most`` metres are covered.  A column epsg of the sites names the plane of
+    each (``geo.prefecture_plane``); without it, or where it is null, that of
+    the UTM zone is taken.  Ties go to the smaller name.  Beyond ``most``
+    metres, or with nothing near, the distance is null with a note.
     """
-    left, best = sites, None
-    sizes = _sizes(sites, size, most)
+    zone = utm_zone(F.col("lon"))
+    epsg = F.coalesce("epsg", zone) if "epsg" in sites.columns else zone
+    left = cut(sites.select("site_id", "lon", "lat", epsg.alias("epsg")).withColumn("p", projected(F.col("lon"), F.col("lat"), F.col("epsg"))), "sites")
+    box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)]
+    planes = [x for x in left.groupBy("epsg").agg(*box).collect() if x["min_lon"] is not None]  # at most 12 planes and 60 zones
+    if not planes:
+        return sites.select("site_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("distance_m"), F.lit("nothing in the cells around").alias("note"))
+    sizes = _sizes(left, size, most)
+    # each segment in the planes whose sites may look into its cells
+    meets = lambda x: (
+        F.least("lon1", "lon2").between(-999, x["max_lon"] + 2 * sizes[-1]) & (F.greatest("lon1", "lon2") >= x["min_lon"] - 2 * sizes[-1])
+        & F.least("lat1", "lat2").between(-999, x["max_lat"] + 2 * sizes[-1]) & (F.greatest("lat1", "lat2") >= x["min_lat"] - 2 * sizes[-1])
+    )
+    both = lambda i: projected(F.col(f"lon{i}"), F.col(f"lat{i}"), F.col("epsg"))
+    flat = segments.withColumn("epsg", F.explode(F.array_compact(F.array(*[F.when(meets(x), F.lit(x["epsg"])) for x in planes])))).withColumns({"s": both(1), "e": both(2)})
+    flat, best = cut(flat, "segments"), None
     for step in sizes:
-        found = cut(_in_cells(left, segments, step), "nearest")
+        found = cut(_in_cells(left, flat, step), "nearest")
         done = found if step == sizes[-1] else found.where("b.d <= reach")
         best = done if best is None else best.union(done)
         left = left.join(done.select("site_id"), "site_id", "left_anti")
@@ -56,17 +72,23 @@ def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT
 
 
 def _in_cells(sites: DataFrame, segments: DataFrame, size: float) -> DataFrame:
-    """(site_id, b: distance and name of the nearest segment in 3 x 3 cells, reach: the metres that these cover)."""
-    blocks = segments.withColumn("_c", F.explode(covering_cells("lon1", "lat1", "lon2", "lat2", size))).select("*", "_c.cy", "_c.cx").drop("_c")
+    """(site_id, b: distance and name of the nearest segment in 3 x 3 cells, reach: the metres that these cover).
+
+    A segment is met once in each cell that it touches; the minimum does not mind.
+    """
+    blocks = segments.select("epsg", "name", "s", "e", F.explode(covering_cells("lon1", "lat1", "lon2", "lat2", size)).alias("_c")).select("epsg", "name", "s", "e", "_c.cy", "_c.cx")
     steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-    own = sites.select("site_id", "lon", "lat", steps.alias("_s")).select("site_id", "lon", "lat", (cell(F.col("lat"), size) + F.col("_s.y")).alias("cy"), (cell(F.col("lon"), size) + F.col("_s.x")).alias("cx"))
-    near = own.join(blocks, ["cy", "cx"]).withColumn("meridian", utm_meridian(utm_zone(F.col("lon"))))
-    at = lambda lon, lat: transverse_mercator(F.col(lon), F.col(lat), F.col("meridian"), 0.0, 0.9996)
-    near = near.withColumns({"p": at("lon", "lat"), "s": at("lon1", "lat1"), "e": at("lon2", "lat2")})
-    near = near.withColumn("d", point_segment_m(*[F.col(c) for c in ("p.x", "p.y", "s.x", "s.y", "e.x", "e.y")]))
+    own = sites.select("site_id", "lon", "lat", "epsg", "p", steps.alias("_s")).select("site_id", "lat", "epsg", "p", (cell(F.col("lat"), size) + F.col("_s.y")).alias("cy"), (cell(F.col("lon"), size) + F.col("_s.x")).alias("cx"))
+    d = point_segment_m(*[F.col(c) for c in ("p.x", "p.y", "s.x", "s.y", "e.x", "e.y")])
+    near = own.join(blocks, ["epsg", "cy", "cx"]).select("site_id", "lat", d.alias("d"), "name")
     return near.groupBy("site_id").agg(F.min(F.struct("d", "name")).alias("b"), F.min(_reach_m(F.col("lat"), size)).alias("reach"))
 
 
+def partitions_for(sites: DataFrame, todo: Column, boxes: DataFrame, half: float = BOX) -> DataFrame:
+    """(code): the partitions that hold anything for the sites still to be measured."""
+    return overlapping_boxes(sites.where(todo), boxes, half).select("code").distinct()
+
+
 def overlapping_boxes(sites: DataFrame, boxes: DataFrame, half: float = BOX) -> DataFrame:
     """(site_id, code): partitions whose box meets the site's box, borders included.
 
@@ -85,9 +107,3 @@ def agreement_of_paths(first: DataFrame, second: DataFrame, key: str = "site_id"
     """Distances measured in two planes: (key, d1, d2, agrees) with a tolerance of a metre or two thousandths."""
     both = first.select(key, F.col("distance_m").alias("d1")).join(second.select(key, F.col("distance_m").alias("d2")), key)
     return both.withColumn("agrees", F.abs(F.col("d1") - F.col("d2")) <= F.greatest(F.lit(1.0), 2e-3 * F.col("d1")))
-
-
-def nearest_by_rank(near: DataFrame, key: str, distance: str, name: str) -> DataFrame:
-    """First row of each key by distance and name."""
-    order = Window.partitionBy(key).orderBy(distance, name)
-    return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

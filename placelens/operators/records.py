@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds (west, south, east, north), rights codes, those that may be used, those that ask for a credit.
 BOUNDS = (122.0, 20.2, 154.1, 45.8)
@@ -86,7 +87,48 @@ def changes(before: DataFrame, after: DataFrame, key: str, value: str = "n") ->
     return both.withColumn("delta", F.col("n_after") - F.col("n_before")).where("delta <> 0")
 
 
-def assert_unique(rows: DataFrame, key: str) -> DataFrame:
-    if not rows.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{key} is not unique")
-    return rows
+def searched(rows: DataFrame, name: str, wanted: str) -> DataFrame:
+    """Rows whose name holds what is wanted, without the space around it; nothing wanted keeps all."""
+    return rows.where(F.contains(name, F.lit(wanted.strip()))) if wanted.strip() else rows
+
+
+def valid_id(x: Column, prefix: str = "jinja_") -> Column:
+    """Whether an id is the prefix, a letter of n, w, r and digits; null is not."""
+    return F.coalesce(x.rlike(rf"^{prefix}[nwr]\d+\z"), F.lit(False))
+
+
+def valid_partition(x: Column) -> Column:
+    return F.coalesce(x.rlike(r"^\d{2}\z"), F.lit(False))
+
+
+#: Shapes that mean a vector or a text in a published document, and fields that are looked at more closely.
+VECTOR_LEAST, TEXT_LEAST, NAMED_LEAST = 32, 300, 120
+SUSPICIOUS = ("text", "extract", "body", "embedding", "vector", "vec", "embeddings")
+
+
+def leaks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, path, kind): columns, with the fields and elements inside them, that hold a long list of numbers (vector) or a long string (text).
+
+    A suspicious field may hold no list at all and only short strings.  The
+    schema tells where to look, so each place is one expression.
+    """
+
+    def walk(value: Column, kind: T.DataType, path: str, name: str) -> list[tuple[str, Column, str]]:
+        if isinstance(kind, T.StringType):
+            return [(path, F.length(value) >= (NAMED_LEAST if name in SUSPICIOUS else TEXT_LEAST), "text")]
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in walk(value[f.name], f.dataType, f"{path}.{f.name}", f.name)]
+        if isinstance(kind, T.MapType):
+            return walk(F.map_values(value), T.ArrayType(kind.valueType), path, "")
+        if isinstance(kind, T.ArrayType):
+            own = [(path, value.isNotNull(), "vector")] if name in SUSPICIOUS else []
+            if isinstance(kind.elementType, T.NumericType):
+                return own or [(path, F.size(value) >= VECTOR_LEAST, "vector")]
+            inner = kind.elementType
+            found = walk(F.lit(None).cast(inner), inner, f"{path}[]", name)
+            return own + [(p, F.exists(value, lambda v, i=i: F.coalesce(walk(v, inner, f"{path}[]", name)[i][1], F.lit(False))), k) for i, (p, _, k) in enumerate(found)]
+        return []
+
+    places = [x for f in rows.schema.fields if f.name != key for x in walk(F.col(f.name), f.dataType, f.name, f.name)]
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"))) for p, bad, k in places]))
+    return rows.select(key, F.explode(hits).alias("_h")).select(key, "_h.*") if places else rows.select(key, F.lit("").alias("path"), F.lit("").alias("kind")).limit(0)

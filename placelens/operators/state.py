@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..functions.text import content_key
+from ..sources.scans import optional
+from ..sources.shared import cut, discard
 
 #: A site that has moved this far or farther is measured anew.
 MOVED_M = 1.0
@@ -40,6 +42,53 @@ def unseen(texts: DataFrame, text: str, cache: DataFrame, model: str) -> DataFra
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
+def append_new(fresh: DataFrame, path: str) -> int:
+    """Appends rows (key, ...) to the Parquet cache at ``path``, without those that it has; returns how many.
+
+    Spark's committer shows a batch whole or not at all, so a run that stops
+    is taken up where it stopped.
+    """
+    known = optional(fresh.sparkSession, path, fresh.schema)
+    own = cut(fresh.dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti"), "fresh")
+    n = own.count()
+    if n:
+        own.select(*fresh.columns).write.mode("append").parquet(path)
+    discard(own)
+    return n
+
+
+def articles_to_fetch(sites: DataFrame, stored: DataFrame) -> DataFrame:
+    """(title, n_sites): each title once that a site (site_id, title) has and that is not stored for it.
+
+    ``stored`` (site_id, requested_title, ...): what was fetched for a site
+    under another title is stale and does not count.
+    """
+    fresh = stored.select("site_id", F.col("requested_title").alias("title"))
+    todo = sites.where("title is not null").join(fresh, ["site_id", "title"], "left_anti")
+    return todo.groupBy("title").agg(F.count("*").alias("n_sites"))
+
+
+def articles_of(sites: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(site_id, title, revision, text, how): stored or fetched text of each site; sites whose article is missing are left out.
+
+    ``fetched`` (title, revision, text) has one row for each title; a row
+    without a revision is no article.
+    """
+    own = sites.where("title is not null").select("site_id", "title")
+    old = stored.select("site_id", F.col("requested_title").alias("title"), "revision", "text").where("revision is not null")
+    kept = own.join(old, ["site_id", "title"]).withColumn("how", F.lit("cached"))
+    rest = own.join(old.select("site_id", "title"), ["site_id", "title"], "left_anti")
+    new = rest.join(fetched.where("revision is not null").select("title", "revision", "text"), "title").withColumn("how", F.lit("fetched"))
+    return kept.unionByName(new).select("site_id", "title", "revision", "text", "how")
+
+
+def same_corpus(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
+    """(group, reuse): whether the fingerprint and the number of texts of ``fingerprint`` are those of the manifest before."""
+    old = before.select(group, F.col("n").alias("_n"), F.col("fingerprint").alias("_f"))
+    same = F.coalesce((F.col("n") == F.col("_n")) & (F.col("fingerprint") == F.col("_f")), F.lit(False))
+    return after.join(old, group, "left").select(group, same.alias("reuse"))
+
+
 def last_written(shards: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of a key the one of the last shard."""
     last = F.max_by(F.struct(*shards.columns), F.col(order)).alias("_last")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +69,12 @@ def quantiles(rows: DataFrame, key: str | list[str], value: str, ps: dict[str, f
     return counted.groupBy(*keys).agg(*picks, F.min("_v").alias("min"), F.max("_v").alias("max"), F.first("_all").alias("n"))
 
 
-def average_rank(value: str, partition: list[str] | None = None) -> Column:
-    """Rank from 1; equal values share the mean of their places."""
-    w = Window.partitionBy(*(partition or [F.lit(1)]))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(partition or []), value)) - 1) / 2
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, n): true median of each group, the mean of the middle two; exact, and no group is gathered."""
+    own = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    counted = running_counts(own.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), keys, ["_v"], "_c")
+    low, high = (F.min(F.when(F.col("_upto") > i, F.col("_v"))) for i in (F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
+    return counted.groupBy(*keys).agg(((low + high) / 2).alias("median"), F.first("_all").alias("n"))
 
 
 def with_average_rank(rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -117,28 +118,24 @@ def at_thresholds(rows: DataFrame, thresholds: list[float], score: str = "score"
     return out.select("threshold", "kept", "right", F.round(F.try_divide("right", "kept"), 4).alias("precision"), F.round(F.try_divide("right", "n"), 4).alias("recall"))
 
 
-def permutation_p(rows: DataFrame, x: str, y: str, shuffles: int, seed: int) -> DataFrame:
-    """Two-sided permutation p of the Spearman correlation: (hits + 1) / (shuffles + 1).
+def permutation_p(rows: DataFrame, key: str, x: str, y: str, shuffles: int, seed: int) -> DataFrame:
+    """(hits, p): two-sided permutation p of the Spearman correlation, (hits + 1) / (shuffles + 1).
 
-    The ranked columns of one bounded table (a report over groups, not raw
-    rows) go to the tasks; each task draws its share of the shuffles from a
-    stream of its own number, so results do not depend on the partitioning.
+    ``key`` names a row.  Rows are numbered once, and each shuffle is a
+    permutation of the numbers that is computed row by row; the products of the
+    ranks are added up by shuffle, so nothing is gathered and results do not
+    depend on the partitioning.
     """
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("x"), average_rank(y).alias("y"))
-    pair = ranked.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            hits = []
-            for number, points in zip(frame["number"], frame["p"]):
-                a, b = (np.array([p[c] for p in points], float) for c in "xy")
-                a, b = a - a.mean() if len(a) else a, b - b.mean() if len(b) else b
-                mixed = np.random.default_rng([seed, number]).permutation(b)
-                hits.append(bool(abs(mixed @ a) >= abs(a @ b) - 1e-9))
-            yield pd.DataFrame({"hit": hits})
-
-    draws = rows.sparkSession.range(shuffles).select(F.col("id").alias("number")).crossJoin(F.broadcast(pair))
-    return draws.mapInPandas(run, "hit boolean").agg(F.count_if("hit").alias("hits"), F.round((F.count_if("hit") + 1) / (F.count("*") + 1), 6).alias("p"))
+    own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    ranked = with_average_rank(with_average_rank(own, x, "_x"), y, "_y")
+    mean = ranked.agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    ranked = ranked.crossJoin(F.broadcast(mean)).select(F.col(key).alias("site_id"), (F.col("_x") - F.col("_mx")).alias("_a"), (F.col("_y") - F.col("_my")).alias("region"))
+    placed = _placed(ranked)
+    own = cut(ranked.select("site_id", "_a").join(placed, "site_id").select("_a", F.col("region").alias("_b"), "place", "sites"), "ranks")
+    observed = own.agg(F.abs(F.sum(F.col("_a") * F.col("_b"))).alias("observed"))
+    drawn = _dealt(own.select("_a", "place", "sites"), placed, shuffles, seed).groupBy("draw").agg(F.abs(F.sum(F.col("_a") * F.col("region"))).alias("d"))
+    hit = F.count_if(F.col("d") >= F.col("observed") - 1e-6)
+    return drawn.crossJoin(F.broadcast(observed)).agg(hit.alias("hits"), F.round((hit + 1) / F.lit(shuffles + 1), 6).alias("p"))
 
 
 def head_agreement(tops: DataFrame, heads: DataFrame) -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .graph import connected_components
+from .stats import medians
 
 #: Rows of a block of the all-pairs product; a task holds two blocks.
 BLOCK = 2048
+#: Centroids that may go to every task.
+MOST_CENTROIDS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,14 +37,20 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def centroid_scores(rows: DataFrame, key: str, vector: str, means: DataFrame, group: str) -> DataFrame:
-    """(key, group, score): each row against each of the few centroids."""
+    """(key, group, score): each row against each of the few centroids; more than ``MOST_CENTROIDS`` are an error."""
+    if means.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     return rows.select(key, vector).crossJoin(F.broadcast(means)).select(key, group, dot(F.col(vector), F.col("centroid")).alias("score"))
 
 
-def _products(rows: DataFrame, key: str, vector: str, block: int, k: int, least: float) -> DataFrame:
-    """(key, other, score) of every pair of blocks: of each row the k largest products of at least ``least``."""
-    n = max(1, -(-rows.count() // block))
-    own = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("a"))
+def _products(rows: DataFrame, key: str, vector: str, block: int, k: int | None, least: float) -> DataFrame:
+    """(key, other, score) of every pair of blocks: of each row the k largest products of at least ``least``, all of them without k.
+
+    Rows are dealt into blocks by a written row number, whatever their keys.
+    """
+    own = cut(rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
+    n = max(1, -(-own.count() // block))
+    own = own.select("k", "v", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("a"))
     lists = own.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
     pairs = lists.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
 
@@ -51,7 +61,7 @@ def _products(rows: DataFrame, key: str, vector: str, block: int, k: int, least:
                 vx, vy = (np.stack([np.asarray(r["v"], float) for r in s]) for s in (x, y))
                 score = np.round(vx @ vy.T, 9)
                 score[(kx[:, None] == ky[None, :]) | (score < least)] = -np.inf
-                if k < len(ky):
+                if k is not None and k < len(ky):
                     order = np.lexsort((np.broadcast_to(ky, score.shape), -score), axis=1)[:, :k]
                     at = np.repeat(np.arange(len(kx)), order.shape[1])
                     to = order.ravel()
@@ -67,9 +77,9 @@ def _products(rows: DataFrame, key: str, vector: str, block: int, k: int, least:
 def top_similar(rows: DataFrame, key: str, vector: str, k: int = 20, block: int = BLOCK) -> DataFrame:
     """(key, other, score, rank): the k largest dot products of each row with the others, ties by id.
 
-    Rows are dealt into blocks by a hash; every pair of blocks is one matrix
-    product in a task, which keeps only k candidates for each row, and the
-    candidates of all blocks are ranked.
+    Every pair of blocks is one matrix product in a task, which keeps only k
+    candidates for each row, and the candidates of all blocks are ranked.  The
+    work is that of all pairs: for some ten million rows, not for billions.
     """
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))
     return _products(rows, key, vector, block, k, -np.inf).withColumn("rank", rank).where(F.col("rank") <= k)
@@ -77,13 +87,21 @@ def top_similar(rows: DataFrame, key: str, vector: str, k: int = 20, block: int
 
 def similar_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
     """(key, other, score), in both directions, of the pairs whose dot product is at least ``least``."""
-    return _products(rows, key, vector, block, block * 64, least)
+    return _products(rows, key, vector, block, None, least)
 
 
 def spread(scores: DataFrame, key: str) -> DataFrame:
     """Over rows of (key, group, score): median of the row maxima, their minimum, median of maximum less minimum."""
-    each = scores.groupBy(key).agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
-    return each.agg(F.round(F.median("hi"), 6).alias("median_max"), F.round(F.min("hi"), 6).alias("min_max"), F.round(F.median(F.col("hi") - F.col("lo")), 6).alias("median_range"))
+    each = cut(scores.groupBy(key).agg(F.max("score").alias("hi"), (F.max("score") - F.min("score")).alias("range")), "extremes")
+    high = medians(each, [], "hi").select(F.round("median", 6).alias("median_max"))
+    wide = medians(each, [], "range").select(F.round("median", 6).alias("median_range"))
+    return high.crossJoin(each.agg(F.round(F.min("hi"), 6).alias("min_max"))).crossJoin(wide)  # three single rows
+
+
+def control_check(scores: DataFrame, controls: DataFrame, key: str) -> DataFrame:
+    """(control_max, median_max, passes): no text that has nothing to do with the corpus may score as high as its median does."""
+    top = controls.agg(F.round(F.max("score"), 6).alias("control_max"))
+    return top.crossJoin(spread(scores, key)).select("control_max", "median_max", (F.col("control_max") < F.col("median_max")).alias("passes"))
 
 
 def top_entries(scores: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, stats
+from ..operators import graph, records, stats
 from .base import COUNTS, LABELS_SQL, MENTIONS, PAIRS, TYPED, labels, mention_rows, mentions, query
 
 
@@ -55,14 +55,14 @@ def m16_null_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.null_summary(drawn, m17_head_agreement(spark, sf_dir))
 
 
-_JACCARD = f"{TYPED}, j AS (SELECT p.a, p.b, p.w, x.n AS na, y.n AS nb, round(CAST(p.w AS DOUBLE) / (x.n + y.n - p.w), 4) AS jaccard FROM pairs p JOIN counts x ON p.a = x.id JOIN counts y ON p.b = y.id)"
+_JACCARD = f"{TYPED}, j AS (SELECT p.a, p.b, p.w, p.type, x.n AS na, y.n AS nb, round(CAST(p.w AS DOUBLE) / (x.n + y.n - p.w), 4) AS jaccard FROM typed p JOIN counts x ON p.a = x.id JOIN counts y ON p.b = y.id)"
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.typed(graph.pair_counts(mentions(spark, sf_dir), "ids"), labels(spark))
 
 
-@query(f"WITH {_JACCARD} SELECT * FROM j")
+@query(f"WITH {_JACCARD} SELECT a, b, w, na, nb, jaccard FROM j")
 def a9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.jaccard(a6_j11_pair_counts(spark, sf_dir), a5_member_counts(spark, sf_dir)).select("a", "b", "w", "na", "nb", "jaccard")
 
@@ -104,14 +104,34 @@ def r6_j18_collapsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.collapsed_edges(typed, graph.identity_roots(typed))
 
 
-_RING = """near AS (SELECT centre, other, w, type FROM (SELECT a AS centre, b AS other, w, type FROM {e} UNION ALL SELECT b, a, w, type FROM {e}) QUALIFY row_number() OVER (PARTITION BY centre ORDER BY w DESC, other) <= 14),
-ring AS (SELECT centre, other, w, type, row_number() OVER (PARTITION BY centre ORDER BY w DESC, other) AS rank, row_number() OVER (PARTITION BY centre ORDER BY type, w DESC, other) - 1 AS place, count(*) OVER (PARTITION BY centre) AS size FROM near)"""
-_PLACED = "SELECT centre, other, w, type, rank, place, round(320 * cos(2 * pi() * place / size - pi() / 2), 4) AS x, round(320 * sin(2 * pi() * place / size - pi() / 2), 4) AS y FROM ring"
+_ORDER = "CASE type WHEN 'identity' THEN 0 WHEN 'kin' THEN 1 WHEN 'partof' THEN 2 WHEN 'mixed' THEN 3 WHEN 'other' THEN 4 ELSE 5 END"
+_RING = f"""near AS (SELECT a AS centre, b AS other, w, type FROM {{e}} UNION ALL SELECT b, a, w, type FROM {{e}}),
+ring AS (SELECT centre, other, w, type, row_number() OVER (PARTITION BY centre ORDER BY {_ORDER}, w DESC, other) - 1 AS place, count(*) OVER (PARTITION BY centre) AS total FROM near QUALIFY place < 14)"""
+_PLACED = "SELECT centre, other, w, type, place, total, round(320 * cos(2 * pi() * place / least(total, 14) - pi() / 2), 4) AS x, round(320 * sin(2 * pi() * place / least(total, 14) - pi() / 2), 4) AS y FROM ring"
 
 
 @query(f"WITH {TYPED}, {_RING.format(e='typed')} {_PLACED}")
 def r7_w5_ego_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ring(_typed(spark, sf_dir), F.col("type"))
+    return graph.ring(_typed(spark, sf_dir))
+
+
+@query(f"WITH {TYPED}, {_RING.format(e='typed')} SELECT centre, other, w, type, row_number() OVER (PARTITION BY centre ORDER BY w DESC, other) AS rank FROM near QUALIFY rank <= 14")
+def w5_ranked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ranked_neighbours(_typed(spark, sf_dir), 14)
+
+
+@query(f"WITH {_LIFT}, {COUNTS}, s AS (SELECT id FROM counts WHERE contains(id, '#1')), r AS (SELECT id, region, n, expected, CASE WHEN n >= 90 THEN lift END AS lift, row_number() OVER (PARTITION BY id ORDER BY lift DESC, region) AS place FROM lift JOIN s USING (id)) SELECT * FROM r WHERE place <= 8")
+def q6_selected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of the selected ids by lift, the first eight of each; a lift under the floor is hidden."""
+    names = a5_member_counts(spark, sf_dir).select("id")
+    return graph.selected_regions(records.searched(names, "id", "#1 "), a8_lift(spark, sf_dir), 8, 90)
+
+
+@query(f"WITH {_JACCARD} SELECT l.a, l.b, l.type, coalesce(j.w, 0) AS w, row_number() OVER (ORDER BY coalesce(j.w, 0) DESC, l.a, l.b) AS place FROM labels_of l LEFT JOIN j USING (a, b) UNION ALL SELECT a, b, type, w, NULL FROM j WHERE type = 'unlabeled' AND w >= 300")
+def q6_w12_pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled pairs in order of weight, and the unlabelled ones of at least a weight."""
+    pairs = _typed(spark, sf_dir)
+    return graph.pair_table(pairs, labels(spark), 300)
 
 
 @query(f"WITH {TYPED}, {_RING.format(e='typed')}, m AS (SELECT centre, other AS n FROM ring UNION SELECT centre, centre FROM ring) SELECT x.centre, t.a, t.b, t.w, t.type FROM typed t JOIN m x ON x.n = t.a JOIN m y ON y.n = t.b AND y.centre = x.centre")

@@ -23,7 +23,8 @@ def a11_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, median(l_quantity) AS median FROM lineitem GROUP BY 1")
 def a12_true_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.median("l_quantity").alias("median"))
+    own = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_quantity")
+    return stats.medians(own, ["day"], "l_quantity").select("day", "median")
 
 
 @query("SELECT event_type, count(*) FILTER (abs(value - 10) <= 1) AS within_1, count(*) FILTER (abs(value - 10) <= 5) AS within_5, count(*) FILTER (abs(value - 10) <= 10) AS within_10, round(max(abs(value - 10)), 4) AS most FROM events GROUP BY 1")
@@ -39,6 +40,12 @@ def a14_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.agg(F.count("*").alias("known"), F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"), F.round(F.try_divide(F.count_if(same), F.count("*")), 4).alias("rate"))
 
 
+@query("SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL AND quality <> toxic ORDER BY doc_id LIMIT 25")
+def a14_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first examples of disagreement, by id."""
+    return table(spark, sf_dir, "labels").where("quality <> toxic").select("doc_id", "quality", "toxic").orderBy("doc_id").limit(25)
+
+
 _CUTS = [round(0.50 + 0.02 * i, 2) for i in range(21)]
 
 
@@ -72,7 +79,7 @@ def m14_w9_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m15_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("x"), F.count("*").alias("y"))
-    return stats.permutation_p(rows, "x", "y", 2000, 20260908)
+    return stats.permutation_p(rows, "c_nationkey", "x", "y", 2000, 20260908)
 
 
 _LONG = "long AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
@@ -100,6 +107,12 @@ def a19_m6_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.spread(scores(spark, sf_dir), "vec_id")
 
 
+@query(f"WITH {_CENTROIDS}, e AS (SELECT vec_id, max(score) AS hi FROM scores GROUP BY 1), k AS (SELECT round(max(score), 6) AS control_max FROM scores WHERE vec_id % 50 = 0) SELECT control_max, round(median(hi), 6) AS median_max, control_max < round(median(hi), 6) AS passes FROM e, k GROUP BY control_max")
+def m6_control_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = scores(spark, sf_dir)
+    return vectors.control_check(own, own.where("vec_id % 50 = 0"), "vec_id")
+
+
 @query(f"WITH {_CENTROIDS}, p AS (SELECT vec_id, label, round(score, 9) AS score FROM scores), r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n FROM p) SELECT vec_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY n) AS top FROM r WHERE n <= 3 GROUP BY 1")
 def w8_top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = scores(spark, sf_dir).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.round("score", 9)))).alias("s"))
@@ -125,6 +138,17 @@ def j14_q2_similar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("vec_id").agg(F.count_if(same).alias("same_cluster"), listed.alias("others"))
 
 
+@query(f"{_SIMILAR}, sc AS (SELECT l.vec_id, c.label, round(sum(v * m), 9) AS score FROM long l JOIN (SELECT label, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM (SELECT label, pos, avg(v) AS m FROM long GROUP BY ALL)) c USING (pos) GROUP BY ALL), t3 AS (SELECT vec_id, list(label ORDER BY score DESC, label)[1:3] AS t FROM sc GROUP BY 1) SELECT top.vec_id, rank, other, array_to_string(list_filter(x.t, lambda k: list_contains(y.t, k)), ',') AS shared FROM top JOIN t3 x USING (vec_id) JOIN t3 y ON y.vec_id = other")
+def q2_w13_shared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each neighbour the entries that are among the first three of both, in the row's own order."""
+    own = scores(spark, sf_dir).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.round("score", 9)))).alias("s"))
+    own = own.select("vec_id", vectors.top_entries(F.col("s"), 3).alias("t"))
+    top = vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    both = top.join(own, "vec_id").join(own.toDF("other", "t_other"), "other")
+    shared = F.transform(vectors.shared_top(F.col("t"), F.col("t_other")), lambda x: x.cast("string"))
+    return both.select("vec_id", "rank", "other", F.array_join(shared, ",").alias("shared"))
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
 def a20_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
@@ -136,7 +160,14 @@ def m10_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.get("components", 0), 6).alias("x"), F.round(F.get("components", 1), 6).alias("y"))
 
 
-@query()
+_CLUSTERS = f"""{_SIMILAR.replace("WITH ", "WITH RECURSIVE ", 1)}, links AS (SELECT vec_id AS a, other AS b, score FROM dots WHERE score >= 5e-1), cores AS (SELECT a FROM links GROUP BY a HAVING count(*) >= 5),
+inside AS (SELECT a, b FROM links WHERE a IN (SELECT a FROM cores) AND b IN (SELECT a FROM cores)), reach(node, other) AS (SELECT a, b FROM inside UNION SELECT node, inside.b FROM reach JOIN inside ON reach.other = inside.a),
+roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+border AS (SELECT links.a AS node, root FROM links JOIN roots ON links.b = node WHERE links.a NOT IN (SELECT a FROM cores) QUALIFY row_number() OVER (PARTITION BY links.a ORDER BY score DESC, links.b) = 1),
+placed AS (SELECT * FROM roots UNION ALL SELECT * FROM border), large AS (SELECT root FROM placed GROUP BY root HAVING count(*) >= 15)"""
+
+
+@query(f"{_CLUSTERS} SELECT vec_id, coalesce(large.root, -1) AS cluster FROM embeddings LEFT JOIN placed ON node = vec_id LEFT JOIN large USING (root)")
 def m12_density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
     similar = vectors.similar_pairs(own, "vec_id", "embedding", 0.5)

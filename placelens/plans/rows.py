@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import records
+from ..operators.stats import running_counts
 from .base import SITES, query, sites, table
 
 _RAW = f"{SITES}, raw AS (SELECT site_id // 2 * 2 AS id, site_id AS place, CASE WHEN site_id % 13 = 0 THEN NULL ELSE lon END AS lon, CASE WHEN site_id % 17 = 0 THEN lat + 20 ELSE lat END AS lat FROM sites)"
@@ -80,7 +81,7 @@ def j10_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'Q' || s_suppkey ELSE n_name END AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def j13_fallback_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First language, else the second, else the id of the entity."""
-    own = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("s_suppkey")
     uri = F.concat(F.lit("http://example.org/entity/Q"), k)
     return own.select("s_suppkey", F.coalesce(F.when(k % 4 == 1, F.col("n_name")), F.when(k % 4 > 1, F.col("n_name")), text.entity_id(uri)).alias("label"))
@@ -180,7 +181,37 @@ def p13_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring')")
 def p9_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.contains("p_name", F.btrim(F.lit(" ring ")))).select("p_partkey", "p_name")
+    return records.searched(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", " ring ")
+
+
+@query("SELECT c_custkey, c_custkey % 4 < 3 AS id_ok, c_nationkey >= 10 AS code_ok FROM customer")
+def p10_valid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("jinja_"), F.get(F.array(*map(F.lit, "nwrx")), (k % 4).cast("int")), k.cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", records.valid_id(name).alias("id_ok"), records.valid_partition(F.col("c_nationkey").cast("string")).alias("code_ok"))
+
+
+@query("SELECT doc_id, 'note' AS path, 'text' AS kind FROM documents WHERE length(text) >= 300 UNION ALL SELECT doc_id, 'meta.body', 'text' FROM documents WHERE length(text) >= 120")
+def p11_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents")
+    numbers = F.sequence(F.lit(1), (F.col("doc_id") % 31 + 1).cast("int"))
+    return records.leaks(own.select("doc_id", F.col("text").alias("note"), F.struct(F.col("text").alias("body"), F.col("lang").alias("vector"), numbers.alias("scores")).alias("meta")), "doc_id")
+
+
+@query("SELECT o_custkey % 10 AS part, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS n_aliases FROM orders GROUP BY 1")
+def k2_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import counts_of, index_of
+
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), (F.col("o_custkey") % 10).alias("part"))
+    old = own.where(F.col("key").cast("long") % 3 == 0).select(F.concat(F.lit("old"), "key").alias("alias"), F.col("key").alias("site_id"))
+    return counts_of(index_of(own, old, "key", "part"), "part")
+
+
+@query("SELECT place, c_custkey, c_acctbal FROM (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, c_custkey, c_acctbal FROM customer)")
+def w12_sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with their place in the listing; places come from ranges, not from one task."""
+    own = table(spark, sf_dir, "customer").select((-F.col("c_acctbal")).alias("less"), "c_custkey", F.lit(1).alias("one"))
+    return running_counts(own, [], ["less", "c_custkey"], "one").select(F.col("_upto").alias("place"), "c_custkey", (-F.col("less")).alias("c_acctbal"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")

@@ -40,13 +40,19 @@ def m1_m2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a17_a25_by_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").where("text is not null").select(F.md5("text").alias("article"), "doc_id", (F.col("doc_id") % 3).alias("revision"), "text")
     out = articles.by_article(own, "article", "doc_id", "revision", "text")
-    return out.select("article", "speaker", F.size("members").cast("long").alias("n_members"), "mismatch")
+    return out.select("article", "speaker", "n_members", "mismatch")
 
 
-@query("SELECT p_brand AS article, arg_min(p_partkey, (CASE WHEN p_name = 'red ring' THEN 0 ELSE 1000000 END + CASE WHEN contains(p_name, 'red ring') THEN 0 ELSE 100000 END + length(p_name)) * 1000000000 + p_partkey) AS representative FROM part GROUP BY 1")
+_TITLE = "'small ' || CASE WHEN p_size % 2 = 0 THEN 'red ring' ELSE 'blue bolt' END || ' (x)'"
+
+
+@query(f"WITH p AS (SELECT p_brand || p_size % 2 AS article, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_name || ' gate' WHEN p_partkey % 5 = 2 THEN 'small ' || p_name ELSE p_name END AS name, {_TITLE} AS title FROM part) SELECT article, p_partkey AS representative FROM p QUALIFY row_number() OVER (PARTITION BY article ORDER BY CASE WHEN name = replace(title, ' (x)', '') THEN 0 ELSE 1 END, CASE WHEN name <> '' AND position(name IN title) > 0 THEN 0 ELSE 1 END, CASE WHEN name = '' THEN 1000000 ELSE length(name) END, p_partkey) = 1")
 def w10_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("article"), "p_partkey", "p_name", F.lit("red ring").alias("base"))
-    return articles.representative(own, "article", "p_partkey", "p_name", "base")
+    k, n = F.col("p_partkey") % 5, F.col("p_name")
+    name = F.when(k == 0, "").when(k == 1, F.concat(n, F.lit(" gate"))).when(k == 2, F.concat(F.lit("small "), n)).otherwise(n)
+    title = F.concat(F.lit("small "), F.when(F.col("p_size") % 2 == 0, "red ring").otherwise("blue bolt"), F.lit(" (x)"))
+    own = table(spark, sf_dir, "part").select(F.concat("p_brand", (F.col("p_size") % 2).cast("string")).alias("article"), "p_partkey", name.alias("name"), title.alias("title"))
+    return articles.representative(own, "article", "p_partkey", "name", "title")
 
 
 @query("WITH d AS (SELECT md5(text) AS article, doc_id FROM documents WHERE text IS NOT NULL), g AS (SELECT article, min(doc_id) AS representative FROM d GROUP BY 1) SELECT doc_id, representative FROM d JOIN g USING (article)")
@@ -162,11 +168,48 @@ def e5_wrong_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH o AS (SELECT user_id AS file, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT file, event_id, value FROM o WHERE value < before")
-def e6_w15_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w15_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), "event_id", "value")
     return eventlog.out_of_order(own, "file", "event_id", "value")
 
 
+#: Clicks begin a loop, views are failures, sign-ups end it; users of some numbers break the rules of names, projects and time.
+_FILES = f"""{_LOG}, full_log AS (SELECT file, line, CASE event WHEN 'click' THEN 'loop_start' WHEN 'view' THEN 'failure' WHEN 'signup' THEN 'loop_end' ELSE event END AS event, CASE WHEN file % 7 = 0 THEN -line ELSE line END AS ts,
+CASE WHEN file % 5 = 0 THEN 'other' ELSE 'f' || file END AS loop_id, CASE WHEN file % 3 = 0 THEN 'p' || line % 2 ELSE 'p' END AS project, CASE WHEN event = 'signup' THEN k END AS declared FROM aimed),
+left_log AS (SELECT full_log.* FROM full_log JOIN stay USING (file, line)),
+whole AS (SELECT file, arg_min(event, line) AS first, min(line) FILTER (event = 'loop_end') AS ended, arg_min(declared, line) FILTER (event = 'loop_end') AS declared, count(*) FILTER (event = 'loop_end') AS ends, count(*) FILTER (event = 'failure') AS failures, count(DISTINCT project) AS projects FROM left_log GROUP BY file),
+behind AS (SELECT l.file, l.event, count(*) AS n FROM left_log l JOIN whole USING (file) WHERE line > ended GROUP BY ALL),
+voided AS (SELECT file, event, count(*) AS v FROM full_log WHERE event <> 'correction' AND NOT EXISTS (SELECT 1 FROM left_log l WHERE l.file = full_log.file AND l.line = full_log.line) GROUP BY ALL),
+faults AS (SELECT file, 'several projects' AS violation FROM whole WHERE projects > 1 UNION ALL SELECT file, 'does not begin with loop_start' FROM whole WHERE first <> 'loop_start' UNION ALL SELECT file, 'several ends' FROM whole WHERE ends > 1
+UNION ALL SELECT file, 'declares another number of failures' FROM whole WHERE declared <> failures UNION ALL SELECT DISTINCT file, 'loop id differs from the file name' FROM full_log WHERE loop_id <> 'f' || file
+UNION ALL SELECT DISTINCT file, 'not in order of time' FROM (SELECT file, ts < lag(ts) OVER (PARTITION BY file ORDER BY line) AS late FROM full_log) WHERE late UNION ALL SELECT DISTINCT file, 'no record is left' FROM full_log WHERE file NOT IN (SELECT file FROM whole)
+UNION ALL SELECT DISTINCT file, 'records after the end' FROM behind LEFT JOIN voided USING (file, event) WHERE n > coalesce(v, 0))"""
+
+
+@query(f"WITH {_FILES} SELECT 'logs/f' || file || '.jsonl' AS file, violation FROM faults")
+def e6_file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, f, e = log(spark, sf_dir), F.col("file"), F.col("event")
+    stay, _ = eventlog.corrected(own, "file", "line", "event", "target")
+    shape = {
+        "event": F.when(e == "click", "loop_start").when(e == "view", "failure").when(e == "signup", "loop_end").otherwise(e), "ts": F.when(f % 7 == 0, -F.col("line")).otherwise(F.col("line")), "loop_id": F.when(f % 5 == 0, F.lit("other")).otherwise(F.concat(F.lit("f"), f)),
+        "project": F.when(f % 3 == 0, F.concat(F.lit("p"), F.col("line") % 2)).otherwise("p"), "failure_count": F.when(e == "signup", F.col("k")), "file": F.concat(F.lit("logs/f"), f, F.lit(".jsonl")),
+    }
+    return eventlog.file_violations(own.withColumns(shape), stay.withColumns(shape))
+
+
+@query(f"WITH {_LOG}, t AS (SELECT 0 AS code, 'zero' AS name UNION ALL SELECT 1, 'one') SELECT k AS code, count(*) AS n, coalesce(any_value(name), '?') AS name FROM stay LEFT JOIN t ON k = t.code WHERE event = 'view' GROUP BY k")
+def e8_failures_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stay, _ = eventlog.corrected(log(spark, sf_dir), "file", "line", "event", "target")
+    names = spark.createDataFrame([(0, "zero"), (1, "one")], "code long, name string")
+    return eventlog.failures_by_code(stay.where("event = 'view'"), "k", names)
+
+
+@query(f"WITH {_LOG} SELECT file, arg_max(line, line) AS last_line, arg_max(k, line) AS last_k FROM stay WHERE event = 'purchase' GROUP BY file")
+def e8_last_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stay, _ = eventlog.corrected(log(spark, sf_dir), "file", "line", "event", "target")
+    return eventlog.last_of(stay, "file", "line", "event", "purchase", ["line", "k"]).withColumnsRenamed({"line": "last_line", "k": "last_k"})
+
+
 @query(f"WITH {_LOG} SELECT file, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) FILTER (event = 'click') AS n_click, count(*) FILTER (event = 'purchase') AS n_purchase, count(*) FILTER (event = 'view') AS n_view, arg_max(event, line) AS last FROM stay GROUP BY file")
 def a21_e8_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stay, _ = eventlog.corrected(log(spark, sf_dir), "file", "line", "event", "target")
@@ -195,16 +238,43 @@ def e4_validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.array_join("violations", ", ").alias("violations"))
 
 
-@query("SELECT doc_id, i AS line, regexp_matches(l, '[\\x{0400}-\\x{04FF}]') AS cyrillic, false AS hangul, regexp_matches(l, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') AS control FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '[\\x{0400}-\\x{04FF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')")
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS line, len(string_split(t, chr(10))) AS n FROM shaped)"
+_SHAPED = "shaped AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || chr(13) WHEN doc_id % 9 = 1 THEN 'при' || chr(10) || text WHEN doc_id % 9 = 2 THEN '한' || chr(13) || chr(10) || text WHEN doc_id % 9 = 3 THEN 'a' || chr(13) || 'b hygiene-allow при' || chr(10) || text ELSE text END AS t FROM documents)"
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which some hold what does not belong there."""
+    k, t = F.col("doc_id") % 9, F.col("text")
+    text = F.when(k == 0, F.concat(t, F.lit("\r"))).when(k == 1, F.concat(F.lit("при\n"), t)).when(k == 2, F.concat(F.lit("한\r\n"), t)).when(k == 3, F.concat(F.lit("a\rb hygiene-allow при\n"), t)).otherwise(t)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(
+    f"WITH {_SHAPED}, {_LINES}, f AS (SELECT doc_id, line, NOT contains(l, 'hygiene-allow') AND regexp_matches(l, '[\\x{{0400}}-\\x{{052F}}]') AS cyrillic, NOT contains(l, 'hygiene-allow') AND regexp_matches(l, '[\\x{{AC00}}-\\x{{D7AF}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]') AS hangul, "
+    "NOT contains(l, 'hygiene-allow') AND regexp_matches(l, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') AS control, position(chr(13) IN l) BETWEEN 1 AND length(l) - 1 OR (line = n AND ends_with(l, chr(13))) AS stray_cr FROM lines) SELECT * FROM f WHERE cyrillic OR hangul OR control OR stray_cr"
+)
 def e9_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = eventlog.hygiene(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.select("doc_id", F.col("line").cast("long").alias("line"), "cyrillic", "hangul", "control")
+    return eventlog.hygiene(shaped(spark, sf_dir), "doc_id", "text").withColumn("line", F.col("line").cast("long"))
+
 
+_ADDED = "added AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN chr(10) || '-----BEGIN EC PRIVATE KEY-----' WHEN 1 THEN chr(10) || 'x = eval (y)' WHEN 2 THEN chr(10) || 'cursor.execute(\"a %s b\" % c)' WHEN 3 THEN chr(10) || 'Token = ''short'' ' WHEN 4 THEN chr(10) || 'api_key: ''long enough'' ' ELSE '' END AS t FROM documents)"
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, 'AKIA[A-Z0-9]{16}|(?i:password|secret|token)\\s*[:=]') GROUP BY doc_id")
+
+@query(
+    f"WITH {_ADDED}, lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM added) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, line, '{level}' AS level, '{name}' AS finding FROM lines WHERE regexp_matches(l, '{pattern}')"
+        for level, name, pattern in (
+            ("block", "private key", "-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----"), ("block", "access key", "AKIA[0-9A-Z]{16}"), ("block", "written credential", "(?i)\\b(api[_-]?key|secret|token|password|passwd)\\b\\s*[=:]\\s*[''\"][^''\"]{8,}[''\"]"),
+            ("warn", "evaluates text", "\\beval\\s*\\("), ("warn", "joins text into a statement", "(?i)(execute|cursor\\.execute)\\s*\\(\\s*[\"''].*%s.*[\"'']\\s*%"),
+        )
+    )
+)
 def e10_secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    return own.where(F.col("l").rlike(r"AKIA[A-Z0-9]{16}|(?i:password|secret|token)\s*[:=]")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    more = [(0, "\n-----BEGIN EC PRIVATE KEY-----"), (1, "\nx = eval (y)"), (2, '\ncursor.execute("a %s b" % c)'), (3, "\nToken = 'short' "), (4, "\napi_key: 'long enough' "), (5, "")]
+    end = F.coalesce(*[F.when(F.col("doc_id") % 6 == k, F.lit(x)) for k, x in more])
+    own = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), end).alias("text"))
+    return eventlog.secret_lines(own, "doc_id", "text").withColumn("line", F.col("line").cast("long"))
 
 
 @query("WITH declared AS (SELECT DISTINCT p_brand AS gate FROM part), covered AS (SELECT DISTINCT p_brand AS gate FROM part WHERE p_partkey % 40 < 10) SELECT gate FROM declared EXCEPT SELECT gate FROM covered")
@@ -213,11 +283,30 @@ def e11_uncovered_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("p_brand").alias("gate")).distinct().exceptAll(own.where("p_partkey % 40 < 10").select(F.col("p_brand").alias("gate")).distinct())
 
 
-@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS file, CAST(sum(l_linenumber + l_quantity) AS BIGINT) AS changed, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(l_linenumber + l_quantity) DESC, strftime(l_shipdate, '%Y-%m-%d')) <= 5")
+@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS file, CAST(sum(l_linenumber + l_quantity) AS BIGINT) AS changed FROM lineitem WHERE strftime(l_shipdate, '%Y-%m-%d') NOT LIKE '%-12-__' AND strftime(l_shipdate, '%Y-%m-%d') NOT LIKE '1995-%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def a24_largest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of changed lines by file, the five largest."""
-    own = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("file"))
-    return own.agg(F.sum(F.col("l_linenumber") + F.col("l_quantity")).cast("long").alias("changed"), F.count("*").alias("n")).orderBy(F.desc("changed"), "file").limit(5)
+    """Totals of changed lines by file, the five largest, without exempt files."""
+    own = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("file"), "l_linenumber", "l_quantity")
+    return eventlog.largest_changes(own, "file", F.col("l_linenumber") + F.col("l_quantity"), ("*-12-??", "1995-*"))
+
+
+@query("WITH s AS (SELECT doc_id AS site_id, CASE WHEN doc_id % 7 > 0 THEN source || '/' || lang END AS title FROM documents), o AS (SELECT doc_id AS site_id, source || '/' || CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE lang END AS title FROM documents WHERE doc_id % 2 = 0) SELECT title, count(*) AS n_sites FROM s WHERE title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o.site_id = s.site_id AND o.title = s.title) GROUP BY title")
+def s4_articles_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.articles_to_fetch(*article_tables(spark, sf_dir)[:2])
+
+
+def article_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites with titles, articles stored for every other site of which some are stale, and articles as fetched of which some are missing."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    sites_of = d.select(k.alias("site_id"), F.when(k % 7 > 0, F.concat_ws("/", "source", "lang")).alias("title"))
+    stored = d.where(k % 2 == 0).select(k.alias("site_id"), F.concat_ws("/", "source", F.when(k % 5 == 0, F.lit("old")).otherwise(F.col("lang"))).alias("requested_title"), k.alias("revision"), F.md5("text").alias("text"))
+    fetched = d.groupBy(F.concat_ws("/", "source", "lang").alias("title")).agg(F.min("doc_id").alias("revision")).withColumn("text", F.concat(F.lit("new "), "title"))
+    return sites_of, stored, fetched.withColumn("revision", F.when(F.col("revision") % 3 > 0, F.col("revision")))
+
+
+@query("WITH s AS (SELECT doc_id AS site_id, source || '/' || lang AS title FROM documents WHERE doc_id % 7 > 0), o AS (SELECT doc_id AS site_id, source || '/' || CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE lang END AS title, doc_id AS revision, md5(text) AS text FROM documents WHERE doc_id % 2 = 0), f AS (SELECT source || '/' || lang AS title, min(doc_id) AS revision FROM documents GROUP BY 1) SELECT s.site_id, title, coalesce(o.revision, f.revision) AS revision, CASE WHEN o.revision IS NULL THEN 'new ' || title ELSE o.text END AS text, CASE WHEN o.revision IS NULL THEN 'fetched' ELSE 'cached' END AS how FROM s LEFT JOIN o USING (site_id, title) LEFT JOIN f USING (title) WHERE o.revision IS NOT NULL OR f.revision % 3 > 0")
+def s4_articles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.articles_of(*article_tables(spark, sf_dir))
 
 
 @query("SELECT s.region AS region, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM (SELECT c_nationkey AS region FROM customer) s GROUP BY 1")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import running_counts
+
 
 def write_partitions(rows: DataFrame, path: str, key: str, without: tuple[str, ...] = ()) -> None:
     """JSON documents by ``key``; a row without key is an error, partitions of an earlier run go."""
@@ -15,6 +20,13 @@ def write_partitions(rows: DataFrame, path: str, key: str, without: tuple[str, .
     rows.drop(*without).repartition(key).write.mode("overwrite").partitionBy(key).json(path)
 
 
+def write_neighbours(rows: DataFrame, path: str, key: str, partition: str, similar: str) -> DataFrame:
+    """Lists of neighbours by ``partition``, only of rows that have some; returns how many rows each partition has."""
+    own = rows.where(F.size(similar) > 0).select(key, partition, similar)
+    write_partitions(own, path, partition)
+    return own.groupBy(partition).agg(F.count("*").alias("n"))
+
+
 def index_of(rows: DataFrame, aliases: DataFrame, key: str, partition: str) -> DataFrame:
     """(id, partition, target): where each id is, and each alias by way of the id that it leads to."""
     own = rows.select(F.col(key).alias("id"), partition, F.col(key).alias("target"))
@@ -22,21 +34,53 @@ def index_of(rows: DataFrame, aliases: DataFrame, key: str, partition: str) -> D
     return own.union(led)
 
 
+def counts_of(index: DataFrame, partition: str) -> DataFrame:
+    """(partition, n, n_aliases) of an index."""
+    own = F.col("id") == F.col("target")
+    return index.groupBy(partition).agg(F.count_if(own).alias("n"), F.count_if(~own).alias("n_aliases"))
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, gzip): size of each file below a folder, and compressed; a file is one row in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"file": x["path"], "bytes": x["length"], "gzip": x["content"].map(lambda c: len(gzip.compress(c)))})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", "content").mapInPandas(run, "file string, bytes long, gzip long")
+
+
 def features(rows: DataFrame, lon: str, lat: str, properties: list[str]) -> DataFrame:
     """(feature): a GeoJSON point for each row."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
-def write_state(rows: DataFrame, path: str, key: str, files: int = 1) -> None:
-    """JSON lines in order of ``key``; in one file by default, in ranges of the key where that is too much for one task."""
-    rows.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").json(path)
+def write_state(rows: DataFrame, path: str, key: str, files: int | None = None) -> None:
+    """JSON lines in order of ``key``, in ranges of the key: ``files`` of them, else as many as Spark takes for the size."""
+    ranged = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)
+    ranged.sortWithinPartitions(key).write.mode("overwrite").json(path)
+
 
+#: Columns of the star schema's tables.
+STAR = {
+    "fact_events": ("v", "ts", "project", "loop_id", "event"),
+    "fact_loops": ("project", "loop_id", "started_at", "ended_at", "goal", "scaffold_version", "agent", "outcome", "n_failures", "n_commits", "n_test_runs", "last_tests_passed", "last_tests_failed"),
+    "fact_failures": ("ts", "project", "loop_id", "code", "severity", "detected_stage", "introduced_stage", "summary", "resolution", "harness_ref"),
+    "dim_failure_taxonomy": ("code", "category", "category_name", "name", "definition"),
+    "view_two_strike": ("code", "total", "needs_hc", "has_hc_ref"),
+}
+BOM = "\ufeff"
 
-def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
-    """CSV tables with a header."""
+
+def write_star(tables: dict[str, DataFrame], folder: str) -> None:
+    """CSV tables with a byte order mark before the header; the columns of ``STAR`` come first, missing ones are empty, others follow by name."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        first = STAR.get(name, ())
+        columns = [*first, *sorted(set(df.columns) - set(first))]
+        own = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+        own.withColumnRenamed(columns[0], BOM + columns[0]).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
 def content_stamps(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -48,10 +92,24 @@ def content_stamps(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(own, "path", "left")
 
 
-def stamp(stamps: DataFrame) -> DataFrame:
-    """One stamp over ``path|hash`` lines in order of the path."""
+def stamp(stamps: DataFrame, block: int = 1000) -> DataFrame:
+    """(n, stamp): one stamp over ``path|hash`` lines in order of the path; a missing file counts as missing.
+
+    Up to ``block`` lines are digested as they are; more are digested by runs
+    of so many, and the runs again, so that no list grows with the files.
+    """
     line = F.concat_ws("|", "path", F.coalesce("sha256", F.lit("missing")))
-    return stamps.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("stamp"))
+    level = running_counts(stamps.select("path", line.alias("_d"), F.lit(1).alias("_one")), [], ["path"], "_one").select((F.col("_upto") - 1).alias("_k"), "_d", "_all")
+
+    def joined():
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), "\n")
+
+    n = level.agg(F.max("_all")).first()[0] or 0
+    size = n
+    while size > block:
+        level = level.groupBy(F.floor(F.col("_k") / block).alias("_b")).agg(F.sha2(joined(), 256).alias("_d")).withColumnRenamed("_b", "_k")
+        size = -(-size // block)
+    return level.agg(F.lit(n).cast("long").alias("n"), F.sha2(joined(), 256).alias("stamp"))
 
 
 def report(rows: DataFrame, **metrics: Column) -> DataFrame:
