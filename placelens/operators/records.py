@@ -126,7 +126,8 @@ def leaks(rows: DataFrame, key: str) -> DataFrame:
                 return own or [(path, F.size(value) >= VECTOR_LEAST, "vector")]
             inner = kind.elementType
             found = walk(F.lit(None).cast(inner), inner, f"{path}[]", name)
-            return own + [(p, F.exists(value, lambda v, i=i: F.coalesce(walk(v, inner, f"{path}[]", name)[i][1], F.lit(False))), k) for i, (p, _, k) in enumerate(found)]
+            inside = lambda i: lambda v: F.coalesce(walk(v, inner, f"{path}[]", name)[i][1], F.lit(False))
+            return own + [(p, F.exists(value, inside(i)), k) for i, (p, _, k) in enumerate(found)]
         return []
 
     places = [x for f in rows.schema.fields if f.name != key for x in walk(F.col(f.name), f.dataType, f.name, f.name)]

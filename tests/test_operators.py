@@ -74,7 +74,7 @@ def test_one_to_one_is_the_greedy_walk(spark, seed):
             left.add(a)
             right.add(b)
     df = spark.createDataFrame(edges, "l int, r int, s double")
-    got = matching.one_to_one(df, "l", "r", [F.desc("s"), F.col("r"), F.col("l")])
+    got = matching.one_to_one(df, "l", "r", [-F.col("s"), F.col("r"), F.col("l")])
     assert {(x.l, x.r) for x in got.collect()} == want
 
 
@@ -118,7 +118,7 @@ def test_merge_guards(spark):
 
 def test_two_way_pairs(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "site_id int, qid string")
-    right = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "site_id int, qid string")
+    right = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d"), (5, None)], "site_id int, qid string")
     got = {(r.site_id, r.direction) for r in matching.two_way_pairs(left, right).collect()}
     assert got == {(1, "both"), (2, "conflict"), (3, "left"), (4, "right")}
 
@@ -155,10 +155,20 @@ def test_pairs_and_collapse(spark):
     nodes = {r.id: (r.n, r.name) for r in graph.collapsed_nodes(graph.member_counts(sets, "ids"), roots).collect()}
     assert nodes == {"a": (2, "a・b"), "c": (1, "c")}
     assert [(r.a, r.b, r.w, r.type) for r in graph.collapsed_edges(typed, roots).collect()] == [("a", "c", 2, "unlabeled")]
-    ring = graph.ring(typed, F.col("type"), most=1)
+    ring = graph.ring(typed, most=1)
     assert {(r.centre, r.other, r.x, r.y) for r in ring.collect()} == {("a", "b", 0.0, -320.0), ("b", "a", 0.0, -320.0), ("c", "a", 0.0, -320.0)}
 
 
+def test_a_ring_orders_by_type_before_it_caps(spark):
+    edges = [("a", f"u{i:02d}", 100 + i, "unlabeled") for i in range(15)] + [("a", "kin", 2, "kin"), ("a", "same", 1, "identity"), ("a", "part", 1, "partof"), ("a", "mix", 9, "mixed"), ("a", "oth", 9, "other")]
+    typed = spark.createDataFrame(edges, "a string, b string, w long, type string")
+    got = sorted((r.place, r.other, r.total) for r in graph.ring(typed).where("centre = 'a'").collect())
+    assert [x[1] for x in got] == ["same", "kin", "part", "mix", "oth"] + [f"u{i:02d}" for i in range(14, 5, -1)]
+    assert {x[2] for x in got} == {20}
+    top = graph.ranked_neighbours(typed, 2).where("centre = 'a'").orderBy("rank").collect()
+    assert [(r.other, r.rank) for r in top] == [("u14", 1), ("u13", 2)]
+
+
 def test_components_of_text_nodes(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x"), ("e", "d")], "a string, b string")
     assert {r.node: r.root for r in graph.connected_components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
@@ -193,10 +203,16 @@ def test_nearest_segment_reaches_the_limit_from_small_cells(spark):
 
 def test_permutation_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(12)], "x double, y double")
-    first = stats.permutation_p(df, "x", "y", 99, 3).first()
+    df, noise = (x.withColumn("k", F.col("x").cast("int")) for x in (df, spark.createDataFrame([(float(i), float(i * 7 % 12)) for i in range(12)], "x double, y double")))
+    first = stats.permutation_p(df, "k", "x", "y", 99, 3).first()
     assert (first.hits, first.p) == (0, 0.01)
-    noise = spark.createDataFrame([(float(i), float(i * 7 % 12)) for i in range(12)], "x double, y double")
-    assert stats.permutation_p(noise, "x", "y", 99, 3).first() == stats.permutation_p(noise.repartition(3), "x", "y", 99, 3).first()
+    once, again = (stats.permutation_p(x, "k", "x", "y", 99, 3).first() for x in (noise, noise.repartition(3)))
+    assert once == again
+    # of all deals of numbers without a link, about as many are as extreme as this share of a thousand shuffles says
+    a = np.arange(12) - 5.5
+    drawn = np.abs(np.array([np.random.default_rng(i).permutation(a) @ a for i in range(2000)]))
+    share = (drawn >= abs(np.argsort(np.argsort([i * 7 % 12 for i in range(12)])) @ a) - 1e-9).mean()
+    assert abs(stats.permutation_p(noise, "k", "x", "y", 1000, 3).first().p - share) < 0.06
 
 
 def test_shuffled_regions_keep_how_many_sites_a_region_has(spark):
@@ -321,3 +337,107 @@ def test_sections(spark):
     pick = lambda keep, drop: [x.title for x in df.select(articles.selected(F.col("s"), keep, drop).alias("u")).first().u]
     assert pick(["History"], ["Access"]) == ["(導入)", "History"]
     assert pick(["History"], ["Hist", "導入"]) == ["Deep", "Access"]
+
+
+def test_medians_are_the_mean_of_the_middle_two(spark):
+    df = spark.createDataFrame([("g", float(x)) for x in (4, 1, 3, 2)] + [("h", 7.0), ("h", None), ("h", 1.0), ("h", 9.0), (None, 5.0)], "k string, v double").repartition(4)
+    assert {r.k: (r.median, r.n) for r in stats.medians(df, ["k"], "v").collect()} == {"g": (2.5, 4), "h": (7.0, 3), None: (5.0, 1)}
+    assert stats.medians(df, [], "v").first().median == 3.5
+
+
+def test_names_that_are_missing_count_for_nothing(spark):
+    from placelens.functions.text import best_similarity
+
+    rows = [([None], [None]), ([""], [""]), ([None, "abc"], ["abd", None]), (["ａｂ"], ["ab"]), (["x", "same"], ["same"]), (None, ["x"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    assert [round(r.s, 6) for r in df.select(best_similarity("a", "b").alias("s")).collect()] == [0.0, 0.0, round(2 / 3, 6), 1.0, 1.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    "names, want",
+    [({"a": "Hokkai", "b": "Other Hokkai Jingu Gate", "c": "Hokkai Jingu Gate"}, "a"), ({"a": "Hokkai Jingu Gate", "b": "Hokkai Jingu"}, "b"), ({"a": "", "b": "long unrelated name"}, "b"), ({"a": None, "b": ""}, "a"), ({"b": "xy", "a": "zz"}, "a"), ({"a": "Sapporo", "b": "x"}, "a")],
+)
+def test_representative(spark, names, want):
+    df = spark.createDataFrame([("u", k, n, "Hokkai Jingu (Sapporo)") for k, n in names.items()], "article string, k string, name string, title string")
+    for order in (df, df.orderBy(F.desc("k"))):
+        assert articles.representative(order, "article", "k", "name", "title").first().representative == want
+
+
+def test_classification_reads_normalised_names(spark):
+    df = spark.createDataFrame([(1, "x", ["ｽｻﾉｵ"], None), (2, "x", None, ["\u3000山\u3000王", "八幡  宮"]), (3, "ﾊﾁ 八幡", [None], [])], "i int, name string, members array<string>, groups array<string>")
+    got = [(r.label, r.basis) for r in classify.classified(df).orderBy("i").collect()]
+    assert got == [("gion_yasaka", "deity"), ("hachiman", "structured"), ("hachiman", "name")]
+
+
+def test_lines_that_block_or_warn(spark):
+    text = "-----BEGIN OPENSSH PRIVATE KEY-----\nAKIA" + "A1" * 8 + "\npassword = 'longer than 8'\ntoken: 'short'\nmytoken = 'not a word of its own'\nx = eval(y)\ncur.execute(\"a %s\" % b)\nfine"
+    got = [(r.line, r.level, r.finding) for r in eventlog.secret_lines(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t").orderBy("line").collect()]
+    assert got == [(1, "block", "private key"), (2, "block", "access key"), (3, "block", "written credential"), (6, "warn", "evaluates text"), (7, "warn", "joins text into a statement")]
+
+
+def test_stray_carriage_returns(spark):
+    df = spark.createDataFrame([(1, "a\r\nb"), (2, "a\rb hygiene-allow"), (3, "a\nb\r"), (4, "a\r\n")], "k int, text string")
+    assert {(r.k, r.line) for r in eventlog.hygiene(df, "k", "text").where("stray_cr").collect()} == {(2, 1), (3, 2)}
+
+
+def test_file_violations(spark):
+    schema = "file string, line long, event string, ts string, loop_id string, project string, failure_count long, target long"
+
+    def lines(file, *events, loop=None, project="p", **declared):
+        return [(file, i + 1, e, f"t{i:02d}", loop or file, project if isinstance(project, str) else project[i], declared.get("n") if e == "loop_end" else None, None) for i, e in enumerate(events)]
+
+    own = lines("good", "loop_start", "failure", "loop_end", n=1) + lines("name", "loop_start", loop="else") + lines("two", "loop_start", "commit", project=["p", "q"]) + lines("first", "commit")
+    own += lines("ends", "loop_start", "loop_end", "loop_end") + lines("count", "loop_start", "loop_end", n=2) + lines("after", "loop_start", "loop_end", "commit")
+    own += [("time", 1, "loop_start", "t9", "time", "p", None, None), ("time", 2, "commit", "t1", "time", "p", None, None)]
+    own += [("slot", 1, "loop_start", "t1", "slot", "p", None, None), ("slot", 2, "commit", "t2", "slot", "p", None, None), ("slot", 3, "loop_end", "t3", "slot", "p", 0, None), ("slot", 4, "correction", "t4", "slot", "p", None, 2), ("slot", 5, "commit", "t5", "slot", "p", None, None)]
+    own += [("gone", 1, "loop_start", "t1", "gone", "p", None, None), ("gone", 2, "correction", "t2", "gone", "p", None, 1)]
+    events = spark.createDataFrame(own, schema)
+    stay, _ = eventlog.corrected(events, "file", "line", "event", "target")
+    got = {(r.file, r.violation) for r in eventlog.file_violations(events, stay).collect()}
+    assert got == {
+        ("name", "loop id differs from the file name"), ("two", "several projects"), ("first", "does not begin with loop_start"), ("ends", "several ends"), ("ends", "records after the end"),
+        ("count", "declares another number of failures"), ("after", "records after the end"), ("time", "not in order of time"), ("gone", "no record is left"),
+    }
+
+
+def test_ids_and_leaks(spark):
+    ids = spark.createDataFrame([("jinja_n12",), ("jinja_x1",), ("jinja_w",), ("jinja_r1\n",), (None,)], "i string")
+    assert [r.ok for r in ids.select(records.valid_id(F.col("i")).alias("ok")).collect()] == [True, False, False, False, False]
+    rows = [(1, "x" * 299, {"body": "y" * 119, "vec": None, "scores": [0.1] * 31}, [{"t": "z" * 300}]), (2, "x" * 300, {"body": "y" * 120, "vec": [1.0], "scores": [0.1] * 32}, []), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, note string, meta struct<body:string,vec:array<double>,scores:array<double>>, list array<struct<t:string>>")
+    got = {(r.k, r.path, r.kind) for r in records.leaks(df, "k").collect()}
+    assert got == {(1, "list[].t", "text"), (2, "note", "text"), (2, "meta.body", "text"), (2, "meta.vec", "vector"), (2, "meta.scores", "vector")}
+
+
+def test_planes_of_prefectures(spark):
+    from placelens.functions import geo
+
+    assert sorted(len(x) for x in geo.PREFECTURES.values()) == [1, 1, 2, 2, 3, 4, 4, 4, 6, 6, 7, 7] and set(geo.PREFECTURES) == set(geo.PLANE_ORIGINS) == set(geo.PLANE_UTM)
+    for plane, (_, lon0) in geo.PLANE_ORIGINS.items():
+        assert (geo.PLANE_UTM[plane] - 6637) * 6 - 186 <= lon0 <= (geo.PLANE_UTM[plane] - 6637) * 6 - 180
+    df = spark.createDataFrame([(" 東京都 ",), ("nowhere",), (None,)], "p string")
+    assert [r.e for r in df.select(geo.prefecture_plane(F.col("p")).alias("e")).collect()] == [6677, None, None]
+
+
+def test_both_planes_find_the_same_segments(spark):
+    r = random.Random(62)
+    own = spark.createDataFrame([(f"s{i}", 139 + r.random() * 0.2, 35 + r.random() * 0.2) for i in range(40)], "site_id string, lon double, lat double")
+    lines = [(f"r{i}", x, y, x + 0.01, y + 0.01) for i, (x, y) in enumerate((139 + r.random() * 0.2, 35 + r.random() * 0.2) for _ in range(30))]
+    segments = spark.createDataFrame(lines, "name string, lon1 double, lat1 double, lon2 double, lat2 double")
+    plane, utm = (nearest.nearest_segment(own.withColumn("epsg", F.lit(e)), segments) for e in (6677, 6691))
+    got = nearest.agreement_of_paths(plane, utm).collect()
+    assert len(got) == 40 and all(x.agrees for x in got)
+
+
+def test_append_new_takes_up_where_it_stopped(spark, tmp_path):
+    path, rows_of = f"file://{tmp_path}/cache", lambda keys: spark.createDataFrame([(k, [1.0]) for k in keys], "key string, v array<double>")
+    assert [state.append_new(rows_of(x), path) for x in ("aab", "abc", "c")] == [2, 1, 0]
+    assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_stored_articles_under_another_title_are_stale(spark):
+    own = spark.createDataFrame([("a", "T"), ("b", "T"), ("c", "U"), ("d", None), ("e", "V")], "site_id string, title string")
+    stored = spark.createDataFrame([("a", "T", 1, "old"), ("c", "W", 2, "stale")], "site_id string, requested_title string, revision int, text string")
+    fetched = spark.createDataFrame([("T", 5, "new"), ("U", 6, "u"), ("V", None, None)], "title string, revision int, text string")
+    assert {(r.title, r.n_sites) for r in state.articles_to_fetch(own, stored).collect()} == {("T", 1), ("U", 1), ("V", 1)}
+    assert {(r.site_id, r.revision, r.how) for r in state.articles_of(own, stored, fetched).collect()} == {("a", 1, "cached"), ("b", 5, "fetched"), ("c", 6, "fetched")}

@@ -133,3 +133,30 @@ def test_snapshot_stream(spark, tmp_path):
         assert snapshots.maintain(stream, f"file://{tmp_path}/snap", f"{tmp_path}/cp", measure, like).awaitTermination(60)
     assert measured == [["a", "b"], ["b", "c"]]
     assert {(r.site_id, r.lon) for r in snapshots.version(spark, f"file://{tmp_path}/snap", 1, like).collect()} == {("a", 139.0), ("b", 140.0), ("c", 139.0)}
+
+
+def test_neighbour_lists_counts_and_sizes(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "13", ["b"]), ("b", "13", []), ("c", "26", None), ("d", "01", ["a", "b"])], "id string, code string, similar array<string>")
+    assert {r.code: r.n for r in sinks.write_neighbours(rows, f"{tmp_path}/similar", "id", "code", "similar").collect()} == {"13": 1, "01": 1}
+    assert {r.code for r in spark.read.json(f"{tmp_path}/similar").withColumn("code", F.col("code").cast("string")).collect()} == {"13", "1"}
+    index = sinks.index_of(rows.select(F.col("id").alias("site_id"), "code"), spark.createDataFrame([("old", "a")], "alias string, site_id string"), "site_id", "code")
+    assert {r.code: (r.n, r.n_aliases) for r in sinks.counts_of(index, "code").collect()} == {"13": (2, 1), "26": (1, 0), "01": (1, 0)}
+    (tmp_path / "doc.json").write_text("x" * 1000)
+    [size] = sinks.sizes(spark, f"{tmp_path}/doc.json").collect()
+    assert size.bytes == 1000 and size.gzip < 100
+
+
+def test_star_tables_have_a_mark_and_fixed_columns(spark, tmp_path):
+    sinks.write_star({"view_two_strike": spark.createDataFrame([("F1", 2, "more")], "code string, total int, zebra string").coalesce(1)}, str(tmp_path))
+    [part] = [x for x in (tmp_path / "view_two_strike").iterdir() if x.suffix == ".csv"]
+    assert part.read_bytes().decode("utf-8") == "\ufeffcode,total,needs_hc,has_hc_ref,zebra\nF1,2,,,more\n"
+
+
+def test_stamps_of_many_files_and_state_in_ranges(spark, tmp_path):
+    stamps = spark.createDataFrame([(f"p{i:03d}", f"h{i}") for i in range(50)], "path string, sha256 string")
+    first = sinks.stamp(stamps, 8).first()
+    assert first.n == 50 and first.stamp == sinks.stamp(stamps.repartition(7), 8).first().stamp != sinks.stamp(stamps.where("path <> 'p007'"), 8).first().stamp
+    sinks.write_state(stamps, f"{tmp_path}/state", "path", 4)
+    files = sorted(x for x in (tmp_path / "state").iterdir() if x.suffix == ".json")
+    lines = [json.loads(y)["path"] for x in files for y in x.read_text().splitlines()]
+    assert lines == sorted(lines) and len(lines) == 50 and len(files) > 1
