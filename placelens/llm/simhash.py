@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, id_col:
     least = cut(own.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     roots = connected_components(links(least.select("fingerprint"), budget))
     roots = least.join(roots, least["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    first = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written apart, so that the join with a component of many fingerprints can be split
+    first = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")), "first-of-components")
     by_print = roots.join(first, "root").select("fingerprint", "component_id")
     return own.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
 
@@ -371,7 +372,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = cut(least.withColumn("node", F.monotonically_increasing_id()), "distinct-codes")
     roots = connected_components(_similar_links(least.select("code", "node"), budget, total))
     roots = least.join(roots, "node", "left").select("code", "least", F.coalesce("root", "node").alias("root"))
-    first = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written apart, so that the join with a component of many codes can be split
+    first = cut(roots.groupBy("root").agg(F.min("least").alias("component_id")), "first-of-components")
     return own, cut(roots.join(first, "root").select("code", "component_id"), "components-of-codes")
 
 
