@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, point_segment_m, projected, utm_zone
-from ..sources.shared import cut
+from ..sources.shared import cut, dealt
 
 #: Cells of segments and half-width of a site's box in degrees, and the largest distance reported.
 SEGMENT_CELL, BOX, FAR_M = 0.15, 0.15, 10_000.0
@@ -46,7 +46,7 @@ def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT
     """
     zone = utm_zone(F.col("lon"))
     epsg = F.coalesce("epsg", zone) if "epsg" in sites.columns else zone
-    left = cut(sites.select("site_id", "lon", "lat", epsg.alias("epsg")).withColumn("p", projected(F.col("lon"), F.col("lat"), F.col("epsg"))), "sites")
+    left = cut(dealt(sites.select("site_id", "lon", "lat", epsg.alias("epsg")), "site_id").withColumn("p", projected(F.col("lon"), F.col("lat"), F.col("epsg"))), "sites")
     box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)]
     planes = [x for x in left.groupBy("epsg").agg(*box).collect() if x["min_lon"] is not None]  # at most 12 planes and 60 zones
     if not planes:

@@ -45,13 +45,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = candidates(spark, sf_dir).withColumns(
-        {
-            "names": F.array("name"), "item_names": F.array("label"), "aliases": F.array().cast("array<string>"), "item_aliases": F.array().cast("array<string>"),
-            "prefecture": F.format_string("n%02d", "region"), "municipality": F.lit(None).cast("string"), "admin": F.format_string("n%02d", "item_region"), "url": F.lit(None).cast("string"), "item_url": F.lit(None).cast("string"),
-        }
-    )
-    return matching.scored(own)
+    none, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
+    own = sites(spark, sf_dir).withColumns({"names": F.array("name"), "aliases": none, "prefecture": F.format_string("n%02d", "region"), "municipality": nothing, "url": nothing})
+    other = items(spark, sf_dir).withColumns({"item_names": F.array("label"), "item_aliases": none, "admin": F.format_string("n%02d", "item_region"), "item_url": nothing})
+    return matching.scored_candidates(own, other)
 
 
 @query(f"{_CAND} SELECT site_id, qid, round(d, 3) AS distance_m, round({score_sql('d')}, 6) AS geo FROM cand")

@@ -43,6 +43,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over as many tasks as a shuffle has, for joins that make many rows of each one.
+
+    Spark would leave a small table in the one task that reads it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables of ``cut`` that nothing will read again; other tables are left alone."""
     for table in tables:

@@ -57,7 +57,7 @@ def item_rows(spark, rows):
 def test_scores_and_best_match(spark):
     own = site_columns(sites(spark, [("s1", 139.0, 35.0, "abc", "node"), ("s2", 139.5, 35.5, "abc", "node")]))
     items = item_rows(spark, [("Q2", 139.0, 35.0, "abc"), ("Q1", 139.0, 35.0, "abc"), ("Q3", 140.5, 35.0, "abc")])
-    scored = matching.scored(matching.grid_candidates(own, items))
+    scored = matching.scored_candidates(own, items)
     got = {r.site_id: (r.qid, round(r.score, 6), r.decision) for r in matching.best_match(own, scored).collect()}
     assert got == {"s1": ("Q1", 0.8, "auto"), "s2": (None, 0.0, "separate")}
 
