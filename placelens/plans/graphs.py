@@ -72,7 +72,7 @@ def j12_typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir)
 
 
-@query(f"WITH {_JACCARD}, s AS (SELECT l.a, l.b, type, coalesce(jaccard, 0) AS jaccard, row_number() OVER (ORDER BY coalesce(jaccard, 0) DESC, l.a, l.b) AS rank FROM labels_of l LEFT JOIN j USING (a, b)) SELECT a, b, type, jaccard, rank <= (SELECT count(*) FROM labels_of WHERE type = 'identity') AS predicted FROM s")
+@query(f"WITH {_JACCARD}, s AS (SELECT l.a, l.b, l.type, coalesce(jaccard, 0) AS jaccard, row_number() OVER (ORDER BY coalesce(jaccard, 0) DESC, l.a, l.b) AS rank FROM labels_of l LEFT JOIN j USING (a, b)) SELECT a, b, type, jaccard, rank <= (SELECT count(*) FROM labels_of WHERE type = 'identity') AS predicted FROM s")
 def w4_predicted_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k labelled pairs of the largest Jaccard are predicted to be identities, k being how many there are."""
     own = labels(spark)
