@@ -60,4 +60,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
-ORACLES = {"op2_decontamination": _DECONTAMINATION, "op7_url_filter": _URLS, "op8_quality": _QUALITY}
+#: Unsigned CRC-32 of an ASCII text, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda k, z: CASE WHEN k & 1 = 1 THEN xor(3988292384::BIGINT, k >> 1) ELSE k >> 1 END)), 4294967295)"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}) || ':' || {x}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes (g, lvl, i, n, h) of the trees over leaves (g, i, n, h)."""
+    return f"""{name}(g, lvl, i, n, h) AS (SELECT g, 0, i, n, h FROM {leaves}
+  UNION ALL SELECT g, lvl + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lvl, i // 3)"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_field("source")} AS g, {_leaf("text")} AS h, CASE WHEN {_CRC.format(x="doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS broken FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS r FROM d),
+{_tree("t", "p")},
+s AS (SELECT t.g, t.h, t.lvl FROM t WHERE n = 1),
+q AS (SELECT 0 AS g, s.g AS name, row_number() OVER (ORDER BY o.source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, s.h FROM s JOIN (SELECT DISTINCT g, source FROM p) o ON o.g = s.g),
+{_tree("u", "q")},
+steps AS (SELECT r, t.lvl AS lvl, string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < p.i // pow(3, t.lvl)::BIGINT) AS a, string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > p.i // pow(3, t.lvl)::BIGINT) AS b
+  FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.i // 3 = p.i // pow(3, t.lvl + 1)::BIGINT GROUP BY r, t.lvl
+  UNION ALL SELECT r, 1000 + u.lvl, string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < q.i // pow(3, u.lvl)::BIGINT), string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > q.i // pow(3, u.lvl)::BIGINT)
+  FROM p JOIN q ON q.name = p.g JOIN u ON u.n > 1 AND u.i // 3 = q.i // pow(3, u.lvl + 1)::BIGINT GROUP BY r, u.lvl),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k FROM steps),
+proof AS (SELECT r, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY k) AS x FROM k GROUP BY r),
+f(r, k, h) AS (SELECT r, 0, coalesce(broken, h) FROM p UNION ALL SELECT f.r, f.k + 1, sha256(coalesce(a, '') || f.h || coalesce(b, '')) FROM f JOIN k ON k.r = f.r AND k.k = f.k + 1)
+SELECT p.doc_id, p.h AS leaf, q.h AS subroot, root.h AS root, sha256(coalesce(proof.x, '')) AS proof_sha256, top.h AS folded_root, top.h = root.h AS verified
+FROM p JOIN q ON q.name = p.g CROSS JOIN (SELECT h FROM u WHERE n = 1) AS root LEFT JOIN proof ON proof.r = p.r
+JOIN (SELECT r, arg_max(h, k) AS h FROM f GROUP BY r) AS top ON top.r = p.r
+"""
+
+_TRIE = rf"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, {_CRC.format(x="conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base FROM o GROUP BY conv_id),
+r AS (SELECT c.conv_id, o.i AS d, role, text FROM c JOIN o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, o.i + 1000000, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+s AS (SELECT c.conv_id, coalesce(x, []) AS s FROM c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY d) AS x FROM r GROUP BY conv_id) USING (conv_id)),
+p AS (SELECT conv_id, d, s[1:d] AS pre, len(s) AS n FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+node AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(list_filter(string_split_regex(pre[d].text, '[ 	-]+'), lambda y: y <> '')) END AS words FROM p GROUP BY d, pre),
+up AS (SELECT *, row_number() OVER () AS id FROM node),
+kids AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT up.*, coalesce(k, 0) AS k FROM up LEFT JOIN kids ON kids.d = up.d AND kids.pre = up.pre),
+subtree AS (SELECT a AS d, pre[1:a] AS pre, count(*) FILTER (k = 0) AS leaves, sum((n - 1) * words) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, CAST(x.k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN subtree ON subtree.d = x.d AND subtree.pre = x.pre LEFT JOIN node y ON y.d = x.d - 1 AND y.pre = x.pre[1:x.d - 1]
+"""
+
+ORACLES = {"op12_merkle": _MERKLE, "op13_conversation_trie": _TRIE, "op2_decontamination": _DECONTAMINATION, "op7_url_filter": _URLS, "op8_quality": _QUALITY}

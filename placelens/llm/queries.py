@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, pii, quality, secrets, simhash, token_counts, token_output, url_filter
+from . import bpe, classifier, conversation_trie, decontamination, line_dedup, merkle, pii, quality, secrets, simhash, token_counts, token_output, url_filter
 from .oracles import ORACLES
 
 RULES = [url_filter.Rule(*x.split(" ")) for x in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
@@ -79,8 +79,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), own.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), scores.alias("scores"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.COLUMNS)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    broken = F.when(chosen, merkle.leaf(*[F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.COLUMNS]))
+    found = merkle.manifest(docs, {"broken": broken}).withColumn("folded", merkle.folded(F.coalesce("broken", "leaf"), F.col("path")))
+    text = lambda c: F.lower(F.hex(c))
+    digests = [text(c).alias(c) for c in ("leaf", "subroot", "root")]
+    return found.select("doc_id", *digests, F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_decontamination, op3_simhash, op4_bpe, op5_line_dedup, op6_secrets, op7_url_filter, op8_quality, op9_token_files, op10_pii)
+    own = (op1_token_counts, op2_decontamination, op3_simhash, op4_bpe, op5_line_dedup, op6_secrets, op7_url_filter, op8_quality, op9_token_files, op10_pii, op11_quality_classifier, op12_merkle, op13_conversation_trie)
     return {f.__name__: f for f in own}
 
 
