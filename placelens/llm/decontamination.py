@@ -4,14 +4,18 @@ Of each run of ``window`` words only the smallest of its k-gram hashes is kept
 as a fingerprint.  Two texts that share ``window`` consecutive words share all
 k-grams of that stretch and so its smallest hash: every shared stretch of that
 length shows as an equal fingerprint.  Fingerprints of documents and of
-benchmark items meet in a join that keeps their places; each hit is then
-extended to both sides on the words themselves, so that hashes never decide.
+benchmark items meet in a join that keeps the places in the document; each hit
+is then extended to both sides as far as windows of the item follow, compared
+by words, so that hashes never decide.
+
+A run of neighbouring fingerprints that are equal, as repeated words give, is
+one hit, and hits are not paired with the places in the item: work and memory
+grow with the length of the texts, whatever repeats in them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +28,6 @@ from .batches import mix, run_hashes, slices, text_bytes
 
 #: Words of a k-gram, and words of a window.
 K, WINDOW = 5, 13
-#: A side of a join is broadcast only if it has been measured to be smaller than this many rows or bytes.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 #: Lower-cases A-Z; what is no part of a word becomes zero.
 _LETTERS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], np.uint8)
@@ -88,8 +90,18 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> t
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def hit_runs(owner: np.ndarray, place: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first place, last place, fingerprint) of the runs of neighbouring equal fingerprints of a text."""
+    if not len(prints):
+        return owner, place, place, prints
+    new = np.ones(len(prints), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (prints[1:] != prints[:-1]) | (place[1:] <= place[:-1])
+    starts = np.flatnonzero(new)
+    return owner[starts], place[starts], place[np.append(starts[1:], len(prints)) - 1], prints[starts]
+
+
 def _fingerprint_rows(rows: DataFrame, lengths: list[int] | None, window: int) -> DataFrame:
-    """Columns of a table (..., text) but the text, with place and print.
+    """Columns of a table (..., text) but the text, with first, last and print of each run of equal fingerprints.
 
     Without ``lengths`` each text is cut to windows of its own length, at most ``window``.
     """
@@ -106,41 +118,65 @@ def _fingerprint_rows(rows: DataFrame, lengths: list[int] | None, window: int) -
                     owner, place, prints = map(np.concatenate, zip(*found)) if found else fingerprints(data, offsets, [])
                 else:
                     owner, place, prints = fingerprints(data, offsets, lengths)
+                owner, first, last, prints = hit_runs(owner, place, prints)
                 kept = [part.column(c).take(pa.array(owner)) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(place.astype(np.int32)), pa.array(prints.view(np.int64))], [*names, "place", "print"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(prints.view(np.int64))], [*names, "first", "last", "print"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, place int, print long")
-
-
-def extended(doc: np.ndarray, item: np.ndarray, hits: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Runs of at least ``length`` equal words around the hits (place in the document, place in the item), end exclusive."""
-    out = []
-    by_shift = defaultdict(list)
-    for at, of in hits.tolist():
-        by_shift[at - of].append(at)
-    for shift, places in by_shift.items():
-        low, high = max(0, shift), min(len(doc), shift + len(item))
-        other = np.flatnonzero(doc[low:high] != item[low - shift : high - shift]) + low
-        bounds = np.concatenate([[low - 1], other, [high]])  # where a run ends on either side
-        right = np.unique(np.searchsorted(bounds, [x for x in places if low <= x < high]))
-        out += [(int(a) + 1, int(b)) for a, b in zip(bounds[right - 1], bounds[right]) if b - a - 1 >= length]
+    return rows.mapInArrow(run, f"{kinds}, first int, last int, print long")
+
+
+def window_names(tokens: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of ``length`` tokens; two windows have the same one only if all their tokens are equal.
+
+    Windows of twice the length are pairs of windows; the last pair overlaps.
+    """
+    names, span = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
+    while span < length and len(names):
+        step = min(span, length - span)
+        names = names[:-step] * (int(names.max()) + 1) + names[step:]
+        names, span = np.unique(names, return_inverse=True)[1].astype(np.int64), span + step
+    return names
+
+
+def _occurring(doc: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[list[tuple[int, int]]]:
+    """For each item (its words, and hits: first and last place in the document) the spans of ``doc`` that its windows of ``length`` cover around a hit."""
+    count = len(doc) - length + 1
+    if count <= 0:
+        return [[] for _ in others]
+    ends = -2 - np.arange(len(others) + 1)  # keep windows across two texts apart from all others
+    pieces = [doc, ends[:1]]
+    for i, (words_, _) in enumerate(others):
+        pieces += [words_, ends[i + 1 : i + 2]]
+    names = window_names(np.concatenate(pieces), length)
+    own, at, out = names[:count], len(doc) + 1, []
+    for words_, hits in others:
+        same = np.isin(own, names[at : at + len(words_) - length + 1])
+        at += len(words_) + 1
+        near = np.zeros(count + 1, np.int64)  # windows that hold the k-gram of a hit
+        np.add.at(near, np.clip(hits[:, 0] - (length - min(K, length)), 0, count), 1)
+        np.add.at(near, np.clip(hits[:, 1] + 1, 0, count), -1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        held = np.concatenate([[0], np.cumsum(same & (np.cumsum(near)[:-1] > 0))])
+        out.append([(int(a), int(b) + length - 1) for a, b in zip(edges[::2], edges[1::2]) if held[b] > held[a]])
     return out
 
 
 def hit_words(doc: list[bytes], items: list[tuple[str, list[bytes], np.ndarray]], window: int = WINDOW) -> tuple[list[tuple[int, int]], list[str]]:
     """Spans of words of ``doc`` inside an occurrence of a window of an item, merged, and the items that occur.
 
-    ``items``: name, words and hits (place in the document, place in the item).
+    ``items``: name, words and hits (first and last place of a run in the document).
     """
     numbers: dict[bytes, int] = {}
     own = np.array([numbers.setdefault(x, len(numbers)) for x in doc], np.int64)
     found, runs = [], []
-    for name, other, hits in items:
-        same = extended(own, np.array([numbers.get(x, -1) for x in other], np.int64), hits, min(window, len(other)))
-        if same:
-            found.append(name)
-            runs += same
+    for length in sorted({min(window, len(other)) for _, other, _ in items}):
+        group = [x for x in items if min(window, len(x[1])) == length]
+        others = [(np.array([numbers.get(x, -1) for x in other], np.int64), hits) for _, other, hits in group]
+        for (name, _, _), spans in zip(group, _occurring(own, others, length)):
+            if spans:
+                found.append(name)
+                runs += spans
     spans: list[tuple[int, int]] = []
     for a, b in sorted(runs):
         if spans and a <= spans[-1][1]:
@@ -162,28 +198,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     item id count as one item; rows of one document id, null included, each get
     their own row.  Repeated rows get equal results.  Empty tables give no rows
     or no hits.  Other columns are ignored, whatever their names.  Memory holds
-    about a megabyte of texts, or one longer text, and the items that it meets.
+    about a megabyte of texts, or one longer text, and the items that it meets;
+    a text of one repeated word, or of any period, costs no more than another.
 
-    Fingerprints of the benchmark are broadcast while they are fewer than
-    ``BROADCAST_ROWS``, candidates while their texts take less than
-    ``BROADCAST_BYTES``; beyond that the joins shuffle, and a hot fingerprint
-    can be split like any skewed join, since only places leave the join.
+    Spark chooses how to join the fingerprints of the benchmark and the
+    candidates; a hot fingerprint can be split like any skewed join, since only
+    places leave the join.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item_text"))
     # rows of one item are told apart by their texts
     items = cut(items.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
-    prints = cut(_fingerprint_rows(items.select("row", F.col("item_text").alias("text")), None, window).withColumnRenamed("place", "of"), "item-prints")
+    prints = cut(_fingerprint_rows(items.select("row", F.col("item_text").alias("text")), None, window).select("row", "print").distinct(), "item-prints")
     n_words = F.array_size(F.filter(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != ""))
     lengths = sorted(x[0] for x in items.select(F.least(n_words, F.lit(window))).distinct().collect() if x[0])
-    small_prints = F.broadcast(prints) if prints.count() <= BROADCAST_ROWS else prints
-    small_items = F.broadcast(items) if (items.select(F.sum(F.octet_length("item_text") + 100)).first()[0] or 0) <= BROADCAST_BYTES else items
-    met = _fingerprint_rows(own, lengths, window).join(small_prints, "print")
-    met = met.groupBy("id", "version", "row").agg(F.collect_set(F.struct(F.col("place").alias("at"), "of")).alias("hits"))
+    met = _fingerprint_rows(own, lengths, window).join(prints, "print")
+    met = met.groupBy("id", "version", "row").agg(F.collect_set(F.struct("first", "last")).alias("hits"))
     each = F.struct("item", "item_text", "hits")
-    candidates = cut(met.join(small_items, "row").groupBy("id", "version").agg(F.collect_list(each).alias("items")), "candidates")
-    size = candidates.select(F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["item_text"]) + 100 + 8 * F.size(x["hits"])))).first()[0] or 0
+    candidates = cut(met.join(items, "row").groupBy("id", "version").agg(F.collect_list(each).alias("items")), "candidates")
     discard(items, prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                 found: list[list] = [[] for _ in counts]
                 near = part.column("items")
                 for i in np.flatnonzero(near.is_valid().to_numpy(zero_copy_only=False)):
-                    own = [(x["item"], words(x["item_text"]), np.array([(h["at"], h["of"]) for h in x["hits"]])) for x in near[i].as_py()]
+                    own = [(x["item"], words(x["item_text"]), np.array([(h["first"], h["last"]) for h in x["hits"]])) for x in near[i].as_py()]
                     got, names = hit_words(words(part.column("text")[i].as_py()), own, window)
                     spans[i] = [{"start": a, "end": b} for a, b in got]
                     found[i] = sorted(set(names))
@@ -203,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     near = candidates.withColumnsRenamed({"id": "near", "version": "near_version"})
     met = own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"])
-    joined = own.join(F.broadcast(near) if size <= BROADCAST_BYTES else near, met, "left").select("id", "text", "items")
+    joined = own.join(near, met, "left").select("id", "text", "items")
     out = joined.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "hit_spans", "item_ids")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,11 +101,14 @@ def brute_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
-        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+@pytest.fixture(params=["10m", "-1"])
+def broadcast_up_to(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decontamination_against_brute_force(spark, broadcast_up_to):
     items = [(i, x) for i, x in enumerate(noise(3, 12, 40))] + [(90, None), (91, "Rare PAIR"), (92, "one"), (93, "!!"), (90, "the cat sat on the mat the")]
     r = random.Random(4)
     texts = ODD + noise(5, 30)
@@ -120,6 +124,30 @@ def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
     assert all(sum(s["end"] - s["start"] for s in r["hit_spans"]) == r["n_hit"] for r in got)
 
 
+def test_repeated_words_cost_no_more_than_others(spark):
+    """Runs and periods of words on both sides: their places are never paired."""
+    texts = ["a " * 500_000, "a b " * 250_000, "x a b c " * 125_000, "a b c " * 160_000 + "end", ("one two three four five six seven " * 9 + "gap ") * 3000]
+    items = [("run", "a " * 300), ("two", "b a " * 100), ("three", "c a b " * 60), ("seven", "six seven one two three four five " * 20), ("none", "z " * 300)]
+    start = time.time()
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = rows(decontamination.contamination(table(spark, texts), bench))
+    assert [(r["n_words"], r["n_hit"], r["item_ids"]) for r in got] == [
+        (500_000, 500_000, ["run"]), (500_000, 500_000, ["two"]), (500_000, 0, []), (480_001, 480_000, ["three"]), (192_000, 189_000, ["seven"])
+    ]
+    assert time.time() - start < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 14))
+def test_window_names_are_those_of_equal_windows(tokens, length):
+    names = decontamination.window_names(np.array(tokens, np.int64), length).tolist()
+    windows = [tuple(tokens[i : i + length]) for i in range(len(tokens) - length + 1)]
+    assert len(names) == max(len(windows), 0) if len(tokens) >= length else True
+    for a, x in zip(windows, names):
+        for b, y in zip(windows, names):
+            assert (a == b) == (x == y)
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not words:
@@ -274,10 +302,7 @@ def brute_line_dedup(texts):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_line_dedup_against_brute_force(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+def test_line_dedup_against_brute_force(spark, broadcast_up_to):
     r = random.Random(8)
     passages = [[" ".join(noise(100 + i, 1, 12)).replace("\n", " ") + f" {i} {j}" for j in range(9)] for i in range(4)]
     texts = list(ODD)
