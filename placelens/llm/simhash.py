@@ -223,7 +223,7 @@ def _node_pairs(prints: DataFrame, budget: int, bits: int, depth: int) -> DataFr
         done = small if done is None else done.union(small)
         large = pairs.where(~fits)
         if depth >= bits - STEP or large.isEmpty():
-            return done.select("trie", "depth", "a", "b")
+            return done.select("trie", "depth", "a", "b", "n", "m")
         depth += STEP
         nodes = prints.groupBy("trie", _prefix(depth).alias("node")).agg(F.count("*").alias("n"))
         level = cut(nodes.withColumn("up", F.shiftright("node", STEP)), "nodes")
@@ -235,19 +235,30 @@ def _node_pairs(prints: DataFrame, budget: int, bits: int, depth: int) -> DataFr
 
 
 def _tasks(prints: DataFrame, budget: int, bits: int, carried: list[str], depth: int = 0) -> DataFrame | None:
-    """(trie, depth, a, b, x, y): each small pair of nodes with what is below them; y is null where both are one."""
+    """(trie, depth, a, b, x, y): each small pair of nodes with what is below them; y is null where both are one.
+
+    A node that is too large at the last level is dealt into parts, and each
+    part meets each other one in a task of its own.
+    """
     pairs = cut(_node_pairs(prints, budget, bits, depth), "tasks")
     depths = [x[0] for x in pairs.select("depth").distinct().collect()]  # at most 16
     if not depths:
         return None
-    wanted = pairs.select("trie", "depth", F.col("a").alias("head")).union(pairs.select("trie", "depth", F.col("b").alias("head"))).distinct()
+    parts = lambda n: F.when(F.col(n) <= TASK_FINGERPRINTS, 1).otherwise(F.ceil(2 * F.col(n) / TASK_FINGERPRINTS))
+    heads = [pairs.select("trie", "depth", F.col(c).alias("head"), parts(n).cast("long").alias("parts")) for c, n in (("a", "n"), ("b", "m"))]
+    wanted = heads[0].union(heads[1]).distinct()
     at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("head")) for d in depths]))
-    below = prints.select("trie", *carried, at.alias("at")).select("trie", *carried, "at.depth", "at.head").join(wanted, ["trie", "depth", "head"], "left_semi")
-    below = cut(below.groupBy("trie", "depth", "head").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("prints")), "nodes-of-tasks")
-    first = below.select("trie", "depth", F.col("head").alias("a"), F.col("prints").alias("x"))
-    second = below.select("trie", "depth", F.col("head").alias("b"), F.col("prints").alias("y"))
-    one = pairs.where("a = b").join(first, ["trie", "depth", "a"]).select("trie", "depth", "a", "b", "x", F.lit(None).cast(below.schema["prints"].dataType).alias("y"))
-    two = pairs.where("a < b").join(first, ["trie", "depth", "a"]).join(second, ["trie", "depth", "b"])
+    below = prints.select("trie", *carried, at.alias("at")).select("trie", *carried, "at.depth", "at.head").join(wanted, ["trie", "depth", "head"])
+    part = F.pmod(F.xxhash64(*carried), F.col("parts"))
+    below = below.groupBy("trie", "depth", "head", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("prints"))
+    below = cut(below, "nodes-of-tasks")
+    each = pairs.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), parts("n").cast("long") - 1)))
+    each = each.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), parts("m").cast("long") - 1))).where("a < b or p <= q")
+    first = below.select("trie", "depth", F.col("head").alias("a"), F.col("part").alias("p"), F.col("prints").alias("x"))
+    second = below.select("trie", "depth", F.col("head").alias("b"), F.col("part").alias("q"), F.col("prints").alias("y"))
+    alone = (F.col("a") == F.col("b")) & (F.col("p") == F.col("q"))
+    one = each.where(alone).join(first, ["trie", "depth", "a", "p"]).select("trie", "depth", "a", "b", "x", F.lit(None).cast(below.schema["prints"].dataType).alias("y"))
+    two = each.where(~alone).join(first, ["trie", "depth", "a", "p"]).join(second, ["trie", "depth", "b", "q"])
     return one.union(two.select("trie", "depth", "a", "b", "x", "y"))
 
 
@@ -354,10 +365,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that about 19 of 20 such pairs meet in one.
     component_id is the smallest id that links reach.
 
-    Equal codes are one node.  Of a node of a trie that a task can't hold,
-    parts are linked first and then stand for what they link; a link that only
-    other members of two parts have is left to the other tries.  Nulls, ids,
-    empty tables and other columns are treated as in ``near_duplicates``.
+    Equal codes are one node.  A node of a trie that a task can't hold is dealt
+    into parts of which each meets each other one, so no link depends on the
+    size of the table.  Nulls, ids, empty tables and other columns are treated
+    as in ``near_duplicates``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,43 +401,6 @@ def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
 
     carried = ["fingerprint", "rest", "node"]
     prints = cut(codes.mapInArrow(branches, "trie int, fingerprint long, rest long, node long"), "tries")
-    edges = None
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each part of a node, and the first of what they link: (trie, fingerprint, rest, node, a, b); an edge or a row for the trie."""
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = [batch.column("prints")[row].values.field(c).to_numpy(zero_copy_only=False) for c in carried]
-                found = list(_linked(np.stack(own[:2], axis=1).view(np.uint64), np.arange(len(own[0])), None, total))
-                found = tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2
-                first = np.setdiff1d(np.arange(len(own[0])), found[1])
-                empty, n, m = (lambda k: pa.nulls(k, pa.int64())), len(found[0]), len(first)
-                tries = pa.array(np.full(n + m, batch.column("trie")[row].as_py(), np.int32))
-                keys = [pa.concat_arrays([empty(n), pa.array(x[first])]) for x in own]
-                ends = [pa.concat_arrays([pa.array(own[2][x]), empty(m)]) for x in found]
-                yield pa.RecordBatch.from_arrays([tries, *keys, *ends], ["trie", *carried, "a", "b"])
-
-    while True:
-        lead = BRANCH // PARTS
-        crowded = prints.groupBy("trie", _prefix(lead).alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS)
-        crowded = cut(crowded.select("trie", "lead"), "crowded-nodes")
-        if crowded.isEmpty():
-            break
-        counts = prints.withColumn("lead", _prefix(lead)).join(crowded, ["trie", "lead"], "left_semi").groupBy("trie", _prefix(BRANCH).alias("head"))
-        counts = cut(counts.agg(F.count("*").alias("n")).where(F.col("n") > TASK_FINGERPRINTS), "large-nodes")
-        before = counts.agg(F.sum("n")).first()[0]
-        if not before:
-            break
-        headed = prints.withColumn("head", _prefix(BRANCH))
-        part = F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("n") / TASK_FINGERPRINTS))
-        lists = headed.join(counts, ["trie", "head"]).groupBy("trie", "head", part.alias("part")).agg(F.collect_list(F.struct(*carried)).alias("prints"))
-        done = cut(lists.select("trie", "prints").mapInArrow(inside, "trie int, fingerprint long, rest long, node long, a long, b long"), "parts-of-nodes")
-        new = done.where("a is not null").select("a", "b")
-        edges = new if edges is None else edges.union(new)
-        kept = headed.join(counts, ["trie", "head"], "left_anti").drop("head").unionByName(done.where("a is null").drop("a", "b"))
-        prints = cut(kept, "tries")
-        if done.where("a is null").count() > 0.9 * before:
-            break  # little is linked inside: these nodes hold texts that are not alike
     rows = _tasks(prints, budget, BRANCH, carried, BRANCH // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +414,6 @@ def _similar_links(codes: DataFrame, budget: int, total: int) -> DataFrame:
                     ends = np.array(forest(x, y), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    if rows is not None:
-        new = rows.mapInArrow(run, "a long, b long")
-        edges = new if edges is None else edges.union(new)
-    return edges if edges is not None else codes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if rows is None:
+        return codes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return rows.mapInArrow(run, "a long, b long")

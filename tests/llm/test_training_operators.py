@@ -247,6 +247,23 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, most, pairwise):
     assert all(a >= b for a, b in zip(got, brute_similar(texts, 0.6)))  # nothing is linked that is far apart
 
 
+def test_parts_of_a_large_node_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each like the one before only, and links between parts of a node."""
+    r = random.Random(91)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(70):
+        for _ in range(3):
+            words[r.randrange(400)] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    got = []
+    for most in (8192, 5):
+        monkeypatch.setattr(simhash, "TASK_FINGERPRINTS", most)
+        own, groups = simhash.similar_texts(table(spark, texts))
+        got.append([r["component_id"] for r in rows(own.join(groups, "code"))])
+    assert got[0] == got[1] and max(map(got[0].count, got[0])) > 10
+
+
 def test_walks_link_what_all_pairs_link():
     r = np.random.default_rng(5)
     for n, total in ((1, 3), (40, 14), (60, 18), (80, 24)):
