@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from placelens.llm import bpe, decontamination, line_dedup, quality, simhash
 from placelens.sources.shared import cut
 
-#: Keys of contaminated documents, of about 150 bytes, are broadcast up to so many; beyond it the documents are shuffled to them.
-BROADCAST_ROWS = 200_000
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule go, row by row; null and empty texts break one.  No shuffle, texts of any length stay one row."""
@@ -50,8 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = decontamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
     dirty = found.where(decontamination.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("dirty"))
     dirty = cut(dirty, "contaminated")
-    small = F.broadcast(dirty) if dirty.count() <= BROADCAST_ROWS else dirty
-    return rows.join(small, rows["key"] == small["dirty"], "left_anti").select("row.*")
+    return rows.join(dirty, rows["key"] == dirty["dirty"], "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
