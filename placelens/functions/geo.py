@@ -60,12 +60,18 @@ PLANE_ORIGINS = {
 }
 
 
-#: The prefectures of each plane system, and the UTM system (zones 52 to 54 on the same ellipsoid) that checks it.
+#: The plane system of each prefecture, from north to south.
 PREFECTURES = {
-    6669: ("山口県", "長崎県"), 6670: ("福岡県", "佐賀県", "熊本県", "大分県", "宮崎県", "鹿児島県"), 6671: ("島根県", "広島県"), 6672: ("徳島県", "香川県", "愛媛県", "高知県"),
-    6673: ("兵庫県", "鳥取県", "岡山県"), 6674: ("福井県", "三重県", "滋賀県", "京都府", "大阪府", "奈良県", "和歌山県"), 6675: ("富山県", "石川県", "岐阜県", "愛知県"), 6676: ("山梨県", "長野県", "新潟県", "静岡県"),
-    6677: ("茨城県", "栃木県", "群馬県", "埼玉県", "千葉県", "東京都", "神奈川県"), 6678: ("青森県", "岩手県", "宮城県", "秋田県", "山形県", "福島県"), 6680: ("北海道",), 6683: ("沖縄県",),
+    "北海道": 6680,
+    "青森県": 6678, "岩手県": 6678, "宮城県": 6678, "秋田県": 6678, "山形県": 6678, "福島県": 6678,
+    "茨城県": 6677, "栃木県": 6677, "群馬県": 6677, "埼玉県": 6677, "千葉県": 6677, "東京都": 6677, "神奈川県": 6677,
+    "新潟県": 6676, "富山県": 6675, "石川県": 6675, "福井県": 6674, "山梨県": 6676, "長野県": 6676, "岐阜県": 6675, "静岡県": 6676, "愛知県": 6675,
+    "三重県": 6674, "滋賀県": 6674, "京都府": 6674, "大阪府": 6674, "兵庫県": 6673, "奈良県": 6674, "和歌山県": 6674,
+    "鳥取県": 6673, "島根県": 6671, "岡山県": 6673, "広島県": 6671, "山口県": 6669,
+    "徳島県": 6672, "香川県": 6672, "愛媛県": 6672, "高知県": 6672,
+    "福岡県": 6670, "佐賀県": 6670, "長崎県": 6669, "熊本県": 6670, "大分県": 6670, "宮崎県": 6670, "鹿児島県": 6670, "沖縄県": 6683,
 }
+#: The UTM system (zones 52 to 54 on the same ellipsoid) that checks a plane system.
 PLANE_UTM = {6669: 6689, 6670: 6689, 6671: 6690, 6672: 6690, 6673: 6690, 6674: 6690, 6675: 6690, 6676: 6691, 6677: 6691, 6678: 6691, 6680: 6691, 6683: 6689}
 
 
@@ -76,7 +82,7 @@ def _looked_up(key: Column, table: dict, kind: str) -> Column:
 
 def prefecture_plane(prefecture: Column) -> Column:
     """EPSG code of a prefecture's plane system; null for an unknown name, never guessed."""
-    return _looked_up(F.btrim(prefecture), {name: epsg for epsg, names in PREFECTURES.items() for name in names}, "int")
+    return _looked_up(F.btrim(prefecture), PREFECTURES, "int")
 
 
 def plane_utm(epsg: Column) -> Column:

@@ -108,19 +108,23 @@ def ring(edges: DataFrame, most: int = 14, radius: float = 320.0, types: tuple[s
     """Neighbours of each node on a ring: in order of type, weight and id the first ``most``, with place, position and how many there are in all."""
     order = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
     own = neighbours(edges).withColumn("_o", F.when(order > 0, order).otherwise(len(types) + 1))
-    place = F.row_number().over(Window.partitionBy("centre").orderBy("_o", F.desc("w"), "other")) - 1
-    near = own.withColumn("place", place).where(F.col("place") < most)
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy("_o", F.desc("w"), "other"))
+    # a bound on the rank itself lets each task keep the first ones of a hub before they are sent
+    near = own.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("place", F.col("rank") - 1)
     total = own.groupBy("centre").agg(F.count("*").alias("total"))
     angle = 2 * F.pi() * F.col("place") / F.least("total", F.lit(most).cast("long")) - F.pi() / 2
     return near.join(total, "centre").select("centre", "other", "w", "type", "place", "total", F.round(radius * F.cos(angle), 4).alias("x"), F.round(radius * F.sin(angle), 4).alias("y"))
 
 
 def induced_edges(ring_rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges among the members of each ego graph: (centre, a, b, w, type)."""
-    members = ring_rows.select("centre", F.col("other").alias("m")).union(ring_rows.select("centre", F.col("centre").alias("m")).distinct())
-    first = members.withColumnRenamed("m", "a")
-    second = members.withColumnRenamed("m", "b")
-    return first.join(edges, "a").join(second, ["centre", "b"]).select("centre", "a", "b", "w", "type")
+    """Edges (a < b) among the members of each ego graph: (centre, a, b, w, type).
+
+    A ring is short, so its pairs of members are few and meet the edges by both
+    ends; a hub's edges are never repeated for the rings that it stands in.
+    """
+    own = ring_rows.groupBy("centre").agg(F.array_sort(F.array_union(F.collect_set("other"), F.array("centre"))).alias("m"))
+    pairs = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return own.select("centre", F.explode(F.flatten(pairs)).alias("p")).select("centre", "p.a", "p.b").join(edges, ["a", "b"]).select("centre", "a", "b", "w", "type")
 
 
 def selected_regions(selected: DataFrame, lifts: DataFrame, most: int, floor: int) -> DataFrame:

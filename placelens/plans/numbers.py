@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats, vectors
+from ..operators import density, similar, stats, vectors
+from ..sources.shared import cut
 from .base import query, table
 
 _PS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -124,14 +125,14 @@ _SIMILAR = f"WITH {_LONG}, dots AS (SELECT x.vec_id, y.vec_id AS other, round(su
 
 @query(f"{_SIMILAR} SELECT vec_id, other, score, rank FROM top")
 def m4_w6_top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    return similar.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
 
 
 @query(f"{_SIMILAR} SELECT vec_id, count(*) FILTER (a.label = b.label AND a.label <> -1) AS same_cluster, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rank) AS others FROM top JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = other GROUP BY 1")
 def j14_q2_similar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of each row with how many share its cluster; noise never does."""
     own = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    top = vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    top = similar.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
     both = top.join(own, "vec_id").join(own.toDF("other", "label_of_other"), "other")
     same = (F.col("label") == F.col("label_of_other")) & (F.col("label") != -1)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"].cast("string")), ",")
@@ -143,7 +144,7 @@ def q2_w13_shared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each neighbour the entries that are among the first three of both, in the row's own order."""
     own = scores(spark, sf_dir).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.round("score", 9)))).alias("s"))
     own = own.select("vec_id", vectors.top_entries(F.col("s"), 3).alias("t"))
-    top = vectors.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    top = similar.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
     both = top.join(own, "vec_id").join(own.toDF("other", "t_other"), "other")
     shared = F.transform(vectors.shared_top(F.col("t"), F.col("t_other")), lambda x: x.cast("string"))
     return both.select("vec_id", "rank", "other", F.array_join(shared, ",").alias("shared"))
@@ -174,6 +175,26 @@ def m12_density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.density_clusters(similar, own, "vec_id", 0.5)
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of vectors of length one with their distances."""
+    near = similar.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    return near.withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))))
+
+
+@query(f"{_SIMILAR} SELECT vec_id, round(sqrt(greatest(0, 2 - 2 * score)), 6) AS core FROM top WHERE rank = 4")
+def m12_core_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the fifth nearest vector, the vector itself counted."""
+    return density.core_distances(_neighbours(spark, sf_dir), "vec_id").select("vec_id", F.round("core", 6).alias("core"))
+
+
+@query()
+def m12_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and probability of each vector from the condensed tree over mutual reachability."""
+    near = cut(_neighbours(spark, sf_dir), "neighbours")
+    found = density.density_hierarchy(near, table(spark, sf_dir, "embeddings"), "vec_id")
+    return found.select("vec_id", "cluster", F.round("probability", 6).alias("probability"))
+
+
 @query("WITH e AS (SELECT event_id, value, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events) SELECT event_id, CAST(least(greatest(floor((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 5), 0), 4) AS INT) AS bin FROM e")
 def g26_g27_q5_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values scaled to 0..1 between the extremes and binned in five."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +143,45 @@ def tile_elevations(tiles: DataFrame) -> DataFrame:
     return pixels.select("layer", "x", "y", "px", "py", elevation(F.col("r"), F.col("g"), F.col("b")).alias("elevation_m"))
 
 
+#: Points of one tile that a task reads; a tile with more is decoded in several tasks.
+TILE_POINTS = 100_000
+
+
+def point_elevations(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(site_id, layer, x, y, px, py, elevation_m) of each point (a row for each layer) from tiles (layer, x, y, content).
+
+    Points and tiles are grouped by tile, so that a tile is decoded once and
+    only the pixels of its points leave the task.  elevation_m is null where
+    the tile has no value there, is absent, or is known to be absent (null
+    content); a pixel outside the tile is an error.  A tile of very many points
+    is dealt over tasks.
+    """
+    key = ["layer", "x", "y"]
+    parts = points.groupBy(*key).agg(F.ceil(F.count("*") / TILE_POINTS).cast("int").alias("parts"))
+    own = points.select("site_id", *key, "px", "py").join(parts, key).withColumn("part", F.pmod(F.xxhash64("site_id", "px", "py"), F.col("parts")).cast("int"))
+    dealt = tiles.where("content is not null").select(*key, "content").join(parts, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "content")
+    kind = own.schema["site_id"].dataType.simpleString()
+
+    def run(own: pa.Table, tile: pa.Table) -> pa.Table:
+        columns = [own.column(c) for c in ("site_id", *key, "px", "py")]
+        colors = [pa.nulls(own.num_rows, pa.int32())] * 3
+        if tile.num_rows:
+            pixels = png_pixels(tile.column("content")[0].as_py())
+            colors = [pa.array(pixels[own.column("py").to_numpy(), own.column("px").to_numpy(), i].astype(np.int32)) for i in range(3)]
+        return pa.table([*columns, *colors], names=["site_id", *key, "px", "py", "r", "g", "b"])
+
+    read = own.drop("parts").groupBy(*key, "part").cogroup(dealt.groupBy(*key, "part")).applyInArrow(run, f"site_id {kind}, layer string, x int, y int, px int, py int, r int, g int, b int")
+    return read.select("site_id", *key, "px", "py", elevation(F.col("r"), F.col("g"), F.col("b")).alias("elevation_m"))
+
+
+def first_layer_with_value(points: DataFrame, tiles: DataFrame, layers: list[str]) -> DataFrame:
+    """(site_id, elevation_m, layer): of each point the first layer in order that has a value; null where none has."""
+    order = F.array_position(F.array(*map(F.lit, layers)), F.col("layer"))
+    value = F.when(F.col("elevation_m").isNotNull(), F.struct("elevation_m", "layer"))
+    best = point_elevations(points, tiles).groupBy("site_id").agg(F.min_by(value, F.when(value.isNotNull(), order)).alias("b"))
+    return best.select("site_id", "b.elevation_m", "b.layer")
+
+
 def first_layer(points: DataFrame, pixels: DataFrame, layers: list[str]) -> DataFrame:
     """(site_id, elevation_m, layer): the first layer in order that has a value at the point's pixel.
 

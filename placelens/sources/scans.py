@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut
+
 #: Elements of a map extract: nodes carry lat and lon, ways and relations a centre.
 ELEMENTS = "elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 
@@ -36,9 +38,18 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) with line numbers as in the file; empty lines are left out."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value"))
-    return files.select("file", (F.col("place") + 1).alias("line"), "value").where(F.btrim("value") != "")
+    """(file, line, value) with line numbers as in the file; empty lines are left out.
+
+    Large files are read in splits.  A line's number is its place in its split
+    and the lines of the splits before it, one sum for each split of a file.
+    Lines end at the line feed only.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()), "lines-of-splits")
+    splits = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value").where(F.btrim("value") != "")
 
 
 def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,16 +64,10 @@ def distinct_requests(rows: DataFrame, key: str, size: int) -> DataFrame:
     keys = rows.select(key).distinct()
     n = max(1, -(-keys.count() // size))
     dealt = keys.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    place = F.row_number().over(_by("part", key))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(key))
     return dealt.withColumn("batch", F.floor((place - 1) / size)).groupBy("part", "batch").agg(F.array_sort(F.collect_list(key)).alias("keys")).select(F.concat_ws("-", "part", "batch").alias("batch"), "keys")
 
 
-def _by(part: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
-
-
 def valid_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     """Adds valid: the body is JSON with results.bindings, whatever its status said."""
     return responses.withColumn("valid", F.coalesce(F.try_variant_get(F.try_parse_json(body), "$.results.bindings", "variant").isNotNull(), F.lit(False)))

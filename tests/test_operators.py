@@ -412,7 +412,8 @@ def test_ids_and_leaks(spark):
 def test_planes_of_prefectures(spark):
     from placelens.functions import geo
 
-    assert sorted(len(x) for x in geo.PREFECTURES.values()) == [1, 1, 2, 2, 3, 4, 4, 4, 6, 6, 7, 7] and set(geo.PREFECTURES) == set(geo.PLANE_ORIGINS) == set(geo.PLANE_UTM)
+    planes = list(geo.PREFECTURES.values())
+    assert sorted(map(planes.count, set(planes))) == [1, 1, 2, 2, 3, 4, 4, 4, 6, 6, 7, 7] and set(planes) == set(geo.PLANE_ORIGINS) == set(geo.PLANE_UTM)
     for plane, (_, lon0) in geo.PLANE_ORIGINS.items():
         assert (geo.PLANE_UTM[plane] - 6637) * 6 - 186 <= lon0 <= (geo.PLANE_UTM[plane] - 6637) * 6 - 180
     df = spark.createDataFrame([(" 東京都 ",), ("nowhere",), (None,)], "p string")
@@ -441,3 +442,17 @@ def test_stored_articles_under_another_title_are_stale(spark):
     fetched = spark.createDataFrame([("T", 5, "new"), ("U", 6, "u"), ("V", None, None)], "title string, revision int, text string")
     assert {(r.title, r.n_sites) for r in state.articles_to_fetch(own, stored).collect()} == {("T", 1), ("U", 1), ("V", 1)}
     assert {(r.site_id, r.revision, r.how) for r in state.articles_of(own, stored, fetched).collect()} == {("a", 1, "cached"), ("b", 5, "fetched"), ("c", 6, "fetched")}
+
+
+def test_hubs_of_ego_graphs_are_cut_before_they_are_sorted(spark, capsys):
+    rows = [(f"a{i:05d}", "hub", i % 97 + 1, "unlabeled") for i in range(20_000)] + [(f"a{i:05d}", f"a{i + 1:05d}", 1, "kin") for i in range(0, 20_000, 2)]
+    edges = spark.createDataFrame(rows, "a string, b string, w long, type string").repartition(4)
+    ring = graph.ring(edges)
+    ring.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    hub = sorted((r for r in ring.where("centre = 'hub'").collect()), key=lambda r: r.place)
+    assert [r.other for r in hub] == [f"a{i:05d}" for i in range(96, 20_000, 97)][:14] and {r.total for r in hub} == {20_000}
+    # every other ring is the hub and one more: the hub's edges are not repeated for them
+    induced = graph.induced_edges(ring, edges)
+    assert induced.where("centre <> 'hub' and w = 1 and type = 'kin'").count() == 20_000
+    assert induced.where("centre = 'hub'").count() == 14
