@@ -28,6 +28,8 @@ from .batches import mix, run_hashes, slices, text_bytes
 
 #: Words of a k-gram, and words of a window.
 K, WINDOW = 5, 13
+#: Candidates, with the texts of their items, are broadcast up to this measured size; beyond it the documents are shuffled to them.
+BROADCAST_BYTES = 32_000_000
 
 #: Lower-cases A-Z; what is no part of a word becomes zero.
 _LETTERS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], np.uint8)
@@ -201,9 +203,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     about a megabyte of texts, or one longer text, and the items that it meets;
     a text of one repeated word, or of any period, costs no more than another.
 
-    Spark chooses how to join the fingerprints of the benchmark and the
-    candidates; a hot fingerprint can be split like any skewed join, since only
-    places leave the join.
+    Spark chooses how to join the fingerprints of the benchmark; a hot one can
+    be split like any skewed join, since only places leave the join.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
@@ -217,6 +218,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     met = met.groupBy("id", "version", "row").agg(F.collect_set(F.struct("first", "last")).alias("hits"))
     each = F.struct("item", "item_text", "hits")
     candidates = cut(met.join(items, "row").groupBy("id", "version").agg(F.collect_list(each).alias("items")), "candidates")
+    taken = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["item_text"]) + 100 + 8 * F.size(x["hits"]))
+    size = candidates.select(F.sum(taken)).first()[0] or 0
     discard(items, prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     near = candidates.withColumnsRenamed({"id": "near", "version": "near_version"})
     met = own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"])
-    joined = own.join(near, met, "left").select("id", "text", "items")
+    joined = own.join(F.broadcast(near) if size <= BROADCAST_BYTES else near, met, "left").select("id", "text", "items")
     out = joined.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>")
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "hit_spans", "item_ids")

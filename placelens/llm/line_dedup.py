@@ -27,6 +27,8 @@ from .batches import mix, run_hashes, slices, text_bytes, texts
 WINDOW, LONG_LINE = 2, 50
 #: Lines that the rolling hash of a boundary covers; one in ``EVERY`` lines ends a coarse chunk.
 ROLLING, EVERY = 2, 4
+#: Lists of chunks by document are broadcast up to this measured size; beyond it the texts are shuffled to them.
+BROADCAST_BYTES = 64_000_000
 
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
@@ -128,6 +130,12 @@ def _versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
+def _side(table: DataFrame, parts: str) -> DataFrame:
+    """A written table of ids and small arrays, to be broadcast if it has been measured to be small."""
+    size = table.select(F.sum(40 + 24 * F.size(parts))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def _later_copies(docs: DataFrame, found: DataFrame, gone: DataFrame | None, name: str) -> DataFrame:
     """(near, near_version, drop: array of first_line, n_lines) of the chunks that are equal in bytes to an earlier one.
 
@@ -150,7 +158,8 @@ def _later_copies(docs: DataFrame, found: DataFrame, gone: DataFrame | None, nam
     discard(values)
     # the bytes of those chunks only
     own = _versioned(docs, id_col="id", text_col="text")
-    own = own.join(near, own["id"].eqNullSafe(near["near"]) & (own["version"] == near["near_version"]))
+    listed = _side(near, "starts")
+    own = own.join(listed, own["id"].eqNullSafe(listed["near"]) & (own["version"] == listed["near_version"]))
     lines = cut(_bodies(own.select("id", "version", "text", "starts")), f"{name}-bytes")
     discard(near)
     # groups of equal bytes; a digest then stands for the bytes of a group
@@ -197,7 +206,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names.  A task holds about a megabyte of texts, or one
     longer text.
     """
-    drop = repeated_lines(docs, id_col, text_col)
+    drop = _side(repeated_lines(docs, id_col, text_col), "drop")
     order = [c for c in docs.columns if c != "n_lines_removed"]
     rows = docs.select(F.struct(*order).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
     rows = rows.join(drop, rows["id"].eqNullSafe(drop["near"]) & (rows["version"] == drop["near_version"]), "left")

@@ -102,8 +102,12 @@ def brute_contamination(texts, items):
 
 
 @pytest.fixture(params=["10m", "-1"])
-def broadcast_up_to(spark, request):
+def broadcast_up_to(spark, request, monkeypatch):
+    """Both ways of the joins with texts: broadcast lists, and shuffled texts."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    if request.param == "-1":
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     yield request.param
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
