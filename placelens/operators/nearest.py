@@ -107,3 +107,29 @@ def agreement_of_paths(first: DataFrame, second: DataFrame, key: str = "site_id"
     """Distances measured in two planes: (key, d1, d2, agrees) with a tolerance of a metre or two thousandths."""
     both = first.select(key, F.col("distance_m").alias("d1")).join(second.select(key, F.col("distance_m").alias("d2")), key)
     return both.withColumn("agrees", F.abs(F.col("d1") - F.col("d2")) <= F.greatest(F.lit(1.0), 2e-3 * F.col("d1")))
+
+
+#: Pixels of a cell of map clusters, and of a tile.
+CLUSTER_PIXELS, TILE_PIXELS = 44, 256
+
+
+def zoom_pyramid(points: DataFrame, finest: int, coarsest: int = 0) -> DataFrame:
+    """(zoom, cx, cy, n, lon, lat): points counted in cells of the map at each zoom, with the mean of their coordinates.
+
+    The points are read once, for the finest zoom; every coarser one is added up
+    from the cells of the one below it, four to one, so its work shrinks with
+    the number of cells.  A point without coordinates is in no cell.
+    """
+    scale = 2.0**finest * TILE_PIXELS / CLUSTER_PIXELS
+    cx = F.floor((F.col("lon") + 180) / 360 * scale)
+    cy = F.floor((1 - F.asinh(F.tan(F.radians("lat"))) / F.pi()) / 2 * scale)
+    own = points.where("lon is not null and lat is not null").groupBy(cx.alias("cx"), cy.alias("cy"))
+    level = cut(own.agg(F.count("*").alias("n"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat")), "zoom")
+    out = None
+    for zoom in range(finest, coarsest - 1, -1):
+        row = level.select(F.lit(zoom).alias("zoom"), "cx", "cy", "n", (F.col("lon") / F.col("n")).alias("lon"), (F.col("lat") / F.col("n")).alias("lat"))
+        out = row if out is None else out.union(row)
+        if zoom > coarsest:
+            up = level.groupBy(F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy"))
+            level = cut(up.agg(F.sum("n").alias("n"), F.sum("lon").alias("lon"), F.sum("lat").alias("lat")), "zoom")
+    return out

@@ -230,6 +230,16 @@ def q4_map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.withColumn("size_step", F.when(F.col("n") < 25, 0).when(F.col("n") < 100, 1).when(F.col("n") < 500, 2).otherwise(3))
 
 
+@query(
+    f"WITH {SITES}, z AS (SELECT unnest(range(3, 13)) AS zoom), t AS (SELECT zoom, CAST(floor((lon + 180) / 360 * pow(2, zoom) * 256 / 44) AS BIGINT) AS cx, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2, zoom) * 256 / 44) AS BIGINT) AS cy, lon, lat FROM sites, z) "
+    "SELECT CAST(zoom AS INT) AS zoom, cx, cy, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM t GROUP BY zoom, cx, cy"
+)
+def q4_zoom_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the map at zooms 3 to 12, each from the finer one."""
+    out = nearest.zoom_pyramid(sites(spark, sf_dir), 12, 3)
+    return out.select("zoom", "cx", "cy", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query(f"WITH {SITES} SELECT name, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS share FROM sites WHERE name IN ('BUILDING', 'MACHINERY') GROUP BY name")
 def q3_p8_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and shares of the chosen families on the map."""
