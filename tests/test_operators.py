@@ -74,8 +74,29 @@ def test_one_to_one_is_the_greedy_walk(spark, seed):
             left.add(a)
             right.add(b)
     df = spark.createDataFrame(edges, "l int, r int, s double")
-    got = matching.one_to_one(df, "l", "r", [-F.col("s"), F.col("r"), F.col("l")])
-    assert {(x.l, x.r) for x in got.collect()} == want
+    for most in (0, 8, 1000):  # rounds alone, both, one walk
+        got = matching.one_to_one(df, "l", "r", [-F.col("s"), F.col("r"), F.col("l")], most)
+        assert sorted((x.l, x.r) for x in got.collect()) == sorted(want)
+
+
+def test_one_to_one_walks_long_chains_by_component(spark, monkeypatch):
+    """Chains of edges that wait for each other, of 600 edges each, in rounds that don't grow with the chain."""
+    rounds, plain_round = [], matching._round
+    monkeypatch.setattr(matching, "_round", lambda *a: rounds.append(1) or plain_round(*a))
+    edges = [(c * 1000 + i // 2, c * 1000 + (i + 1) // 2, float(i)) for c in range(4) for i in range(600)]
+    df = spark.createDataFrame(edges, "l int, r int, s double")
+    got = matching.one_to_one(df, "l", "r", [F.col("s"), F.col("l")], 700)
+    assert sorted((x.l, x.r) for x in got.collect()) == sorted((a, b) for a, b, s in edges if s % 2 == 0)
+    assert len(rounds) <= 10
+
+
+def test_one_to_one_without_edges_and_with_null_ends(spark):
+    df = spark.createDataFrame([(None, 1, 0.5), (1, None, 0.6)], "l int, r int, s double")
+    order = [-F.col("s"), F.col("r"), F.col("l")]
+    assert matching.one_to_one(df, "l", "r", order).count() == 0
+    assert matching.one_to_one(df.limit(0), "l", "r", order).count() == 0
+    more = df.union(spark.createDataFrame([(1, 1, 0.4), (2, 1, 0.4)], df.schema))
+    assert [(x.l, x.r) for x in matching.one_to_one(more, "l", "r", order).collect()] == [(1, 1)]
 
 
 def test_one_to_one_prefers_the_older_item(spark):
