@@ -44,11 +44,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.grid_candidates(sites(spark, sf_dir), items(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, floor: float | None = None) -> DataFrame:
     none, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
     own = sites(spark, sf_dir).withColumns({"names": F.array("name"), "aliases": none, "prefecture": F.format_string("n%02d", "region"), "municipality": nothing, "url": nothing})
     other = items(spark, sf_dir).withColumns({"item_names": F.array("label"), "item_aliases": none, "admin": F.format_string("n%02d", "item_region"), "item_url": nothing})
-    return matching.scored_candidates(own, other)
+    return matching.scored_candidates(own, other, floor=floor)
 
 
 @query(f"{_CAND} SELECT site_id, qid, round(d, 3) AS distance_m, round({score_sql('d')}, 6) AS geo FROM cand")
@@ -84,7 +84,7 @@ taken AS (SELECT site_id, qid, score FROM e WHERE n IN (SELECT unnest(ns) FROM w
 
 @query(f"{_WALK} SELECT site_id, qid, round(coalesce(score, 0), 6) AS score, {_DECISION.format(s='coalesce(score, 0)')} AS decision FROM sites LEFT JOIN taken USING (site_id)")
 def j4_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = scored(spark, sf_dir).withColumns({"score": F.round("score", 9), "distance_m": F.round("distance_m", 6)})
+    rounded = scored(spark, sf_dir, matching.REVIEW).withColumns({"score": F.round("score", 9), "distance_m": F.round("distance_m", 6)})
     found = matching.resolve_one_to_one(sites(spark, sf_dir), rounded, text.entity_number(F.col("qid")))
     return found.select("site_id", "qid", F.round("score", 6).alias("score"), "decision")
 

@@ -62,6 +62,16 @@ def test_scores_and_best_match(spark):
     assert got == {"s1": ("Q1", 0.8, "auto"), "s2": (None, 0.0, "separate")}
 
 
+@pytest.mark.parametrize("floor", [0.0, 0.5, 0.6])
+def test_scores_from_a_floor_are_those_of_all_pairs(spark, floor):
+    r = random.Random(5)
+    names = ["abc", "abd", "xyz", "", None]
+    own = site_columns(sites(spark, [(f"s{i}", 139 + r.random() / 80, 35 + r.random() / 80, r.choice(names), "node") for i in range(40)]))
+    items = item_rows(spark, [(f"Q{i}", 139 + r.random() / 80, 35 + r.random() / 80, r.choice(names)) for i in range(40)])
+    rows = lambda df: sorted((x.site_id, x.qid, x.score) for x in df.collect())
+    assert rows(matching.scored_candidates(own, items, floor=floor)) == rows(matching.scored_candidates(own, items).where(F.col("score") >= floor - 1e-9))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_one_to_one_is_the_greedy_walk(spark, seed):
     r = random.Random(seed)
