@@ -13,8 +13,10 @@ SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose texts take about ``limit`` bytes."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Cuts a batch into runs of rows whose texts, or lists of 32-bit integers, take about ``limit`` bytes."""
+    values = batch.column(column)
+    lengths = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // limit
     starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
     for a, b in zip(starts, starts[1:]):

@@ -179,8 +179,11 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, run, columns: str) -> D
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ids (array of int) of each text under the byte vocabulary in ``tokenizer``.
 
-    A null text has no ids; special strings inside a text become their id;
-    rows are neither joined nor shuffled; other columns are ignored.
+    A null or empty text has no ids; special strings inside a text become their
+    id; one row for each row, repeated ones too, and none for an empty table.
+    Rows are neither joined nor shuffled; a task holds about a megabyte of
+    text at a time, or one text if that is longer.  Other columns, whatever
+    their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +196,19 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and the text of each array of ids; null is empty."""
+    """``id_col`` and text, what each array of ids stands for.
+
+    A null or empty array gives an empty text; parts that are no UTF-8 become
+    replacement characters.  One row for each row, repeated ones too, and none
+    for an empty table.  A task holds about a megabyte of ids at a time, or
+    one array if that is longer.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [encoder(tokenizer).decode(array("I", x or []).tobytes()).decode() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string())], ["id", "text"])
+            for part in slices(batch, "ids"):
+                text = [encoder(tokenizer).decode(array("I", x or []).tobytes()).decode() for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text, pa.string())], ["id", "text"])
 
     rows = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")

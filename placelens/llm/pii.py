@@ -149,7 +149,11 @@ def listed(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the text with each span replaced by its kind in brackets; of overlapping spans the first stays."""
+    """``id_col`` and the text with each span replaced by its kind in brackets; of overlapping spans the first stays.
+
+    A null text stays null, an empty one empty; one row for each row, repeated
+    ones too, and none for an empty table.  Other columns are ignored.
+    """
     spans = find_pii(docs, id_col, text_col, keep=[text_col])
     first = F.aggregate(
         "spans",

@@ -35,7 +35,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     Returns ``id_col``, the columns named in ``keep``, n_words, word_chars,
     n_symbols, n_exclaims, n_stop_words (distinct ones), n_lines (with a
-    word), n_dup_lines and n_repeat_words.
+    word), n_dup_lines and n_repeat_words.  A text stays one row however long;
+    its words and lines are arrays of that row.  An empty table gives none.
+    Names in ``keep`` should differ from those of the measures; ``kept_rows``
+    takes any.
     """
     kept = [F.col(c) for c in dict.fromkeys([id_col, *(keep or [])])]
     own = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(kept)], F.coalesce(F.col(text_col), F.lit("")).alias("x"))
@@ -109,7 +112,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns under any name; repeated rows stay repeated, null and empty texts go."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = (names[docs.columns.index(c)] for c in (id_col, text_col))
     judged = quality(docs.toDF(*names), id_at, text_at, keep=names)

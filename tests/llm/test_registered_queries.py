@@ -10,7 +10,7 @@ import pytest
 from test_training_operators import BYTE, ODD, PII, SECRETS, WORD, brute_components, brute_fingerprint, brute_line_dedup, brute_pii, brute_secrets
 from tokenizers import Tokenizer
 
-from placelens.llm import queries
+from placelens.llm import bpe, pii, quality, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -110,3 +110,22 @@ def test_op10_lists_base_spans(spark, folder, texts):
         base = brute_pii(x or "")
         assert row[:6] == (i, *(sum(s[0] == kind for s in base) for kind in kinds), sha(listed(base)))
         assert [s for s in row[6].split(",") if s.split(":")[0] in kinds] == [s for s in listed(base).split(",") if s]
+
+
+def test_decoding_takes_null_empty_repeated_and_long_arrays(spark):
+    texts = [None, "", "a b", "a b", "long text " * 150_000, "日本語"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoded = bpe.encode(docs, BYTE)
+    more = encoded.union(spark.createDataFrame([(9, None), (9, None)], encoded.schema))
+    got = sorted((r.doc_id, r.text) for r in bpe.decode(more, BYTE).collect())
+    assert got == [*((i, x or "") for i, x in enumerate(texts)), (9, ""), (9, "")]
+    assert bpe.decode(encoded.limit(0), BYTE).count() == 0
+
+
+def test_masking_and_kept_rows_of_odd_tables(spark):
+    good = "the quick brown fox and that dog have been with the others to see what all of them do in this long day. "
+    rows = [(1, None, "a"), (2, "", "b"), (3, "mail a@b.cd", "c"), (3, "mail a@b.cd", "c"), (4, good, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    assert sorted(((r.doc_id, r.text) for r in pii.masked(docs).collect()), key=str) == [(1, None), (2, ""), (3, "mail [email]"), (3, "mail [email]"), (4, good)]
+    assert [tuple(r) for r in quality.kept_rows(docs).collect()] == [rows[4]]
+    assert quality.kept_rows(docs.limit(0)).count() == pii.masked(docs.limit(0)).count() == 0
