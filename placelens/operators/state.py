@@ -83,10 +83,10 @@ def articles_of(sites: DataFrame, stored: DataFrame, fetched: DataFrame) -> Data
 
 
 def same_corpus(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
-    """(group, reuse): whether the fingerprint and the number of texts of ``fingerprint`` are those of the manifest before."""
-    old = before.select(group, F.col("n").alias("_n"), F.col("fingerprint").alias("_f"))
+    """(group, reuse): whether the fingerprint and the number of texts of ``fingerprint`` are those of the manifest before; a null group is one too."""
+    old = before.select(F.col(group).alias("_g"), F.col("n").alias("_n"), F.col("fingerprint").alias("_f"))
     same = F.coalesce((F.col("n") == F.col("_n")) & (F.col("fingerprint") == F.col("_f")), F.lit(False))
-    return after.join(old, group, "left").select(group, same.alias("reuse"))
+    return after.join(old, after[group].eqNullSafe(old["_g"]), "left").select(group, same.alias("reuse"))
 
 
 def last_written(shards: DataFrame, key: str, order: str) -> DataFrame:

@@ -79,6 +79,15 @@ def m9_g24_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fingerprint(own, "lang", "doc_id", "text", "m1")
 
 
+@query("SELECT source, NOT bool_or(contains(text, '@')) AS reuse FROM documents WHERE text IS NOT NULL GROUP BY source")
+def m9_same_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose texts are what the manifest says after addresses have been broken up, and need no new vectors."""
+    own = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", "text")
+    broken = own.withColumn("text", F.replace("text", F.lit("@"), F.lit(" at ")))
+    before, after = (state.fingerprint(x, "source", "doc_id", "text", "m1") for x in (own, broken))
+    return state.same_corpus(before, after, "source")
+
+
 @query("SELECT lang, min(length(text)) AS least, max(length(text)) AS most, list_sort(list(length(text)))[count(*) // 2 + 1] AS middle FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def a23_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.stats import quantiles

@@ -487,3 +487,22 @@ def test_hubs_of_ego_graphs_are_cut_before_they_are_sorted(spark, capsys):
     induced = graph.induced_edges(ring, edges)
     assert induced.where("centre <> 'hub' and w = 1 and type = 'kin'").count() == 20_000
     assert induced.where("centre = 'hub'").count() == 14
+
+
+def test_principal_components_against_numpy(spark):
+    """Up to the sign of each component, the eigenvectors of the largest eigenvalues of the covariance."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 6)) * [9, 5, 3, 1, 0.5, 0.1] + r.normal(size=6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(3)
+    got = np.array([row.components for row in vectors.principal_components(df, "id", "v", 3).orderBy("id").collect()])
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = x @ axes[:, np.argsort(-values)[:3]]
+    assert np.allclose(got * np.sign((got * want).sum(0)), want, atol=1e-6)
+
+
+def test_same_corpus_takes_new_changed_shortened_and_null_groups(spark):
+    make = lambda rows: state.fingerprint(spark.createDataFrame(rows, "g string, k long, t string"), "g", "k", "t", "m")
+    before = [("same", 1, "a"), ("same", 5000, "b"), ("changed", 1, "a"), ("shorter", 1, "a"), ("shorter", 2, "b"), ("gone", 1, "a"), (None, 1, "a")]
+    after = [("same", 5000, "b"), ("same", 1, "a"), ("changed", 1, "A"), ("shorter", 1, "a"), ("new", 1, "a"), (None, 1, "a")]
+    got = {r.g: r.reuse for r in state.same_corpus(make(before), make(after), "g").collect()}
+    assert got == {"same": True, "changed": False, "shorter": False, "new": False, None: True}
