@@ -144,29 +144,34 @@ def head_agreement(tops: DataFrame, heads: DataFrame) -> DataFrame:
     return met.agg(F.count_if(F.col("head") == F.col("region")).alias("hits"), F.count("*").alias("n"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 on unsigned 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Fixed values of a deal: a prime, two multipliers below it and the number of rounds; products stay below 2^63, so SQL can compute the same.
+PRIME, FIRST, SECOND, ROUNDS = 2**31 - 1, 48271, 69621, 32
+
+
+def _round_key(draw: int, turn: int, seed: int) -> int:
+    own = (seed % PRIME * FIRST + draw) % PRIME
+    own = (own * own + (turn + 1) * SECOND) % PRIME
+    own = (own * own + 1) % PRIME
+    return (own * own + draw) % PRIME
 
 
 def dealt_places(places: np.ndarray, n: int, draw: int, seed: int) -> np.ndarray:
     """Where each of ``places`` goes when the numbers below ``n`` are dealt anew: one permutation for each seed and draw.
 
-    Eight Feistel rounds on the next power of four; what falls beyond ``n`` goes through them again.
+    A swap-or-not shuffle (Hoang, Morris and Rogaway, 2012): each round pairs x
+    with (k - x) modulo n and swaps the pair or not, by a bit of the larger of
+    both, so that each number is dealt by itself and none falls out of range.
     """
-    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
-    mask = (np.uint64(1) << half) - np.uint64(1)
-    keys = _mix(np.uint64(seed) + _mix(np.arange(8, dtype=np.uint64) + np.uint64(draw * 8 + 1)))
-    out, open_ = places.astype(np.uint64), np.arange(len(places))
-    while len(open_):
-        high, low = out[open_] >> half, out[open_] & mask
-        for key in keys:
-            high, low = low, high ^ (_mix(low + key) & mask)
-        out[open_] = (high << half) | low
-        open_ = open_[out[open_] >= n]
-    return out.astype(np.int64)
+    out = places.astype(np.int64)
+    for turn in range(ROUNDS):
+        key = _round_key(draw, turn, seed)
+        other = ((key * PRIME + key * SECOND % PRIME) % n - out) % n
+        top = np.maximum(out, other)
+        mixed = ((top % PRIME + top // PRIME) * FIRST + key) % PRIME
+        mixed = (mixed * mixed + key) % PRIME
+        mixed = mixed * mixed % PRIME
+        out = np.where((mixed >> 15) & 1, other, out)
+    return out
 
 
 def _placed(sites: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 def centroid_scores(rows: DataFrame, key: str, vector: str, means: DataFrame, group: str) -> DataFrame:
     """(key, group, score): each row against each of the few centroids; more than ``MOST_CENTROIDS`` are an error."""
+    means = cut(means, "centroids")  # counted and used, but made once
     if means.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     return rows.select(key, vector).crossJoin(F.broadcast(means)).select(key, group, dot(F.col(vector), F.col("centroid")).alias("score"))

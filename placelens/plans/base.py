@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import FIRST, PRIME, ROUNDS, SECOND
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +31,19 @@ def query(sql: str | None = None):
     return add
 
 
+def deal_sql(places: str, draws: int, seed: int) -> str:
+    """SQL of the table ``dealt`` (draw, place, dealt_to), as ``stats.dealt_places`` deals; ``places`` selects place and n."""
+    p, first, second, rounds = PRIME, FIRST, SECOND, ROUNDS
+    other = f"((k * {p} + k * {second} % {p}) % n - spot + n) % n"
+    mixed = f"((greatest(spot, {other}) % {p} + greatest(spot, {other}) // {p}) * {first} + k) % {p}"
+    square = f"(({mixed}) * ({mixed}) + k) % {p}"
+    bit = f"(({square}) * ({square}) % {p}) // 32768 % 2"
+    return f"""seeds AS (SELECT draw, turn, ({seed % p * first} + draw) % {p} AS a FROM range({draws}) d(draw), range({rounds}) r(turn)),
+squared AS (SELECT draw, turn, (a * a + (turn + 1) * {second}) % {p} AS a FROM seeds), again AS (SELECT draw, turn, (a * a + 1) % {p} AS a FROM squared),
+round_keys AS (SELECT draw, list((a * a + draw) % {p} ORDER BY turn) AS ks FROM again GROUP BY draw),
+dealt AS (SELECT draw, place, list_reduce(ks, lambda spot, k: CASE WHEN {bit} = 1 THEN {other} ELSE spot END, place) AS dealt_to FROM ({places}), round_keys)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

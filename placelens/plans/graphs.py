@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, records, stats
-from .base import COUNTS, LABELS_SQL, MENTIONS, PAIRS, TYPED, labels, mention_rows, mentions, query
+from .base import COUNTS, LABELS_SQL, MENTIONS, PAIRS, TYPED, deal_sql, labels, mention_rows, mentions, query
 
 
 @query(f"WITH {MENTIONS}, {COUNTS} SELECT id, n FROM counts")
@@ -48,10 +48,21 @@ def m17_head_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.head_agreement(w3_top_region(spark, sf_dir), heads)
 
 
-@query()
+_NULL = f"""{_TOP}, heads AS (SELECT * FROM (VALUES ('Brand#1', 3), ('Brand#2', 7), ('Brand#9', 11)) h(id, head)),
+placed AS (SELECT site_id, region, row_number() OVER (ORDER BY site_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT site_id, region FROM mentions)),
+of_heads AS (SELECT m.id, p.place, p.n FROM mentions m JOIN heads USING (id) JOIN placed p ON m.site_id = p.site_id), {deal_sql('SELECT DISTINCT place, n FROM of_heads', 200, 20260921)},
+drawn AS (SELECT draw, id, p.region, count(*) AS c FROM of_heads JOIN dealt USING (place) JOIN placed p ON p.place = dealt.dealt_to GROUP BY ALL HAVING count(*) >= 3),
+tops AS (SELECT draw, id, region FROM drawn JOIN (SELECT id, count(*) AS every FROM of_heads GROUP BY id) USING (id) JOIN base USING (region), total QUALIFY row_number() OVER (PARTITION BY draw, id ORDER BY round(c / (CAST(every AS DOUBLE) * base / total), 3) DESC, region) = 1),
+hits AS (SELECT d.draw, count(*) FILTER (tops.region = head) AS hits FROM range(200) d(draw) LEFT JOIN tops USING (draw) LEFT JOIN heads USING (id) GROUP BY d.draw),
+seen AS (SELECT count(*) FILTER (top.region = head) AS observed FROM heads LEFT JOIN top USING (id)), shares AS (SELECT list_sort(list(hits)) AS x FROM hits)"""
+
+
+@query(
+    f"WITH {_NULL} SELECT count(*) AS trials, observed, round(avg(hits), 3) AS mean, x[191] AS p95, max(hits) AS max, round((count(*) FILTER (hits >= observed) + 1) / 201e0, 4) AS p_value, observed > x[191] AS pass FROM hits, seen, shares GROUP BY observed, x"
+)
 def m16_null_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = spark.createDataFrame([("Brand#1", 3), ("Brand#2", 7), ("Brand#9", 11)], "id string, region int")
-    drawn = stats.null_hits(mention_rows(spark, sf_dir), heads, 200, 20260908)
+    drawn = stats.null_hits(mention_rows(spark, sf_dir), heads, 200, 20260921)
     return stats.null_summary(drawn, m17_head_agreement(spark, sf_dir))
 
 

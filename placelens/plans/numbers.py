@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density, similar, stats, vectors
 from ..sources.shared import cut
-from .base import query, table
+from .base import deal_sql, query, table
 
 _PS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -77,7 +77,16 @@ def m14_w9_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
 
 
-@query()
+_RANKED = """t AS (SELECT c_nationkey AS k, avg(c_acctbal) AS x, count(*) AS y FROM customer GROUP BY 1 HAVING avg(c_acctbal) IS NOT NULL),
+ranks AS (SELECT k, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry FROM t),
+own AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n, rx - avg(rx) OVER () AS a, ry - avg(ry) OVER () AS b FROM ranks),
+seen AS (SELECT abs(sum(a * b)) AS observed FROM own)"""
+
+
+@query(
+    f"WITH {_RANKED}, {deal_sql('SELECT place, n FROM own', 2000, 20260908)}, d AS (SELECT draw, abs(sum(x.a * y.b)) AS d FROM own x JOIN dealt USING (place) JOIN own y ON y.place = dealt.dealt_to GROUP BY draw) "
+    "SELECT count(*) FILTER (d >= observed - 1e-6) AS hits, round((count(*) FILTER (d >= observed - 1e-6) + 1) / 2001e0, 6) AS p FROM d, seen"
+)
 def m15_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("x"), F.count("*").alias("y"))
     return stats.permutation_p(rows, "c_nationkey", "x", "y", 2000, 20260908)
