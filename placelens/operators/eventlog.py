@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import running_counts
+
 #: Fields of an envelope; fields and types of each event; closed lists of values.
 ENVELOPE = ("v", "ts", "project", "loop_id", "event", "data")
 FIELDS = {
@@ -87,13 +92,27 @@ def out_of_order(events: DataFrame, file: str, line: str, ts: str) -> DataFrame:
     return events.withColumn("_before", before).where(F.col(ts) < F.col("_before")).drop("_before")
 
 
+def _strict(v: Column) -> Column:
+    """Whether a version such as 1.10 is 1.2 or later; null and what is no list of numbers are not."""
+    parts = F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))
+    return F.coalesce(~F.exists(parts, lambda x: x.isNull()) & (parts >= F.array(F.lit(1), F.lit(2))), F.lit(False))
+
+
+def file_warnings(effective: DataFrame) -> DataFrame:
+    """(file, warning, n): files of old versions that break the rules of the project; n counts the lines that name the loop id, or the projects."""
+    own = effective.groupBy("file").agg(F.count_if((F.col("project") == F.col("loop_id")) & ~_strict(F.col("v"))).alias("polluted"), F.count_distinct("project").alias("projects"), F.bool_or(_strict(F.col("v"))).alias("strict"))
+    found = [F.when(F.col("polluted") > 0, F.struct(F.lit("project is the loop id").alias("warning"), F.col("polluted").alias("n"))), F.when((F.col("projects") > 1) & ~F.col("strict"), F.struct(F.lit("several projects").alias("warning"), F.col("projects").alias("n")))]
+    return own.select("file", F.explode(F.array_compact(F.array(*found))).alias("_w")).select("file", "_w.*")
+
+
 def file_violations(events: DataFrame, effective: DataFrame) -> DataFrame:
     """(file, violation) of whole files of events.
 
-    ``events`` (file, line, event, ts, loop_id, project, failure_count) holds
+    ``events`` (file, line, event, ts, loop_id, project, failure_count, v) holds
     all lines, ``effective`` those that stay after corrections.  What stands
     after the first end may only replace a voided line of the same kind, one
-    for one.
+    for one.  Rules of the project bind records of version 1.2 and later; older
+    ones are for ``file_warnings``.
     """
     stem = F.regexp_replace(F.element_at(F.split(F.col("file").cast("string"), "/"), -1), r"\.[^.]*$", "")
     named = events.where(F.col("loop_id") != stem).select("file", F.lit("loop id differs from the file name").alias("violation")).distinct()
@@ -103,15 +122,138 @@ def file_violations(events: DataFrame, effective: DataFrame) -> DataFrame:
     ended = F.min(F.when(F.col("event") == "loop_end", F.col("line")))
     declared = F.min_by("failure_count", F.when(F.col("event") == "loop_end", F.col("line")))
     ends, failures = (F.count_if(F.col("event") == x) for x in ("loop_end", "failure"))
-    own = effective.groupBy("file").agg(first.alias("first"), ended.alias("ended"), declared.alias("declared"), ends.alias("ends"), failures.alias("failures"), (F.count_distinct("project") > 1).alias("mixed"))
+    own = effective.groupBy("file").agg(first.alias("first"), ended.alias("ended"), declared.alias("declared"), ends.alias("ends"), failures.alias("failures"), ((F.count_distinct("project") > 1) & F.bool_or(_strict(F.col("v")))).alias("mixed"), F.bool_or((F.col("project") == F.col("loop_id")) & _strict(F.col("v"))).alias("polluted"))
     after = effective.join(own.select("file", "ended"), "file").where("line > ended").groupBy("file", "event").agg(F.count("*").alias("n"))
     voided = events.where("event <> 'correction'").join(effective.select("file", "line"), ["file", "line"], "left_anti").groupBy("file", "event").agg(F.count("*").alias("voided"))
     after = after.join(voided, ["file", "event"], "left").where("n > coalesce(voided, 0)").select("file", F.lit("records after the end").alias("violation")).distinct()
-    checks = {"several projects": F.col("mixed"), "does not begin with loop_start": F.col("first") != "loop_start", "several ends": F.col("ends") > 1, "declares another number of failures": F.col("declared") != F.col("failures")}
+    checks = {"several projects": F.col("mixed"), "project is the loop id": F.col("polluted"), "does not begin with loop_start": F.col("first") != "loop_start", "several ends": F.col("ends") > 1, "declares another number of failures": F.col("declared") != F.col("failures")}
     whole = own.select("file", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))).alias("violation"))
     return whole.union(named).union(late).union(none).union(after)
 
 
+class _File:
+    """What the guards know of one file: sums over its log, the first records that stay, and the records admitted so far."""
+
+    def __init__(self, row: dict):
+        self.lines, self.left, self.ends, self.ended = row["lines"] or 0, row["kept"] or 0, row["ends"] or 0, row["ended"]
+        self.old, self.voided, self.behind = self.lines, dict(row["voided"] or ()), dict(row["behind"] or ())
+        self.first: deque[tuple[int, str | None]] = deque()
+        self.early: dict[int, int] = {}  # wrong corrections of the log that name a line still to come, by that line
+        self.own: dict[int, str] = {}
+        self.gone: set[int] = set()
+
+    def refusal(self, row: dict) -> str | None:
+        event = row["event"]
+        if event == "correction":
+            aimed = self.aimed(row)
+            if aimed is None:
+                return "no record to correct"
+            return "voids the start of other records" if aimed == "loop_start" and self.left > 1 else None
+        while self.first and self.first[0][0] in self.gone:
+            self.first.popleft()
+        project = self.first[0][1] if self.first else None
+        if project is not None and row["project"] != project:
+            return "another project"
+        if self.ends and self.voided.get(event, 0) <= self.behind.get(event, 0):
+            return "after the end"
+        return None
+
+    def aimed(self, row: dict) -> str | None:
+        target = row["target"]
+        if target is None or target in self.gone:
+            return None
+        return row["known"] if target <= self.old else self.own.get(target)
+
+    def admit(self, row: dict) -> int:
+        event, aimed = row["event"], self.aimed(row) if row["event"] == "correction" else None
+        self.lines += 1
+        if self.ended is not None:
+            self.behind[event] = self.behind.get(event, 0) + 1
+        if self.lines in self.early:
+            self.voided[event] = self.voided.get(event, 0) + self.early[self.lines]
+        if event == "correction":
+            self.left -= 1
+            self.ends -= aimed == "loop_end"
+            self.gone.add(row["target"])
+            self.voided[aimed] = self.voided.get(aimed, 0) + 1
+            return self.lines
+        self.left += 1
+        self.own[self.lines] = event
+        self.first.append((self.lines, row["project"]))
+        if event == "loop_end":
+            self.ends, self.ended, self.behind = self.ends + 1, self.lines, {}
+        return self.lines
+
+
+def admitted(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """(file, seq, event, line, reason): each record of ``batch`` with the line that it gets in its file, or why it is refused.
+
+    ``log`` (file, line, event, target, project) holds the lines written so far,
+    ``batch`` (file, seq, event, target, project) records that are valid by
+    themselves, taken in order of seq, a whole number, and where seq is equal of
+    event, target and project; each sees those admitted before it.  Refused are
+    a correction of what is no record or voided already, or of the start of a
+    file that holds other records; a record of another project than that of the
+    first record that stays; and after the end all but corrections and, one
+    for one, records of the kind of a voided one.  A record without file or
+    event is refused.  An empty batch gives an empty table, a file without log
+    begins with line 1.
+
+    The log only goes into sums by file, which combine early, and into joins on
+    (file, line); a task streams the records of a file in order and keeps of
+    them their events and of the log as many first records as the batch has
+    corrections, so what it holds grows with the batch, not with the log.
+    """
+    named = batch.select("file", F.col("seq").cast("long").alias("seq"), "event", F.col("target").cast("long").alias("target"), "project")
+    whole = named.where("file is not null and event is not null")
+    files = whole.groupBy("file").agg((F.count_if(F.col("event") == "correction") + 1).alias("most"), F.count("*").alias("size"))
+    own = log.select("file", F.col("line").cast("long").alias("line"), "event", F.col("target").cast("long").alias("target"), "project").join(files.select("file"), "file", "left_semi")
+    kept = corrected(own, "file", "line", "event", "target")[0].select("file", "line", "event", "project")
+    sums = own.groupBy("file").agg(F.max("line").alias("lines"), F.max(F.when(F.col("event") == "loop_end", F.col("line"))).alias("ended"))
+    left = kept.groupBy("file").agg(F.count("*").alias("kept"), F.count_if(F.col("event") == "loop_end").alias("ends"))
+    voids = own.where("event = 'correction'").select("file", F.col("target").alias("line")).join(own.where("event is not null").select("file", "line", "event"), ["file", "line"])
+    later = own.where("event is not null").join(sums.select("file", "ended"), "file").where("line > ended")
+
+    def by_event(rows: DataFrame, name: str) -> DataFrame:
+        # one entry for each kind of event, of which there are few
+        return rows.groupBy("file", "event").agg(F.count("*").alias("n")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("event", "n"))).alias(name))
+
+    states = files.select("file").join(sums, "file", "left").join(left, "file", "left").join(by_event(voids, "voided"), "file", "left").join(by_event(later, "behind"), "file", "left")
+    firsts = running_counts(kept.withColumn("_one", F.lit(1)), ["file"], ["line"], "_one").join(files, "file").where("_upto <= most")
+    aimed = kept.select("file", F.col("line").alias("target"), F.col("event").alias("known"))
+    early = own.where("event = 'correction'").join(sums.select("file", "lines"), "file").join(files, "file").where("target > lines and target <= lines + size").groupBy("file", F.col("target").alias("seq")).agg(F.count("*").alias("kept"))
+    records = whole.join(aimed, ["file", "target"], "left")
+    stream = (
+        states.withColumn("phase", F.lit(0))
+        .unionByName(firsts.select("file", F.lit(1).alias("phase"), F.col("line").alias("seq"), "project"), allowMissingColumns=True)
+        .unionByName(early.withColumn("phase", F.lit(2)), allowMissingColumns=True)
+        .unionByName(records.withColumn("phase", F.lit(3)), allowMissingColumns=True)
+    )
+    columns = ["file", "phase", "seq", "event", "target", "project", "known", "lines", "kept", "ends", "ended", "voided", "behind"]
+    stream = stream.select(*columns).repartition("file").sortWithinPartitions("file", "phase", "seq", "event", "target", "project")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, out_schema = None, None
+        for part in batches:
+            out_schema = out_schema or pa.schema([part.schema.field("file"), ("seq", pa.int64()), ("event", pa.string()), ("line", pa.int64()), ("reason", pa.string())])
+            out = []
+            for row in part.to_pylist():
+                if row["phase"] == 0:
+                    state = _File(row)
+                elif row["phase"] == 1:
+                    state.first.append((row["seq"], row["project"]))
+                elif row["phase"] == 2:
+                    state.early[row["seq"]] = row["kept"]
+                else:
+                    reason = state.refusal(row)
+                    out.append({"file": row["file"], "seq": row["seq"], "event": row["event"], "line": None if reason else state.admit(row), "reason": reason})
+            yield pa.RecordBatch.from_pylist(out, out_schema)
+
+    schema = f"file {stream.schema['file'].dataType.simpleString()}, seq long, event string, line long, reason string"
+    nameless = named.where("file is null or event is null").select("file", "seq", "event", F.lit(None).cast("long").alias("line"), F.lit("no file or event").alias("reason"))
+    return stream.mapInArrow(run, schema).unionByName(nameless)
+
+
 def rollup_by(events: DataFrame, group: str, line: str, event: str, kinds: list[str], ts: str) -> DataFrame:
     """One row for each group: first and last time, a count of each kind, and the last kind by line."""
     counts = [F.count_if(F.col(event) == k).alias(f"n_{k}") for k in kinds]

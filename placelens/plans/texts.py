@@ -184,26 +184,47 @@ def w15_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Clicks begin a loop, views are failures, sign-ups end it; users of some numbers break the rules of names, projects and time.
 _FILES = f"""{_LOG}, full_log AS (SELECT file, line, CASE event WHEN 'click' THEN 'loop_start' WHEN 'view' THEN 'failure' WHEN 'signup' THEN 'loop_end' ELSE event END AS event, CASE WHEN file % 7 = 0 THEN -line ELSE line END AS ts,
-CASE WHEN file % 5 = 0 THEN 'other' ELSE 'f' || file END AS loop_id, CASE WHEN file % 3 = 0 THEN 'p' || line % 2 ELSE 'p' END AS project, CASE WHEN event = 'signup' THEN k END AS declared FROM aimed),
+CASE WHEN file % 5 = 0 THEN 'other' ELSE 'f' || file END AS loop_id, CASE WHEN file % 11 = 0 AND line % 4 = 1 THEN 'f' || file WHEN file % 3 = 0 THEN 'p' || line % 2 ELSE 'p' END AS project, CASE WHEN file % 2 = 0 THEN '1.1' WHEN line % 5 = 0 THEN '1.10' ELSE '1' END AS v, (file % 2 = 1 AND line % 5 = 0) AS strict, CASE WHEN event = 'signup' THEN k END AS declared FROM aimed),
 left_log AS (SELECT full_log.* FROM full_log JOIN stay USING (file, line)),
-whole AS (SELECT file, arg_min(event, line) AS first, min(line) FILTER (event = 'loop_end') AS ended, arg_min(declared, line) FILTER (event = 'loop_end') AS declared, count(*) FILTER (event = 'loop_end') AS ends, count(*) FILTER (event = 'failure') AS failures, count(DISTINCT project) AS projects FROM left_log GROUP BY file),
+whole AS (SELECT file, arg_min(event, line) AS first, min(line) FILTER (event = 'loop_end') AS ended, arg_min(declared, line) FILTER (event = 'loop_end') AS declared, count(*) FILTER (event = 'loop_end') AS ends, count(*) FILTER (event = 'failure') AS failures, count(DISTINCT project) AS projects, bool_or(strict) AS strict, count(*) FILTER (strict AND project = loop_id) AS polluted, count(*) FILTER (NOT strict AND project = loop_id) AS old_polluted FROM left_log GROUP BY file),
 behind AS (SELECT l.file, l.event, count(*) AS n FROM left_log l JOIN whole USING (file) WHERE line > ended GROUP BY ALL),
 voided AS (SELECT file, event, count(*) AS v FROM full_log WHERE event <> 'correction' AND NOT EXISTS (SELECT 1 FROM left_log l WHERE l.file = full_log.file AND l.line = full_log.line) GROUP BY ALL),
-faults AS (SELECT file, 'several projects' AS violation FROM whole WHERE projects > 1 UNION ALL SELECT file, 'does not begin with loop_start' FROM whole WHERE first <> 'loop_start' UNION ALL SELECT file, 'several ends' FROM whole WHERE ends > 1
+faults AS (SELECT file, 'several projects' AS violation FROM whole WHERE projects > 1 AND strict UNION ALL SELECT file, 'project is the loop id' FROM whole WHERE polluted > 0 UNION ALL SELECT file, 'does not begin with loop_start' FROM whole WHERE first <> 'loop_start' UNION ALL SELECT file, 'several ends' FROM whole WHERE ends > 1
 UNION ALL SELECT file, 'declares another number of failures' FROM whole WHERE declared <> failures UNION ALL SELECT DISTINCT file, 'loop id differs from the file name' FROM full_log WHERE loop_id <> 'f' || file
 UNION ALL SELECT DISTINCT file, 'not in order of time' FROM (SELECT file, ts < lag(ts) OVER (PARTITION BY file ORDER BY line) AS late FROM full_log) WHERE late UNION ALL SELECT DISTINCT file, 'no record is left' FROM full_log WHERE file NOT IN (SELECT file FROM whole)
 UNION ALL SELECT DISTINCT file, 'records after the end' FROM behind LEFT JOIN voided USING (file, event) WHERE n > coalesce(v, 0))"""
 
 
+def files_of(own: DataFrame) -> DataFrame:
+    """The rows of ``log`` as files of loops."""
+    f, line, e = F.col("file"), F.col("line"), F.col("event")
+    shape = {
+        "event": F.when(e == "click", "loop_start").when(e == "view", "failure").when(e == "signup", "loop_end").otherwise(e), "ts": F.when(f % 7 == 0, -line).otherwise(line), "loop_id": F.when(f % 5 == 0, F.lit("other")).otherwise(F.concat(F.lit("f"), f)),
+        "project": F.when((f % 11 == 0) & (line % 4 == 1), F.concat(F.lit("f"), f)).when(f % 3 == 0, F.concat(F.lit("p"), line % 2)).otherwise("p"), "v": F.when(f % 2 == 0, "1.1").when(line % 5 == 0, "1.10").otherwise("1"),
+        "failure_count": F.when(e == "signup", F.col("k")), "file": F.concat(F.lit("logs/f"), f, F.lit(".jsonl")),
+    }
+    return own.withColumns(shape)
+
+
 @query(f"WITH {_FILES} SELECT 'logs/f' || file || '.jsonl' AS file, violation FROM faults")
 def e6_file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, f, e = log(spark, sf_dir), F.col("file"), F.col("event")
+    own = log(spark, sf_dir)
     stay, _ = eventlog.corrected(own, "file", "line", "event", "target")
-    shape = {
-        "event": F.when(e == "click", "loop_start").when(e == "view", "failure").when(e == "signup", "loop_end").otherwise(e), "ts": F.when(f % 7 == 0, -F.col("line")).otherwise(F.col("line")), "loop_id": F.when(f % 5 == 0, F.lit("other")).otherwise(F.concat(F.lit("f"), f)),
-        "project": F.when(f % 3 == 0, F.concat(F.lit("p"), F.col("line") % 2)).otherwise("p"), "failure_count": F.when(e == "signup", F.col("k")), "file": F.concat(F.lit("logs/f"), f, F.lit(".jsonl")),
-    }
-    return eventlog.file_violations(own.withColumns(shape), stay.withColumns(shape))
+    return eventlog.file_violations(files_of(own), files_of(stay))
+
+
+@query(f"WITH {_FILES} SELECT 'logs/f' || file || '.jsonl' AS file, 'project is the loop id' AS warning, old_polluted AS n FROM whole WHERE old_polluted > 0 UNION ALL SELECT 'logs/f' || file || '.jsonl', 'several projects', projects FROM whole WHERE projects > 1 AND NOT strict")
+def e6_file_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stay, _ = eventlog.corrected(log(spark, sf_dir), "file", "line", "event", "target")
+    return eventlog.file_warnings(files_of(stay))
+
+
+@query()
+def e7_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of each file is a batch of records that is held against the earlier half."""
+    own = files_of(log(spark, sf_dir)).drop("loop_id", "failure_count")
+    own = own.withColumn("half", F.ceil(F.max("line").over(Window.partitionBy("file")) / 2))
+    return eventlog.admitted(own.where("line <= half"), own.where("line > half").withColumn("seq", F.col("line")))
 
 
 @query(f"WITH {_LOG}, t AS (SELECT 0 AS code, 'zero' AS name UNION ALL SELECT 1, 'one') SELECT k AS code, count(*) AS n, coalesce(any_value(name), '?') AS name FROM stay LEFT JOIN t ON k = t.code WHERE event = 'view' GROUP BY k")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from placelens.operators import articles, classify, eventlog, graph, matching, nearest, records, state, stats, vectors
@@ -412,7 +413,7 @@ def test_stray_carriage_returns(spark):
 
 
 def test_file_violations(spark):
-    schema = "file string, line long, event string, ts string, loop_id string, project string, failure_count long, target long"
+    schema = "file string, line long, event string, ts string, loop_id string, project string, failure_count long, target long, v string"
 
     def lines(file, *events, loop=None, project="p", **declared):
         return [(file, i + 1, e, f"t{i:02d}", loop or file, project if isinstance(project, str) else project[i], declared.get("n") if e == "loop_end" else None, None) for i, e in enumerate(events)]
@@ -422,15 +423,93 @@ def test_file_violations(spark):
     own += [("time", 1, "loop_start", "t9", "time", "p", None, None), ("time", 2, "commit", "t1", "time", "p", None, None)]
     own += [("slot", 1, "loop_start", "t1", "slot", "p", None, None), ("slot", 2, "commit", "t2", "slot", "p", None, None), ("slot", 3, "loop_end", "t3", "slot", "p", 0, None), ("slot", 4, "correction", "t4", "slot", "p", None, 2), ("slot", 5, "commit", "t5", "slot", "p", None, None)]
     own += [("gone", 1, "loop_start", "t1", "gone", "p", None, None), ("gone", 2, "correction", "t2", "gone", "p", None, 1)]
-    events = spark.createDataFrame(own, schema)
+    own += lines("self", "loop_start", "commit", project="self") + lines("selves", "loop_start", "commit", project=["selves", "p"])
+    version = {"self": "1.10", "selves": "1.1"}
+    events = spark.createDataFrame([(*r, version.get(r[0], "1.2")) for r in own], schema)
     stay, _ = eventlog.corrected(events, "file", "line", "event", "target")
+    assert {tuple(r) for r in eventlog.file_warnings(stay).collect()} == {("selves", "project is the loop id", 1), ("selves", "several projects", 2)}
     got = {(r.file, r.violation) for r in eventlog.file_violations(events, stay).collect()}
     assert got == {
         ("name", "loop id differs from the file name"), ("two", "several projects"), ("first", "does not begin with loop_start"), ("ends", "several ends"), ("ends", "records after the end"),
         ("count", "declares another number of failures"), ("after", "records after the end"), ("time", "not in order of time"), ("gone", "no record is left"),
+        ("self", "project is the loop id"),
     }
 
 
+@pytest.mark.parametrize("v, strict", [("1.2", True), ("1.10", True), ("2", True), ("1.1", False), ("1", False), ("1.2b", False), (None, False), ("", False)])
+def test_versions_are_compared_by_number(spark, v, strict):
+    assert spark.createDataFrame([(v,)], "v string").select(eventlog._strict(F.col("v"))).first()[0] is strict
+
+
+def plain_admitted(log, batch):
+    """Each record held against the whole list of its file, made anew for each."""
+    files, out = {}, []
+    for file, _, event, target, project in sorted(log, key=lambda r: r[:2]):
+        files.setdefault(file, []).append((event, target, project))
+    for file, seq, event, target, project in sorted(batch, key=lambda r: r[:2]):
+        own = files.setdefault(file, [])
+        void, tally = set(), {}
+        for i, (e, t, _) in enumerate(own, 1):
+            if e == "correction" and t is not None and 1 <= t <= len(own):
+                tally[own[t - 1][0]] = tally.get(own[t - 1][0], 0) + 1
+                if t < i and own[t - 1][0] != "correction":
+                    void.add(t)
+        stay = [i for i, (e, _, _) in enumerate(own, 1) if e != "correction" and i not in void]
+        ends = [i for i, (e, _, _) in enumerate(own, 1) if e == "loop_end"]
+        reason = None
+        if event == "correction":
+            if target not in stay:
+                reason = "no record to correct"
+            elif own[target - 1][0] == "loop_start" and len(stay) > 1:
+                reason = "voids the start of other records"
+        elif stay and own[stay[0] - 1][2] is not None and own[stay[0] - 1][2] != project:
+            reason = "another project"
+        elif any(own[i - 1][0] == "loop_end" for i in stay) and sum(e == event for e, _, _ in own[max(ends) :]) >= tally.get(event, 0):
+            reason = "after the end"
+        if reason is None:
+            own.append((event, target, project))
+        out.append((file, seq, event, None if reason else len(own), reason))
+    return set(out)
+
+
+def test_admitted_against_a_plain_guard(spark):
+    r = random.Random(7)
+    kinds = ["loop_start", "commit", "failure", "loop_end", "correction", "correction"]
+    log, batch = [], []
+    for f in range(60):
+        n, project = r.randrange(7), r.choice(["p", None, "p"])
+        for i in range(1, n + 1):
+            event = r.choice(kinds) if i > 1 else "loop_start"
+            log.append((f"f{f}", i, event, r.randrange(0, 7) if event == "correction" else None, project if r.random() < 0.9 else "q"))
+        for i in range(1, r.randrange(2, 16)):
+            event = r.choice(kinds)
+            batch.append((f"f{f}", i, event, r.randrange(0, n + 6) if event == "correction" else None, r.choice(["p", "p", "p", "q", None])))
+    written = spark.createDataFrame([(*x, "more") for x in log], "file string, line long, event string, target long, project string, seq string")
+    new = spark.createDataFrame(batch, "file string, seq int, event string, target long, project string")
+    got = eventlog.admitted(written, new)
+    assert {tuple(x) for x in got.collect()} == plain_admitted(log, batch)
+    assert got.where("reason is null").count() > 60 and got.select("reason").distinct().count() == 5
+
+
+def test_admitted_without_rows_or_names(spark):
+    written = spark.createDataFrame([], "file string, line long, event string, target long, project string")
+    new = spark.createDataFrame([(None, 1, "commit", None, "p"), ("f", 2, None, None, "p"), ("f", 3, "commit", None, None), ("f", 3, "commit", None, None)], "file string, seq int, event string, target long, project string")
+    assert sorted(map(str, eventlog.admitted(written, new).collect())) == sorted(map(str, [
+        Row(file=None, seq=1, event="commit", line=None, reason="no file or event"), Row(file="f", seq=2, event=None, line=None, reason="no file or event"),
+        Row(file="f", seq=3, event="commit", line=1, reason=None), Row(file="f", seq=3, event="commit", line=2, reason=None),
+    ]))
+    assert eventlog.admitted(written, new.limit(0)).count() == 0
+
+
+def test_admitted_record_that_replaces_a_voided_one(spark):
+    log = [("f", 1, "loop_start", None, "p"), ("f", 2, "failure", None, "p"), ("f", 3, "loop_end", None, "p")]
+    batch = [("f", 4, "failure", None, "p"), ("f", 5, "correction", 1, "p"), ("f", 6, "correction", 2, "p"), ("f", 7, "failure", None, "p"), ("f", 8, "failure", None, "p"), ("f", 9, "correction", 5, "q"), ("f", 10, "failure", None, "p")]
+    got = eventlog.admitted(spark.createDataFrame(log, "file string, line long, event string, target long, project string"), spark.createDataFrame(batch, "file string, seq int, event string, target long, project string"))
+    assert [(r.seq, r.line, r.reason) for r in got.orderBy("seq").collect()] == [
+        (4, None, "after the end"), (5, None, "voids the start of other records"), (6, 4, None), (7, 5, None), (8, None, "after the end"), (9, 6, None), (10, 7, None),
+    ]
+
+
 def test_ids_and_leaks(spark):
     ids = spark.createDataFrame([("jinja_n12",), ("jinja_x1",), ("jinja_w",), ("jinja_r1\n",), (None,)], "i string")
     assert [r.ok for r in ids.select(records.valid_id(F.col("i")).alias("ok")).collect()] == [True, False, False, False, False]
