@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,11 +106,11 @@ class Automaton:
         bits[: len(states)] = states
         return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
 
-    def run(self, strings: list[str]) -> np.ndarray:
-        """For each string and pattern, whether the pattern fits the whole string."""
+    def parts(self, strings: list[str]) -> Iterator[np.ndarray]:
+        """For each string and pattern, whether the pattern fits the whole string; rows in order, by as many strings as ``STATE_BYTES`` hold."""
         step = max(1, STATE_BYTES // (8 * self.words))
-        parts = [self._run(strings[i : i + step]) for i in range(0, len(strings), step)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.last)), bool)
+        for i in range(0, len(strings), step):
+            yield self._run(strings[i : i + step])
 
     def _run(self, strings: list[str]) -> np.ndarray:
         sizes = np.array([len(x) for x in strings])
@@ -142,8 +143,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked: tuple[str, ...] = B
     empty host and path, fits no rule and is allowed.  One row for each row,
     repeated ones too; an empty table gives an empty one.  No shuffle; other
     columns are ignored, whatever their names.  The state that a task holds is
-    bounded by ``STATE_BYTES``, however many rules there are, but for the one
-    row that a URL needs.
+    bounded by ``STATE_BYTES``, and what fits of it by a few times that, however
+    many rules there are, but for the one row that a URL needs.
     """
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "block", r.text))
     automaton = Automaton([r.pattern for r in ordered] + [glob(x) for x in blocked])
@@ -153,7 +154,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], blocked: tuple[str, ...] = B
             for part in slices(batch, "url"):
                 pairs = [canonical(x) for x in part.column("url").to_pylist()]
                 out = []
-                for (host, path), fit in zip(pairs, automaton.run([f".{host}{path}" for host, path in pairs])):
+                for (host, path), fit in zip(pairs, chain.from_iterable(automaton.parts([f".{host}{path}" for host, path in pairs]))):
                     hits = np.flatnonzero(fit)
                     rule = ordered[hits[0]] if len(hits) and hits[0] < len(ordered) else None
                     by = next((blocked[h - len(ordered)] for h in hits if h >= len(ordered)), None)
