@@ -221,3 +221,19 @@ def top_similar(rows: DataFrame, key: str, vector: str, k: int = 20) -> DataFram
     each = rows.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")).join(lists, "v")
     others = each.select("key", F.slice(F.filter("near", lambda x: x["other"] != F.col("key")), 1, k).alias("near"))
     return others.select(F.col("key").alias(key), F.posexplode("near").alias("p", "x")).select(key, "x.other", "x.score", (F.col("p") + 1).alias("rank"))
+
+
+def with_neighbours(top: DataFrame, catalogue: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, similar, missing) of ``top`` (key, other, score, rank).
+
+    similar lists the neighbours in order of rank as (rank, other, score, named),
+    where named holds ``columns`` of the neighbour's row in ``catalogue``, so that
+    a reader needs no second lookup; columns must be of kinds that can be
+    ordered.  A neighbour that the catalogue lacks is left out and counted in
+    missing; a row all of whose neighbours are missing has an empty list, a row
+    without neighbours is absent.  Keys of the catalogue stand once.
+    """
+    named = catalogue.select(F.col(key).alias("other"), F.struct(*columns).alias("named"))
+    met = top.select(key, "other", "score", "rank").join(named, "other", "left")
+    known = F.when(F.col("named").isNotNull(), F.struct("rank", "other", "score", "named"))
+    return met.groupBy(key).agg(F.array_sort(F.collect_list(known)).alias("similar"), F.count_if(F.col("named").isNull()).alias("missing"))

@@ -146,17 +146,19 @@ def head_agreement(tops: DataFrame, heads: DataFrame) -> DataFrame:
 
 #: Fixed values of a deal: a prime, two multipliers below it and the number of rounds; products stay below 2^63, so SQL can compute the same.
 PRIME, FIRST, SECOND, ROUNDS = 2**31 - 1, 48271, 69621, 32
+#: Rows that a task deals at once, over as many draws as that takes.
+DEALT_ROWS = 2**16
 
 
-def _round_key(draw: int, turn: int, seed: int) -> int:
+def _round_key(draw: int | np.ndarray, turn: int, seed: int) -> int | np.ndarray:
     own = (seed % PRIME * FIRST + draw) % PRIME
     own = (own * own + (turn + 1) * SECOND) % PRIME
     own = (own * own + 1) % PRIME
     return (own * own + draw) % PRIME
 
 
-def dealt_places(places: np.ndarray, n: int, draw: int, seed: int) -> np.ndarray:
-    """Where each of ``places`` goes when the numbers below ``n`` are dealt anew: one permutation for each seed and draw.
+def dealt_places(places: np.ndarray, n: int, draw: int | np.ndarray, seed: int) -> np.ndarray:
+    """Where each of ``places`` goes when the numbers below ``n`` are dealt anew: one permutation for each seed and draw, which are broadcast.
 
     A swap-or-not shuffle (Hoang, Morris and Rogaway, 2012): each round pairs x
     with (k - x) modulo n and swaps the pair or not, by a bit of the larger of
@@ -189,9 +191,12 @@ def _dealt(rows: DataFrame, placed: DataFrame, draws: int, seed: int) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 places, n = batch.column("place").to_numpy(), batch.column("sites")[0].as_py()
-                for draw in range(draws):
-                    made = [pa.array(dealt_places(places, n, draw, seed)), pa.array(np.full(len(places), draw, np.int64))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], [*others, "place", "draw"])
+                step = max(1, DEALT_ROWS // len(places))
+                for low in range(0, draws, step):
+                    own = np.arange(low, min(low + step, draws))
+                    again = pa.array(np.tile(np.arange(len(places)), len(own)))
+                    made = [pa.array(dealt_places(places[None, :], n, own[:, None], seed).ravel()), pa.array(np.repeat(own, len(places)))]
+                    yield pa.RecordBatch.from_arrays([*(x.take(again) for x in batch.columns[: len(others)]), *made], [*others, "place", "draw"])
 
     fields = [*rows.schema.fields[: len(others)], StructField("place", LongType()), StructField("draw", LongType())]
     moved = rows.mapInArrow(run, StructType(fields))

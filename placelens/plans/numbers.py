@@ -148,6 +148,16 @@ def j14_q2_similar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("vec_id").agg(F.count_if(same).alias("same_cluster"), listed.alias("others"))
 
 
+@query(f"{_SIMILAR} SELECT vec_id, coalesce(string_agg(other || ':' || coalesce(lang, '-') || ':' || coalesce(source, '-'), ',' ORDER BY rank) FILTER (doc_id IS NOT NULL), '') AS named, count(*) FILTER (doc_id IS NULL) AS missing FROM top LEFT JOIN (SELECT * FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) d ON doc_id = other GROUP BY 1")
+def j14_neighbour_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of each row with language and source of their document, and how many have none with a text and a source."""
+    top = similar.top_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    documents = table(spark, sf_dir, "documents").where("text is not null and source is not null").withColumnRenamed("doc_id", "vec_id")
+    one = lambda x: F.concat_ws(":", x["other"].cast("string"), F.coalesce(x["named"]["lang"], F.lit("-")), F.coalesce(x["named"]["source"], F.lit("-")))
+    out = similar.with_neighbours(top, documents, "vec_id", ["lang", "source"])
+    return out.select("vec_id", F.array_join(F.transform("similar", one), ",").alias("named"), "missing")
+
+
 @query(f"{_SIMILAR}, sc AS (SELECT l.vec_id, c.label, round(sum(v * m), 9) AS score FROM long l JOIN (SELECT label, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM (SELECT label, pos, avg(v) AS m FROM long GROUP BY ALL)) c USING (pos) GROUP BY ALL), t3 AS (SELECT vec_id, list(label ORDER BY score DESC, label)[1:3] AS t FROM sc GROUP BY 1) SELECT top.vec_id, rank, other, array_to_string(list_filter(x.t, lambda k: list_contains(y.t, k)), ',') AS shared FROM top JOIN t3 x USING (vec_id) JOIN t3 y ON y.vec_id = other")
 def q2_w13_shared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each neighbour the entries that are among the first three of both, in the row's own order."""

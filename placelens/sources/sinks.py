@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -57,6 +58,24 @@ def features(rows: DataFrame, lon: str, lat: str, properties: list[str]) -> Data
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
+def write_collection(rows: DataFrame, path: str, key: str, lon: str, lat: str, properties: list[str], attribution: str) -> None:
+    """A GeoJSON collection in order of ``key``, as text files that give the document when joined in order of their names.
+
+    Tasks write ranges of the key; the head, the tail and the comma before all
+    features but the first are lines of their own range.  Keys stand once and
+    are not null; an empty table gives an empty collection.
+    """
+    geometry = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+    made = F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
+    first = F.broadcast(rows.agg(F.min(key).alias("_first")))
+    body = rows.select(F.lit(1).alias("_place"), F.col(key).alias("_key"), made.alias("_made")).join(first)
+    body = body.select("_place", "_key", F.when(F.col("_key") == F.col("_first"), F.col("_made")).otherwise(F.concat(F.lit(","), "_made")).alias("value"))
+    head = json.dumps({"type": "FeatureCollection", "attribution": attribution}, ensure_ascii=False)[:-1] + ', "features": ['
+    ends = rows.sparkSession.createDataFrame([(0, head), (2, "]}")], "_place int, value string")
+    lines = body.unionByName(ends, allowMissingColumns=True).repartitionByRange("_place", "_key").sortWithinPartitions("_place", "_key")
+    lines.select("value").write.mode("overwrite").text(path)
+
+
 def write_state(rows: DataFrame, path: str, key: str, files: int | None = None) -> None:
     """JSON lines in order of ``key``, in ranges of the key: ``files`` of them, else as many as Spark takes for the size."""
     ranged = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)

@@ -54,3 +54,12 @@ def test_no_vectors(spark):
     assert similar.top_similar(df, "id", "v", 3).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
     assert similar.top_similar(one, "id", "v", 3).count() == 0
+
+
+def test_neighbours_with_names_and_missing_ones(spark):
+    top = spark.createDataFrame([(1, 2, 0.9, 1), (1, 3, 0.8, 2), (1, 9, 0.7, 3), (2, 9, 0.9, 1)], "k long, other long, score double, rank int")
+    catalogue = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "c", "z")], "k long, rank string, score string")
+    got = {r.k: (r.similar, r.missing) for r in similar.with_neighbours(top, catalogue, "k", ["rank", "score"]).collect()}
+    assert got[2] == ([], 1) and got[1][1] == 1
+    assert [(x.rank, x.other, x.score, tuple(x.named)) for x in got[1][0]] == [(1, 2, 0.9, (None, "y")), (2, 3, 0.8, ("c", "z"))]
+    assert similar.with_neighbours(top.limit(0), catalogue, "k", ["rank"]).count() == 0

@@ -160,3 +160,13 @@ def test_stamps_of_many_files_and_state_in_ranges(spark, tmp_path):
     files = sorted(x for x in (tmp_path / "state").iterdir() if x.suffix == ".json")
     lines = [json.loads(y)["path"] for x in files for y in x.read_text().splitlines()]
     assert lines == sorted(lines) and len(lines) == 50 and len(files) > 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_collection_is_one_document(spark, tmp_path, n):
+    rows = spark.createDataFrame([(i, 135 + i / 8, 35.5, f'a "{i}"') for i in range(n)], "id int, lon double, lat double, name string").repartition(4)
+    sinks.write_collection(rows, f"{tmp_path}/c", "id", "lon", "lat", ["id", "name"], "© those who mapped it")
+    got = json.loads("".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*"))))
+    assert (got["type"], got["attribution"], len(got["features"])) == ("FeatureCollection", "© those who mapped it", n)
+    assert [f["properties"] for f in got["features"]] == [{"id": i, "name": f'a "{i}"'} for i in range(n)]
+    assert all(f["geometry"]["coordinates"] == [135 + i / 8, 35.5] for i, f in enumerate(got["features"]))
