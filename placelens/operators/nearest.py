@@ -10,6 +10,8 @@ from ..sources.shared import cut, dealt
 
 #: Cells of segments and half-width of a site's box in degrees, and the largest distance reported.
 SEGMENT_CELL, BOX, FAR_M = 0.15, 0.15, 10_000.0
+#: Segments of a cell beyond which smaller cells are tried first, and how many times.
+CROWDED, FINER = 8, 8
 
 
 def covering_cells(x1: str, y1: str, x2: str, y2: str, size: float):
@@ -37,8 +39,8 @@ def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT
     """(site_id, name, distance_m, note): nearest named segment in the plane of the site.
 
     Segments (name, lon1, lat1, lon2, lat2) are blocked by the cells that they
-    touch, sites (site_id, lon, lat) look into 3 x 3 cells; sites that find
-    nothing as near as these cover for certain look into larger ones, until
+    touch, sites (site_id, lon, lat) look into 3 x 3 cells, smaller ones first
+    where segments are crowded; sites that find nothing as near as these cover for certain look into larger ones, until
     ``most`` metres are covered.  A column epsg of the sites names the plane of
     each (``geo.prefecture_plane``); without it, or where it is null, that of
     the UTM zone is taken.  Ties go to the smaller name.  Beyond ``most``
@@ -60,28 +62,56 @@ def nearest_segment(sites: DataFrame, segments: DataFrame, size: float = SEGMENT
     both = lambda i: projected(F.col(f"lon{i}"), F.col(f"lat{i}"), F.col("epsg"))
     flat = segments.withColumn("epsg", F.explode(F.array_compact(F.array(*[F.when(meets(x), F.lit(x["epsg"])) for x in planes])))).withColumns({"s": both(1), "e": both(2)})
     flat, best = cut(flat, "segments"), None
-    for step in sizes:
-        found = cut(_in_cells(left, flat, step), "nearest")
-        done = found if step == sizes[-1] else found.where("b.d <= reach")
-        best = done if best is None else best.union(done)
-        left = left.join(done.select("site_id"), "site_id", "left_anti")
+    for step in [*_finer(flat, size), *sizes]:
+        met = _in_cells(left, flat, step)
+        nearest = cut(met.groupBy("site_id").agg(F.min("d").alias("_d"), F.min("reach").alias("_reach")), "nearest")
+        done = nearest if step == sizes[-1] else nearest.where("_d <= _reach")
+        # distances are a minimum of numbers, which is never sorted; names only where they are the nearest
+        named = _in_cells(left.join(done, "site_id"), flat, step).where("d = _d").groupBy("site_id").agg(F.min(F.struct("d", "name")).alias("b"))
+        found = cut(named, "named")
+        best = found if best is None else best.union(found)
+        left = cut(left.join(done.select("site_id"), "site_id", "left_anti"), "sites")
+        if left.isEmpty():
+            break
     out = sites.select("site_id").join(best, "site_id", "left")
     d = F.col("b.d")
     note = F.when(d.isNull(), "nothing in the cells around").when(d > most, "farther than the limit")
     return out.select("site_id", F.when(note.isNull(), F.col("b.name")).alias("name"), F.when(note.isNull(), F.round(d, 1)).alias("distance_m"), note.alias("note"))
 
 
+def _finer(segments: DataFrame, size: float) -> list[float]:
+    """Cells smaller than ``size`` to look into first where segments are crowded, in ascending order.
+
+    Crowded is a cell of more than ``CROWDED`` segments, as a segment finds it
+    on average; no cell is smaller than a fifth of a segment's extent, so that
+    a segment is repeated for so many cells at most.
+    """
+    extent = (F.abs(F.col("lon1") - F.col("lon2")) + F.abs(F.col("lat1") - F.col("lat2"))) / 2
+    least = (segments.agg(F.avg(extent)).first()[0] or 0.0) / 5
+    out = []
+    while len(out) < FINER and (now := (out[0] if out else size)) / 3 > max(least, 1e-6):
+        counts = segments.groupBy("epsg", cell(F.col("lat1"), now), cell(F.col("lon1"), now)).count()
+        if (counts.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0.0) <= CROWDED:
+            break
+        out.insert(0, now / 3)
+    return out
+
+
 def _in_cells(sites: DataFrame, segments: DataFrame, size: float) -> DataFrame:
-    """(site_id, b: distance and name of the nearest segment in 3 x 3 cells, reach: the metres that these cover).
+    """``sites`` with d and name of each segment that touches the 3 x 3 cells around, and reach, the metres that these cover.
 
-    A segment is met once in each cell that it touches; the minimum does not mind.
+    Segments are repeated for the cells around those that they touch, so a site
+    meets a segment once, in its own cell.  They are small on disk and large
+    once repeated, so it is not left to Spark to broadcast them.
     """
-    blocks = segments.select("epsg", "name", "s", "e", F.explode(covering_cells("lon1", "lat1", "lon2", "lat2", size)).alias("_c")).select("epsg", "name", "s", "e", "_c.cy", "_c.cx")
-    steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-    own = sites.select("site_id", "lon", "lat", "epsg", "p", steps.alias("_s")).select("site_id", "lat", "epsg", "p", (cell(F.col("lat"), size) + F.col("_s.y")).alias("cy"), (cell(F.col("lon"), size) + F.col("_s.x")).alias("cx"))
-    d = point_segment_m(*[F.col(c) for c in ("p.x", "p.y", "s.x", "s.y", "e.x", "e.y")])
-    near = own.join(blocks, ["epsg", "cy", "cx"]).select("site_id", "lat", d.alias("d"), "name")
-    return near.groupBy("site_id").agg(F.min(F.struct("d", "name")).alias("b"), F.min(_reach_m(F.col("lat"), size)).alias("reach"))
+    wide = [F.least(f"{c}1", f"{c}2") - size for c in ("lon", "lat")] + [F.greatest(f"{c}1", f"{c}2") + size for c in ("lon", "lat")]
+    around = F.explode(covering_cells(wide[0], wide[1], wide[2], wide[3], size))
+    ends = [F.col(f"{x}.{y}").alias(f"_{x}{y}") for x in "se" for y in "xy"]
+    blocks = segments.select("epsg", "name", *ends, around.alias("_c")).select("epsg", "name", "_sx", "_sy", "_ex", "_ey", "_c.cy", "_c.cx")
+    own = sites.withColumns({"_px": F.col("p.x"), "_py": F.col("p.y"), "cy": cell(F.col("lat"), size), "cx": cell(F.col("lon"), size), "reach": _reach_m(F.col("lat"), size)}).drop("p")
+    places = ["_px", "_py", "_sx", "_sy", "_ex", "_ey"]
+    d = point_segment_m(*map(F.col, places))
+    return own.join(blocks.hint("merge"), ["epsg", "cy", "cx"]).withColumn("d", d).drop("epsg", "cy", "cx", *places)
 
 
 def partitions_for(sites: DataFrame, todo: Column, boxes: DataFrame, half: float = BOX) -> DataFrame:

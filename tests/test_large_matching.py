@@ -51,3 +51,19 @@ def test_repeated_sites_are_never_broadcast(spark):
     own, _ = crowd(spark, 50, 1, 6)
     plan = matching.same_name_pairs(own, F.col("name"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_crowded_segments_are_looked_for_in_smaller_cells(spark, monkeypatch):
+    from placelens.operators import nearest
+
+    r = random.Random(7)
+    own = spark.createDataFrame([(i, 139 + r.random() * 0.02, 35 + r.random() * 0.02) for i in range(60)], "site_id long, lon double, lat double")
+    lines = [(f"r{i:03d}", 139 + r.random() * 0.02, 35 + r.random() * 0.02) for i in range(600)]
+    segments = spark.createDataFrame([(n, x, y, x + 0.001, y - 0.0005) for n, x, y in lines + [("r900", *lines[0][1:])]], "name string, lon1 double, lat1 double, lon2 double, lat2 double")
+    steps, met = [], nearest._in_cells
+    monkeypatch.setattr(nearest, "_in_cells", lambda left, flat, size: steps.append(size) or met(left, flat, size))
+    rows = lambda: sorted((x.site_id, x.name, x.distance_m, x.note or "") for x in nearest.nearest_segment(own, segments, size=0.02).collect())
+    got, first = rows(), min(steps)
+    assert met(own.withColumns({"epsg": F.lit(1), "p": F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))}), segments.withColumns({"epsg": F.lit(1), "s": F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), "e": F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))}), first).count() < 60 * 601 / 20
+    monkeypatch.setattr(nearest, "FINER", 0)
+    assert got == rows()
