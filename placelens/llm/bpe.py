@@ -18,7 +18,6 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +114,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary.load(path)
-        self.split = regex.compile(vocabulary.BYTE_PIECES).findall
+        self.split = vocabulary.splitter(path, vocabulary.BYTE_PIECES)
         self.pieces, self.first, self.spaced = Recent(), Recent(), Recent()
 
     def learn(self, wanted: list[list[str]]) -> list[bytes]:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +76,7 @@ class WordCounter(dict):
 
     def __init__(self, path: str):
         self.pieces, self.v = _Pieces(path), vocabulary.load(path)
-        self.split = regex.compile(vocabulary.WORD_PIECES).findall
+        self.split = vocabulary.splitter(path, vocabulary.WORD_PIECES)
 
     def __missing__(self, word: str) -> int:
         count = self.plain(word) if "<|" not in word else self.with_specials(word)
@@ -88,8 +87,9 @@ class WordCounter(dict):
         return count
 
     def plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))  # no final sigma
+        if text.isascii() or text.isprintable():
+            text = unicodedata.normalize("NFC", text)
+            text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))  # no final sigma
         return sum(map(self.pieces.__getitem__, self.split(text)))
 
     def with_specials(self, text: str) -> int:

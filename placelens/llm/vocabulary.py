@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -12,6 +13,27 @@ WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def splitter(path: str, pattern: str) -> Callable[[str], list[str]]:
+    """The pieces of a text by ``pattern``, after the file's own normalizer where the library has to decide.
+
+    The library and ``regex`` know other versions of Unicode.  They agree on all
+    characters that Python prints; a text with any other one, such as a letter
+    newer than Python's tables, is split by the library's own expressions.
+    """
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    find = regex.compile(pattern).findall
+    normalizer = Tokenizer.from_file(path).normalizer
+    library = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or text.isprintable():
+            return find(text)
+        return [x for x, _ in library.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)]
+
+    return split
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself, or the next free one from 256 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

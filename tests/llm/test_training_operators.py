@@ -67,6 +67,18 @@ def test_tokenizers_on_any_text(text):
     assert np.frombuffer(own, np.uint16).tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_that_only_some_versions_of_unicode_know():
+    words, pieces = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    odd = [0x3D000, 0x3FC3F, 0x558, 0x1C89, 0xA7CB, 0xA7DC, 0x10940, 0x10D50, 0x11DE0, 0x1D6A6, 0xAD, 0x200D, 0x85, 0xE000]
+    for c in [chr(x) for x in odd]:
+        for text in (f"XA{c}", f"X {c}{c}1{c}\n b", f"{c}é\n\n{c}'s", f"<|endoftext|>{c}a"):
+            assert token_counts.counter(WORD).count(text) == len(words.encode(text, add_special_tokens=False).ids), text
+            [ids] = bpe.encoder(BYTE).encode([text])
+            assert np.frombuffer(ids, np.uint32).tolist() == pieces.encode(text, add_special_tokens=False).ids, text
+            [own] = token_output.encoder(WORD).encode([text])
+            assert np.frombuffer(own, np.uint16).tolist() == words.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_round_trip_equals_the_library(spark):
     texts = ODD + noise(2, 60)
     library = Tokenizer.from_file(BYTE)
