@@ -4,7 +4,8 @@ Distinct vectors are put into the list of their nearest pivot.  A vector's
 k-th best product inside its own block is a floor; a list whose bound, by the
 triangle inequality on distances to its pivot, lies below the floor holds no
 neighbour of it.  Blocks of neighbouring lists meet only where some vector
-needs it, and inside a task only the lists that it needs are multiplied.
+needs it, and where few of them do, only the lists that they need are
+multiplied.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, discard
+from .products import products, slack
 
 #: Vectors of a list on average, vectors of a block, and most lists; pivots and sums of lists go to every task.
 PER_LIST, BLOCK, MOST_LISTS = 128, 2048, 10_000
-#: Products are compared to so many digits; what a bound may be off by.
-DIGITS, SLACK = 9, 1e-7
+#: Vectors that are held against all lists at a time.
+AT_ONCE = 256
 
 
 @dataclass
@@ -79,7 +81,7 @@ def _listed(own: DataFrame, pivots: np.ndarray) -> DataFrame:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column("v"))
-            at = (half - v @ pivots.T).argmin(axis=1)
+            at = np.concatenate([(half - v[i : i + AT_ONCE] @ pivots.T).argmin(axis=1) for i in range(0, len(v), AT_ONCE)])
             more = [pa.array(at.astype(np.int32)), pa.array(np.linalg.norm(v - pivots[at], axis=1)), pa.array(np.linalg.norm(v, axis=1))]
             yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("v"), *more], ["vid", "v", "list", "far", "length"])
 
@@ -134,7 +136,11 @@ def _needed(lists: _Lists):
             for row in range(batch.num_rows):
                 floor = batch.column("floor")[row].values.to_numpy(zero_copy_only=False)
                 v = batch.column("v")[row].values.to_numpy(zero_copy_only=False).reshape(len(floor), -1)
-                wanted = every[(lists.bounds(v, every) >= floor[:, None] - SLACK).any(axis=0)]
+                low = floor - slack(np.linalg.norm(v, axis=1), lists.length.max())
+                any_of = np.zeros(len(every), bool)
+                for i in range(0, len(v), AT_ONCE):
+                    any_of |= (lists.bounds(v[i : i + AT_ONCE], every) >= low[i : i + AT_ONCE, None]).any(axis=0)
+                wanted = every[any_of]
                 to = np.unique(np.concatenate([np.arange(lists.block[x], lists.block[x] + lists.blocks[x]) for x in wanted]))
                 a = np.full(len(to), batch.column("block")[row].as_py(), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(to.astype(np.int32))], ["a", "b"])
@@ -142,38 +148,6 @@ def _needed(lists: _Lists):
     return run
 
 
-def _products(lists: _Lists, k: int):
-    """(vid, other, score) of the k best of a block for each vector of another that needs its lists; and a row without them with how many pairs were compared."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                side = lambda s: [batch.column(f"{c}_{s}")[row].values.to_numpy(zero_copy_only=False) for c in ("vid", "list", "v")]  # noqa: E731, B023
-                (ids, _, v), (others, of, w) = side("a"), side("b")
-                floor = batch.column("floor_a")[row].values.to_numpy(zero_copy_only=False)
-                v, w = v.reshape(len(ids), -1), w.reshape(len(others), -1)
-                own = np.unique(of)
-                need = lists.bounds(v, own) >= floor[:, None] - SLACK
-                starts = np.searchsorted(of, own)
-                ends = np.append(starts[1:], len(of))
-                score = np.full((len(ids), len(others)), -np.inf)
-                for i in np.flatnonzero(need.any(axis=0)):
-                    who = np.flatnonzero(need[:, i])
-                    score[who, starts[i] : ends[i]] = v[who] @ w[starts[i] : ends[i]].T
-                score = np.round(score, DIGITS)
-                if k < len(others):
-                    order = np.lexsort((np.broadcast_to(others, score.shape), -score), axis=1)[:, :k]
-                else:
-                    order = np.broadcast_to(np.arange(len(others)), score.shape)
-                best = np.take_along_axis(score, order, axis=1)
-                x, y = np.nonzero(np.isfinite(best) & (best >= floor[:, None] - SLACK))
-                compared = int((need * (ends - starts)).sum())
-                columns = [pa.array([None, *ids[x].tolist()], batch.schema.field("vid_a").type.value_type), pa.array([None, *others[order[x, y]].tolist()], batch.schema.field("vid_a").type.value_type)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([None, *best[x, y].tolist()], pa.float64()), pa.array([compared] + [0] * len(x), pa.int64())], ["vid", "other", "score", "compared"])
-
-    return run
-
-
 def search(own: DataFrame, k: int) -> DataFrame:
     """A written table (vid, other, score, compared) with at least the k best of each distinct vector, itself included, and rows without ids that count compared pairs."""
     count = own.count()
@@ -185,10 +159,7 @@ def search(own: DataFrame, k: int) -> DataFrame:
     lists = _lists(listed, pivots)
     blocks = cut(_blocks(listed, lists, k), "blocks-of-lists")
     pairs = cut(blocks.mapInArrow(_needed(lists), "a int, b int"), "pairs-of-blocks")
-    a, b = (blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("vid", "list", "v", "floor")]) for s in "ab")
-    # each pair is a task's work: dealt by pair, not by one of its blocks
-    met = pairs.join(a, "a").join(b.drop("floor_b"), "b").select("vid_a", "list_a", "v_a", "floor_a", "vid_b", "list_b", "v_b")
-    out = cut(met.mapInArrow(_products(lists, k), f"vid {kind}, other {kind}, score double, compared long"), "candidates")
+    out = cut(products(blocks, k, pairs, lists), "candidates")
     discard(listed, blocks, pairs)
     return out
 
@@ -198,14 +169,14 @@ def pairs_compared(found: DataFrame) -> int:
 
 
 def top_similar(rows: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
-    """(key, other, score, rank): the k largest dot products of each row with the others, rounded to ``DIGITS``, ties by key.
+    """(key, other, score, rank): the k largest dot products of each row with the others, rounded to nine digits, ties by key.
 
     Exact for vectors of any length; keys are numbers and told apart by row.
     Equal vectors are searched once, however many there are, and each row gets
     the shared list without itself.  Lists are many and short where vectors
     crowd, and nothing is skipped where they do not.  Pivots and sums of lists
-    are at most ``MOST_LISTS``; a task holds two blocks of about ``BLOCK``
-    vectors.  A null vector or key is left out; an empty table gives an empty
+    are at most ``MOST_LISTS``; a task holds a strip of blocks of about ``BLOCK``
+    vectors (``products``).  A null vector or key is left out; an empty table gives an empty
     one.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())

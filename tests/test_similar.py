@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from placelens.operators import similar
+from placelens.operators import products, similar, vectors
 
 
 def by_hand(keys, x, k):
@@ -63,3 +63,53 @@ def test_neighbours_with_names_and_missing_ones(spark):
     assert got[2] == ([], 1) and got[1][1] == 1
     assert [(x.rank, x.other, x.score, tuple(x.named)) for x in got[1][0]] == [(1, 2, 0.9, (None, "y")), (2, 3, 0.8, ("c", "z"))]
     assert similar.with_neighbours(top.limit(0), catalogue, "k", ["rank"]).count() == 0
+
+
+def test_scores_closer_than_single_precision(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 32)
+    monkeypatch.setattr(similar, "PER_LIST", 8)
+    monkeypatch.setattr(products, "TILE", 16)
+    monkeypatch.setattr(products, "STRIP_BYTES", 5000)
+    monkeypatch.setattr(products, "STREAMED", 2)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(1, 6)), 150, axis=0) + r.permutation(150)[:, None] * 1e-8
+    x = np.concatenate([x, r.normal(size=(100, 6)), 1e-6 * r.normal(size=(20, 6))])
+    check(spark, list(range(270)), x, 5)
+    check(spark, list(range(270)), x * 1e3, 5)
+    huge = np.concatenate([x[:20], x[150:160] * 1e20])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(huge)], "id long, v array<double>")
+    assert similar.top_similar(df, "id", "v", 3).count() == 90
+
+
+def test_blocks_are_sent_by_strip_not_by_pair():
+    for count in (1, 7, 50, 300, 3000):
+        per, strips, parts = products.shape(count, 1 << 20, 36)
+        assert per * strips >= count and strips * parts >= min(36, count)
+        assert strips + parts <= max(13, count / 16)
+        assert per << 20 <= products.STRIP_BYTES and count / parts <= products.STREAMED
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_pairs_above_a_score(spark, block):
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(150, 3)), 1)
+    x[:20] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    score = np.round(x @ x.T, 9)
+    got = {(p.id, p.other): p.score for p in vectors.similar_pairs(df, "id", "v", 0.5, block).collect()}
+    assert set(got) == {(i, j) for i in range(150) for j in range(150) if i != j and score[i, j] >= 0.5}
+    assert all(abs(s - score[p]) < 2e-9 for p, s in got.items())
+
+
+def test_density_clusters_find_the_links_once(spark):
+    rows = spark.createDataFrame([(i, j, 0.9) for i in range(8) for j in range(8) if i != j], "k long, other long, score double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    points = spark.createDataFrame([(i,) for i in range(9)], "k long")
+    got = {x.k: x.cluster for x in vectors.density_clusters(rows.mapInArrow(count, rows.schema), points, "k", 0.5, 5, 6).collect()}
+    assert got == {**dict.fromkeys(range(8), 0), 8: -1} and seen.value == 56
