@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from .graph import connected_components
+from .products import products
 from .stats import medians
 
-#: Rows of a block of the all-pairs product; a task holds two blocks.
+#: Rows of a block of the all-pairs product; a task holds a strip of blocks.
 BLOCK = 2048
 #: Centroids that may go to every task.
 MOST_CENTROIDS = 10_000
@@ -49,37 +48,26 @@ def _products(rows: DataFrame, key: str, vector: str, block: int, k: int | None,
 
     Rows are dealt into blocks by a written row number, whatever their keys.
     """
-    own = cut(rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
+    own = cut(rows.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
     n = max(1, -(-own.count() // block))
-    own = own.select("k", "v", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("a"))
-    lists = own.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
-    pairs = lists.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for x, y in zip(frame["x"], frame["y"]):
-                kx, ky = (np.array([r["k"] for r in s]) for s in (x, y))
-                vx, vy = (np.stack([np.asarray(r["v"], float) for r in s]) for s in (x, y))
-                score = np.round(vx @ vy.T, 9)
-                score[(kx[:, None] == ky[None, :]) | (score < least)] = -np.inf
-                if k is not None and k < len(ky):
-                    order = np.lexsort((np.broadcast_to(ky, score.shape), -score), axis=1)[:, :k]
-                    at = np.repeat(np.arange(len(kx)), order.shape[1])
-                    to = order.ravel()
-                else:
-                    at, to = (i.ravel() for i in np.indices(score.shape))
-                good = np.isfinite(score[at, to])
-                yield pd.DataFrame({"key": kx[at[good]], "other": ky[to[good]], "score": score[at[good], to[good]]})
-
+    own = own.select("k", "v", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block"))
     kind = own.schema["k"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"key {kind}, other {kind}, score double").withColumnRenamed("key", key)
+
+    def whole(table: pa.Table) -> pa.Table:
+        ids, v = table.column("k").combine_chunks(), table.column("v").combine_chunks().flatten()
+        columns = [ids, pa.array(np.zeros(len(ids), np.int32)), v, pa.array(np.full(len(ids), least))]
+        return pa.table([table.column("block")[:1].combine_chunks(), *(pa.array([c], pa.list_(c.type)) for c in columns)], names=["block", "vid", "list", "v", "floor"])
+
+    blocks = cut(own.groupBy("block").applyInArrow(whole, f"block int, vid array<{kind}>, list array<int>, v array<double>, floor array<double>"), "blocks-of-vectors")
+    found = products(blocks, k, same=True).where(F.col("vid").isNotNull() & (F.col("score") >= least))
+    return found.select(F.col("vid").alias(key), "other", "score")
 
 
 def top_similar(rows: DataFrame, key: str, vector: str, k: int = 20, block: int = BLOCK) -> DataFrame:
     """(key, other, score, rank): the k largest dot products of each row with the others, ties by id.
 
-    Every pair of blocks is one matrix product in a task, which keeps only k
-    candidates for each row, and the candidates of all blocks are ranked.  The
+    Every pair of blocks is a matrix product in a task, which keeps only k
+    candidates for each row, and the candidates of all tasks are ranked.  The
     work is that of all pairs: for some ten million rows, not for billions.
     """
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))
@@ -132,7 +120,7 @@ def density_clusters(similar: DataFrame, points: DataFrame, key: str, least: flo
     cores, named by their smallest key; other points join the cluster of their
     most similar core; clusters below ``min_size`` are noise.
     """
-    links = similar.where(F.col("score") >= least).select(F.col(key).alias("a"), F.col("other").alias("b"), "score")
+    links = cut(similar.where(F.col("score") >= least).select(F.col(key).alias("a"), F.col("other").alias("b"), "score"), "links")  # read often, found once
     cores = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
     ends = cores.withColumnRenamed("a", "b")
     inner = links.join(cores, "a", "left_semi").join(ends, "b", "left_semi")
