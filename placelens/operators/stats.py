@@ -199,7 +199,8 @@ def _dealt(rows: DataFrame, placed: DataFrame, draws: int, seed: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([*(x.take(again) for x in batch.columns[: len(others)]), *made], [*others, "place", "draw"])
 
     fields = [*rows.schema.fields[: len(others)], StructField("place", LongType()), StructField("draw", LongType())]
-    moved = rows.mapInArrow(run, StructType(fields))
+    # Spark takes what a task makes to be as small as what it reads, and would broadcast all draws
+    moved = rows.mapInArrow(run, StructType(fields)).hint("merge")
     return moved.join(placed.select("place", "region"), "place").select("draw", *others, "region")
 
 

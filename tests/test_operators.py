@@ -585,3 +585,11 @@ def test_same_corpus_takes_new_changed_shortened_and_null_groups(spark):
     after = [("same", 5000, "b"), ("same", 1, "a"), ("changed", 1, "A"), ("shorter", 1, "a"), ("new", 1, "a"), (None, 1, "a")]
     got = {r.g: r.reuse for r in state.same_corpus(make(before), make(after), "g").collect()}
     assert got == {"same": True, "changed": False, "shorter": False, "new": False, None: True}
+
+
+def test_draws_are_never_broadcast(spark):
+    placed = spark.range(40).selectExpr("id AS site_id", "CAST(id % 3 AS INT) AS region", "id AS place", "40L AS sites")
+    drawn = stats._dealt(placed.select("site_id", "place", "sites"), placed, 50, 7)
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+    counts = {(r.draw, r.region): r["count"] for r in drawn.groupBy("draw", "region").count().collect()}
+    assert counts == {(d, r): 14 if r == 0 else 13 for d in range(50) for r in range(3)}
