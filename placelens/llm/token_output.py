@@ -82,21 +82,19 @@ class LibraryEncoder:
 
     def remember(self, new: list[str]) -> None:
         words = self.words
-        parts: dict[str, tuple[str, str]] = {}
-        for x in new:
-            core, mark = (x, "") if x[-1] not in MARKS else (x[:-1], x[-1])
-            if core.isalpha() and "Σ" not in core and "İ" not in core:
-                parts[x] = core.lower(), mark
-        plain = [x for x in new if x not in parts]
+        letters = [x for x in new if x.isalpha() and "Σ" not in x and "İ" not in x]
+        rest = set(new).difference(letters)
+        marked = [x for x in rest if x[-1] in MARKS and (core := x[:-1]).isalpha() and "Σ" not in core and "İ" not in core]
+        lower, lower_marked = list(map(str.lower, letters)), [x[:-1].lower() for x in marked]
+        plain = list(rest.difference(marked).union({x[-1] for x in marked}).difference(words))
         words.update(zip(plain, self.learn(plain)))
-        cores = [x for x in {core for core, _ in parts.values()} if x not in words]
+        cores = list(set(chain(lower, lower_marked)).difference(words))
         words.update(zip(cores, self.learn_letters(cores)))
-        marks = [x for x in {mark for _, mark in parts.values()} if x and x not in words]
-        words.update(zip(marks, self.learn(marks)))
-        words.update((x, words[core] + words[mark] if mark else words[core]) for x, (core, mark) in parts.items())
-        for x in [*new, *cores]:
-            if len(x) > LONG:
-                self.forgotten.append(x)
+        words.update(zip(letters, map(words.__getitem__, lower)))
+        words.update((x, words[core] + words[x[-1]]) for x, core in zip(marked, lower_marked))
+        for own in (new, cores):
+            if max(map(len, own), default=0) > LONG:
+                self.forgotten += [x for x in own if len(x) > LONG]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
@@ -104,11 +102,12 @@ class LibraryEncoder:
         words, old = self.words, self.old
         self.forgotten: list[str] = []
         plain = [None if any(x in text for x in UNSURE) else text.split() for text in batch]
-        new = [x for x in set(chain.from_iterable(filter(None, plain))) if x not in words]
+        new = set(chain.from_iterable(filter(None, plain))).difference(words)
         if old:
-            words.update((x, old[x]) for x in new if x in old)
-            new = [x for x in new if x not in words]
-        self.remember(new)
+            known = [x for x in new if x in old]
+            words.update(zip(known, map(old.__getitem__, known)))
+            new.difference_update(known)
+        self.remember(list(new))
         out = [self.learn([text])[0] if own is None else b"".join(map(words.__getitem__, own)) for text, own in zip(batch, plain)]
         for x in self.forgotten:
             words.pop(x, None)
