@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .stats import running_counts
 
 #: Fields of an envelope; fields and types of each event; closed lists of values.
@@ -204,11 +205,13 @@ def admitted(log: DataFrame, batch: DataFrame) -> DataFrame:
     them their events and of the log as many first records as the batch has
     corrections, so what it holds grows with the batch, not with the log.
     """
-    named = batch.select("file", F.col("seq").cast("long").alias("seq"), "event", F.col("target").cast("long").alias("target"), "project")
+    # written once: each is read often, and a task would hold the sorts of all that comes before it
+    named = cut(batch.select("file", F.col("seq").cast("long").alias("seq"), "event", F.col("target").cast("long").alias("target"), "project"), "batch")
     whole = named.where("file is not null and event is not null")
     files = whole.groupBy("file").agg((F.count_if(F.col("event") == "correction") + 1).alias("most"), F.count("*").alias("size"))
     own = log.select("file", F.col("line").cast("long").alias("line"), "event", F.col("target").cast("long").alias("target"), "project").join(files.select("file"), "file", "left_semi")
-    kept = corrected(own, "file", "line", "event", "target")[0].select("file", "line", "event", "project")
+    own = cut(own, "log-of-batch")
+    kept = cut(corrected(own, "file", "line", "event", "target")[0].select("file", "line", "event", "project"), "kept-lines")
     sums = own.groupBy("file").agg(F.max("line").alias("lines"), F.max(F.when(F.col("event") == "loop_end", F.col("line"))).alias("ended"))
     left = kept.groupBy("file").agg(F.count("*").alias("kept"), F.count_if(F.col("event") == "loop_end").alias("ends"))
     voids = own.where("event = 'correction'").select("file", F.col("target").alias("line")).join(own.where("event is not null").select("file", "line", "event"), ["file", "line"])
@@ -218,7 +221,10 @@ def admitted(log: DataFrame, batch: DataFrame) -> DataFrame:
         # one entry for each kind of event, of which there are few
         return rows.groupBy("file", "event").agg(F.count("*").alias("n")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("event", "n"))).alias(name))
 
-    states = files.select("file").join(sums, "file", "left").join(left, "file", "left").join(by_event(voids, "voided"), "file", "left").join(by_event(later, "behind"), "file", "left")
+    states = files.select("file")
+    for part in (sums, left, by_event(voids, "voided"), by_event(later, "behind")):
+        states = states.unionByName(part, allowMissingColumns=True)
+    states = states.groupBy("file").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("lines", "ended", "kept", "ends", "voided", "behind")])
     firsts = running_counts(kept.withColumn("_one", F.lit(1)), ["file"], ["line"], "_one").join(files, "file").where("_upto <= most")
     aimed = kept.select("file", F.col("line").alias("target"), F.col("event").alias("known"))
     early = own.where("event = 'correction'").join(sums.select("file", "lines"), "file").join(files, "file").where("target > lines and target <= lines + size").groupBy("file", F.col("target").alias("seq")).agg(F.count("*").alias("kept"))

@@ -593,3 +593,20 @@ def test_draws_are_never_broadcast(spark):
     assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
     counts = {(r.draw, r.region): r["count"] for r in drawn.groupBy("draw", "region").count().collect()}
     assert counts == {(d, r): 14 if r == 0 else 13 for d in range(50) for r in range(3)}
+
+
+def test_append_guards_read_log_and_batch_once(spark):
+    log = spark.createDataFrame([("f", i, "a", None, "p") for i in range(1, 6)], "file string, line long, event string, target long, project string")
+    batch = spark.createDataFrame([("f", i, "a", None, "p") for i in range(3)], "file string, seq long, event string, target long, project string")
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(df, total):
+        def run(batches):
+            for x in batches:
+                total.add(x.num_rows)
+                yield x
+
+        return df.mapInArrow(run, df.schema)
+
+    out = eventlog.admitted(counted(log, seen[0]), counted(batch, seen[1]))
+    assert sorted(r.line for r in out.collect()) == [6, 7, 8] and [x.value for x in seen] == [5, 3]
