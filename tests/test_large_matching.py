@@ -37,6 +37,22 @@ def test_pairs_within_a_distance_are_those_of_touching_cells(spark):
     assert few.count() < matching.grid_candidates(own, items).count() / 3
 
 
+def test_a_crowded_cell_is_dealt_to_several_tasks(spark, monkeypatch):
+    """Pairs of one cell are not left to one task, without a broadcast, and are all there."""
+    monkeypatch.setattr(matching, "PAIRS", 2000, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own, items = crowd(spark, 400, 60, 8, 0.009)
+        more = own.withColumns({"site_id": F.col("site_id") + 1000, "lon": F.col("lon") + 0.03})  # beside them a cell that meets nothing
+        pairs = matching.grid_candidates(own.union(more), items).withColumn("task", F.spark_partition_id()).collect()
+        assert len({(x.site_id, x.qid) for x in pairs}) == len(pairs) == 400 * 60
+        tasks = [sum(x.task == t for x in pairs) for t in {x.task for x in pairs}]
+        assert max(tasks) <= 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_guards_are_those_of_joined_pairs(spark):
     own, items = crowd(spark, 300, 60, 5, 0.006)
     matches = matching.best_match(own, matching.leading_candidates(own, items))
