@@ -53,6 +53,41 @@ def test_a_crowded_cell_is_dealt_to_several_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("kinds", [matching.KINDS, 2])
+@pytest.mark.parametrize("n, m, width", [(200, 40, 0.006), (30, 60, 0.002), (20, 0, 0.006)])
+def test_assignment_by_steps_is_that_of_all_pairs(spark, monkeypatch, n, m, width, kinds):
+    from placelens.functions.text import entity_number
+
+    monkeypatch.setattr(matching, "KINDS", kinds)
+    monkeypatch.setattr(matching, "LOOKED", 0)  # as many steps as there are
+    monkeypatch.setattr(matching, "LOOKED_LEAST", 0)
+    own, items = crowd(spark, n, m, 9, width)
+    rows = lambda df: {r.site_id: (r.qid, r.score, r.distance_m, r.name_sim, r.decision) for r in df.collect()}
+    every = matching.scored_candidates(own, items, floor=matching.REVIEW).withColumns({"score": F.round("score", 9), "distance_m": F.round("distance_m", 6)})
+    got = rows(matching.assigned(own, items, entity_number(F.col("qid"))))
+    assert got == rows(matching.resolve_one_to_one(own, every, entity_number(F.col("qid"))))
+    assert m == 0 or len({x[1] for x in got.values() if x[0]}) > 3
+
+
+def test_a_crowded_map_is_assigned_from_few_pairs(spark, monkeypatch, tmp_path):
+    """Pairs that j4_one_to_one makes grow with the rows, not with their square."""
+    from placelens.plans import base, places
+
+    monkeypatch.setattr(matching, "LOOKED_LEAST", 0, raising=False)
+    made, plain = [], matching.grid_candidates
+    monkeypatch.setattr(matching, "grid_candidates", lambda *a, **k: made.append(plain(*a, **k).count()) or plain(*a, **k))
+    monkeypatch.setattr(base, "_point", lambda k: (139 + F.pmod(k * 7919, F.lit(31)) / 10000, 35 + F.pmod(k * 104729, F.lit(37)) / 10000))
+    counts = []
+    for i, n in enumerate((500, 2000)):
+        folder = str(tmp_path / str(i))
+        spark.range(n).selectExpr("id as c_custkey", "element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), int(xxhash64(id) % 5 + 5) % 5 + 1) as c_mktsegment", "int(id * 31 % 25) as c_nationkey").write.parquet(f"{folder}/customer.parquet")
+        spark.range(n // 10).selectExpr("id as s_suppkey", "int(id * 7 % 25) as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+        made.clear()
+        assert places.j4_one_to_one(spark, folder).count() == n
+        counts.append(sum(made))
+    assert counts[1] <= 6 * counts[0] and counts[1] <= 20 * 2200
+
+
 def test_guards_are_those_of_joined_pairs(spark):
     own, items = crowd(spark, 300, 60, 5, 0.006)
     matches = matching.best_match(own, matching.leading_candidates(own, items))
