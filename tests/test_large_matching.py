@@ -53,6 +53,40 @@ def test_a_crowded_cell_is_dealt_to_several_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name, most", [("j2_g1_g2_candidates", 3.3)])
+def test_all_pairs_of_a_grid_are_small_on_disk(spark, monkeypatch, tmp_path, name, most):
+    """All pairs of places with four decimals are listed, in an order in which the same distances soon come again."""
+    from placelens.plans import base, places
+
+    sites, items, folder, out = 2000, 3000, str(tmp_path / "in"), tmp_path / "out"
+    spot = lambda k: F.pmod(k * 7919, F.lit(5407))
+    monkeypatch.setattr(base, "_point", lambda k: (139 + spot(k) % 90 / 10000, 35 + F.floor(spot(k) / 90) / 10000))
+    spark.range(sites).selectExpr("id as c_custkey", "element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), int(xxhash64(id) % 5 + 5) % 5 + 1) as c_mktsegment", "int(id * 31 % 25) as c_nationkey").write.parquet(f"{folder}/customer.parquet")
+    spark.range(items).selectExpr("id as s_suppkey", "int(id * 7 % 25) as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    getattr(places, name)(spark, folder).write.parquet(str(out))
+    rows = spark.read.parquet(str(out))
+    assert rows.count() == rows.select("site_id", "qid").distinct().count() == sites * items
+    assert sum(x.stat().st_size for x in out.glob("*.parquet")) < most * sites * items
+
+
+def test_blocks_hold_each_row_once_and_are_bounded(spark):
+    own, _ = crowd(spark, 500, 0, 10, 0.001)
+    own = own.withColumns({"cy": F.col("site_id") % 2, "cx": F.when(F.col("site_id") < 400, 1)})
+    blocks = matching._blocks(own, ["cy", "cx"], ["lat", "lon", "site_id"], 30, "_s").collect()
+    assert sorted(x.site_id for b in blocks for x in b["_s"]) == list(range(400))  # rows without a cell meet nothing
+    assert max(len(b["_s"]) for b in blocks) == 30 and len(blocks) == 2 * 7
+    assert all(max(x.lat for x in a["_s"]) <= min(x.lat for x in b["_s"]) for a in blocks for b in blocks if a.cy == b.cy and a["_s_block"] < b["_s_block"])
+
+
+def test_rounding_is_that_of_sql(spark):
+    from placelens.functions.geo import rounded
+
+    r = random.Random(12)
+    values = [0.0, 0.5, 1.0, 2999.9994999] + [r.random() * 10 ** r.randrange(-3, 5) for _ in range(2000)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", rounded(F.col("x"), 3).alias("a"), F.round("x", 3).alias("b")).collect()
+    assert [x.a for x in got] == [x.b for x in got]
+
+
 @pytest.mark.parametrize("kinds", [matching.KINDS, 2])
 @pytest.mark.parametrize("n, m, width", [(200, 40, 0.006), (30, 60, 0.002), (20, 0, 0.006)])
 def test_assignment_by_steps_is_that_of_all_pairs(spark, monkeypatch, n, m, width, kinds):
