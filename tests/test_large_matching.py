@@ -53,7 +53,7 @@ def test_a_crowded_cell_is_dealt_to_several_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name, most", [("j2_g1_g2_candidates", 3.3)])
+@pytest.mark.parametrize("name, most", [("j2_g1_g2_candidates", 3.3), ("g3_g6_match_score", 2.8)])
 def test_all_pairs_of_a_grid_are_small_on_disk(spark, monkeypatch, tmp_path, name, most):
     """All pairs of places with four decimals are listed, in an order in which the same distances soon come again."""
     from placelens.plans import base, places
@@ -78,6 +78,15 @@ def test_blocks_hold_each_row_once_and_are_bounded(spark):
     assert all(max(x.lat for x in a["_s"]) <= min(x.lat for x in b["_s"]) for a in blocks for b in blocks if a.cy == b.cy and a["_s_block"] < b["_s_block"])
 
 
+def test_pairs_keep_all_columns_unless_told(spark):
+    own, items = crowd(spark, 30, 10, 11)
+    every, few = matching.scored_candidates(own, items), matching.scored_candidates(own, items, keep=("name",))
+    assert {*own.columns, *items.columns, "distance_m", "name_sim", "score"} <= set(every.columns)
+    assert "name" in few.columns and "label" not in few.columns
+    rows = lambda df: sorted((x.site_id, x.qid, x.name or "", x.name_sim, x.score) for x in df.collect())
+    assert rows(few) == rows(every) and rows(few)
+
+
 def test_rounding_is_that_of_sql(spark):
     from placelens.functions.geo import rounded
 
